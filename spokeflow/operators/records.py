@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spokeflow.functions import decode
@@ -63,11 +63,17 @@ def decode_information(messages: DataFrame) -> DataFrame:
 
 def with_record_reason(records: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
     """Add ``reject_reason`` to exploded records: no station, or the first field that does not decode; else NULL."""
-    p = F.col("payload")
     fields = STATUS_FIELDS if fields is None else fields
-    bad = [F.when(decode.undecodable(p, n, t), f"cannot read {n} as {t}") for n, t in fields.items()]
-    missing = F.when(decode.field(p, "station_id", "string").isNull(), "no station_id")
-    return records.withColumn("reject_reason", F.when(F.col("pos").isNotNull(), F.coalesce(missing, *bad)))
+
+    def reason(payload: Column) -> Column:
+        bad = [F.when(decode.undecodable(payload, n, t), f"cannot read {n} as {t}") for n, t in fields.items()]
+        missing = F.when(decode.field(payload, "station_id", "string").isNull(), "no station_id")
+        return F.coalesce(missing, *bad)
+
+    # Inside a lambda the checks stay apart from the decoded columns. As plain predicates, constraint inference would
+    # rewrite them with every subset of those columns, which takes planning time exponential in their number.
+    found = F.transform(F.array("payload"), reason)[0]
+    return records.withColumn("reject_reason", F.when(F.col("pos").isNotNull(), found))
 
 
 def split(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 FIVE_MINUTES = "5 minutes"
 
 
-def window_start(ts: str, interval: str = FIVE_MINUTES) -> Column:
-    return F.window(ts, interval)["start"]
+def in_windows(rows: DataFrame, keys: Sequence[str], ts: str, interval: str, measures: Sequence[Column]) -> DataFrame:
+    """Aggregate per key and window; grouping by the window itself lets a stream's watermark close it."""
+    return (
+        rows.groupBy(*keys, F.window(ts, interval).alias("window"))
+        .agg(*measures)
+        .withColumn("window", F.col("window.start"))
+        .withColumnRenamed("window", "window_start")
+    )
 
 
 def tumbling(
@@ -23,18 +29,16 @@ def tumbling(
 ) -> DataFrame:
     """Count, extremes, mean, first and last value and net change of each key's rows in each window."""
     at = F.struct(*order)
-    return (
-        rows.groupBy(*keys, window_start(ts, interval).alias("window_start"))
-        .agg(
-            F.count("*").alias("n"),
-            F.min(value).alias("min_value"),
-            F.max(value).alias("max_value"),
-            F.avg(value).alias("avg_value"),
-            F.min_by(value, at).alias("first_value"),
-            F.max_by(value, at).alias("last_value"),
-        )
-        .withColumn("change", F.col("last_value") - F.col("first_value"))
-    )
+    measures = [
+        F.count("*").alias("n"),
+        F.min(value).alias("min_value"),
+        F.max(value).alias("max_value"),
+        F.avg(value).alias("avg_value"),
+        F.min_by(value, at).alias("first_value"),
+        F.max_by(value, at).alias("last_value"),
+    ]
+    windows = in_windows(rows, keys, ts, interval, measures)
+    return windows.withColumn("change", F.col("last_value") - F.col("first_value"))
 
 
 def change_since_previous(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -47,11 +51,8 @@ def last_values(
     rows: DataFrame, keys: Sequence[str], ts: str, value: str, order: Sequence[str], interval: str = FIVE_MINUTES
 ) -> DataFrame:
     """Each key's last known value in each window that has one."""
-    return (
-        rows.where(F.col(value).isNotNull())
-        .groupBy(*keys, window_start(ts, interval).alias("window_start"))
-        .agg(F.max_by(value, F.struct(*order)).alias("value"))
-    )
+    known = rows.where(F.col(value).isNotNull())
+    return in_windows(known, keys, ts, interval, [F.max_by(value, F.struct(*order)).alias("value")])
 
 
 def fill_forward(windows: DataFrame, keys: Sequence[str], interval: str = FIVE_MINUTES) -> DataFrame:

@@ -1,3 +1,4 @@
+import contextlib
 import os
 import sys
 from pathlib import Path
@@ -34,3 +35,35 @@ def spark():
 def path(tmp_path):
     """A folder for one test's tables; the local master makes every task see it."""
     return str(tmp_path)
+
+
+@contextlib.contextmanager
+def settings(spark, values):
+    """Session settings for the length of a block."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+NO_BROADCAST = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+# Partitions of a test's size count as skewed.
+SMALL_SKEW = {
+    **NO_BROADCAST,
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+}
+
+
+def final_plan(df):
+    """Run the frame and return the plan that adaptive execution ended with."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()

@@ -1,0 +1,65 @@
+"""Landed polls for tests, and the change rule by brute force."""
+
+import json
+import os
+import random
+
+T0 = 1_704_067_200
+
+
+def land(folder, number, stations):
+    """Write poll ``number`` as a document that landed 30 s after the one before."""
+    os.makedirs(folder, exist_ok=True)
+    name = os.path.join(folder, f"{number:05d}.json")
+    with open(name, "w") as out:
+        out.write(stations if isinstance(stations, str) else json.dumps({"data": {"stations": stations}}, indent=1))
+    os.utime(name, (T0 + 30 * number, T0 + 30 * number))
+
+
+def station(sid, bikes=None, renting=None, **more):
+    return {"station_id": sid, "num_bikes_available": bikes, "is_renting": renting, **more}
+
+
+def random_polls(seed, polls, stations):
+    """Polls with gaps, nulls, missing fields, duplicates, an empty poll and polls that never landed."""
+    rng = random.Random(seed)
+    landed = {}
+    for number in range(polls):
+        if rng.random() < 0.1:
+            continue
+        rows = []
+        for sid in range(stations):
+            for _ in range(rng.choices([0, 1, 2, 3], [20, 70, 8, 2])[0]):
+                row = station(str(sid), rng.choice([0, 1, None]), rng.choice([1, True, 1.0, 0]))
+                if rng.random() < 0.1:
+                    del row["num_bikes_available"]
+                rows.append(row)
+        rng.shuffle(rows)
+        landed[number] = [] if number == polls // 2 else rows
+    return landed
+
+
+def expected_changes(landed):
+    """(poll, position) of every record whose state is not the one its station had at the end of the poll before."""
+    fields = ("num_bikes_available", "is_renting")
+    out, ended = [], {}
+    for number in sorted(landed):
+        states = [(r["station_id"], tuple(r.get(f) for f in fields)) for r in landed[number]]
+        out += [(number, pos) for pos, (sid, s) in enumerate(states) if sid not in ended or ended[sid] != s]
+        ended = dict(states)
+    return sorted(out)
+
+
+# The golden trace: A and B as bikes/renting; poll 7 failed and never landed.
+GOLDEN = {
+    1: [station("A", 5, 1), station("B", 3, 1)],
+    2: [station("A", 5, 1), station("B", 4, 1)],
+    3: [station("B", 4, 1)],
+    4: [station("A", 5, 1), station("B", 4, 1)],
+    5: [station("A", 5, 1, last_reported=99), station("B", 4, None)],
+    6: [station("A", 5.0, True), station("B", 4, None)],
+    8: [station("A", 5, 1), {"station_id": "B", "num_bikes_available": 4}],
+    9: [station("A", 6, 1), station("A", 5, 1), station("B", 4, None)],
+    10: [station("A", 5, 1), station("B", 4, None)],
+}
+GOLDEN_CHANGES = [(1, "A", 5), (1, "B", 3), (2, "B", 4), (4, "A", 5), (5, "B", 4), (9, "A", 6)]
