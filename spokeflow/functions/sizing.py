@@ -14,9 +14,12 @@ CHUNK_ROWS = 1_000_000
 CELL_MICROS = 3_600 * 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute ``df`` once; broadcast it if its counted rows stay within the bound, else leave a shuffle join."""
-    kept = checkpointed(df)
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, keep: bool = True) -> DataFrame:
+    """Broadcast ``df`` if its counted rows stay within the bound, else leave a shuffle join.
+
+    It is computed once, into the shared folder, unless ``keep`` is false: for what a cached input gives at no cost.
+    """
+    kept = checkpointed(df) if keep else df
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 

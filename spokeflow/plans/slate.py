@@ -96,6 +96,11 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_status(table(spark, sf_dir, "events"))
 
 
+def current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last status of each station: the raw events are reduced first, so that only the rows kept are decoded."""
+    return as_status(latest(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id")))
+
+
 def information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_information(table(spark, sf_dir, "supplier"))
 
@@ -112,15 +117,14 @@ def station_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latest_status(spark, sf_dir):
-    rows = status(spark, sf_dir).select(
+    return current(spark, sf_dir).select(
         "station_id", *ORDER, "event_type", "num_bikes_available", "num_docks_available"
     )
-    return latest(rows, "station_id", ORDER)
 
 
 @query
 def enriched_current(spark, sf_dir):
-    return enrich(latest(status(spark, sf_dir), "station_id", ORDER), information(spark, sf_dir))
+    return enrich(current(spark, sf_dir), information(spark, sf_dir))
 
 
 @query
@@ -130,8 +134,8 @@ def enriched_log(spark, sf_dir):
 
 @query
 def low_stations(spark, sf_dir):
-    current = enrich(latest(status(spark, sf_dir), "station_id", ORDER), information(spark, sf_dir))
-    low = low_availability(current, min_bikes=10, min_ratio=0.01)
+    enriched = enrich(current(spark, sf_dir), information(spark, sf_dir))
+    low = low_availability(enriched, min_bikes=10, min_ratio=0.01)
     return low.select("station_id", "name", "num_bikes_available", "capacity", "is_renting")
 
 
@@ -185,11 +189,8 @@ def window_delta(spark, sf_dir):
     return deltas.select("station_id", "window_start", "last_value", "change_since_previous")
 
 
-def daily_values(spark, sf_dir, keys=("station_id",)):
-    rows = status(spark, sf_dir)
-    if "region_id" in keys:
-        rows = with_region(rows, station_regions(spark, sf_dir))
-    return last_values(rows, keys, "ingested_at", "num_bikes_available", ORDER, DAY)
+def daily_values(spark, sf_dir):
+    return last_values(status(spark, sf_dir), ("station_id",), "ingested_at", "num_bikes_available", ORDER, DAY)
 
 
 @query
@@ -205,7 +206,7 @@ def area_carry_forward_5m(spark, sf_dir):
 
 @query
 def region_carry_forward(spark, sf_dir):
-    values = daily_values(spark, sf_dir, ("station_id", "region_id"))
+    values = with_region(daily_values(spark, sf_dir), station_regions(spark, sf_dir))
     return area_totals(values, "station_id", ("region_id",), DAY)
 
 
@@ -418,9 +419,9 @@ def stream_current(spark, sf_dir):
     info = as_information(stream(spark, sf_dir, "supplier")).withColumns(
         {"_ingested_at": F.timestamp_seconds(F.lit(0)), "deleted": F.lit(False)}
     )
-    current = UpsertTable(f"{path}/table", ("station_id",))
-    drain(start(current_status(rows, info), current.write_batch, f"{path}/checkpoint", "update", every=None))
-    return current.read(spark)
+    result = UpsertTable(f"{path}/table", ("station_id",))
+    drain(start(current_status(rows, info), result.write_batch, f"{path}/checkpoint", "update", every=None))
+    return result.read(spark)
 
 
 @query

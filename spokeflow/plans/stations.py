@@ -11,6 +11,7 @@ from spokeflow.operators import records
 from spokeflow.operators.changes import changed
 from spokeflow.operators.enrich import enrich
 from spokeflow.operators.upsert import latest
+from spokeflow.sinks.serving import Question, serve
 from spokeflow.sinks.upsert import UpsertTable
 from spokeflow.streaming.changes import ChangeFilter
 from spokeflow.streaming.current import current_status
@@ -37,19 +38,23 @@ def current_table(log: DataFrame, information: DataFrame) -> DataFrame:
 
 
 def start_change_filter(
-    documents: DataFrame, path: str, publish, every: str | None = POLL_INTERVAL
+    documents: DataFrame, path: str, publish, every: str | None = POLL_INTERVAL, report=None
 ) -> StreamingQuery:
-    """Documents that land become published changes."""
+    """Documents that land become published changes; ``report`` takes each batch's counts per poll."""
     accepted, _ = status_records(documents)
-    process = ChangeFilter(f"{path}/states", publish).process
+    process = ChangeFilter(f"{path}/states", publish, report=report).process
     return start(accepted, process, f"{path}/checkpoint", every=every)
 
 
 def start_current_table(
-    status: DataFrame, information: DataFrame, path: str, every: str | None = POLL_INTERVAL
+    status: DataFrame,
+    information: DataFrame,
+    path: str,
+    every: str | None = POLL_INTERVAL,
+    questions: dict[str, Question] | None = None,
 ) -> tuple[StreamingQuery, UpsertTable]:
-    """Status and metadata changes keep the current status table up to date."""
+    """Status and metadata changes keep the current status table, and the answers to ``questions``, up to date."""
     table = UpsertTable(f"{path}/current_status", ("station_id",))
-    changes = current_status(status, information)
-    return start(changes, table.write_batch, f"{path}/checkpoint", "update", every), table
+    apply = serve(table, f"{path}/serving", questions or {})
+    return start(current_status(status, information), apply, f"{path}/checkpoint", "update", every), table
 

@@ -19,11 +19,29 @@ RUNTIME_CONF = {
 }
 
 
+# What only a new session can take: checkpoint files go when nothing refers to them any more.
+STATIC_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
+PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def sized_conf(shuffle_bytes: int, partition_bytes: int = PARTITION_BYTES) -> dict[str, str]:
+    """Settings for a job whose biggest shuffle moves about ``shuffle_bytes``: AQE joins what turns out smaller.
+
+    Stateful streams keep the number of partitions they were first started with.
+    """
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, -(-shuffle_bytes // partition_bytes))),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+    }
+
+
 def build(app: str = "spokeflow", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for name, value in {**RUNTIME_CONF, **(conf or {})}.items():
+    for name, value in {**STATIC_CONF, **RUNTIME_CONF, **(conf or {})}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 

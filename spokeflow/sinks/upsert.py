@@ -24,8 +24,11 @@ class UpsertTable:
     compact_every: int = 50
 
     def write_batch(self, rows: DataFrame, batch_id: int) -> None:
-        """Apply one micro-batch holding at most one row per key. ``foreachBatch`` takes this method as it is."""
-        rows.withColumn(BATCH, F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
+        """Apply one micro-batch holding at most one row per key. ``foreachBatch`` takes this method as it is.
+
+        Rebalancing keeps a small batch from leaving one small file per state partition.
+        """
+        rows.withColumn(BATCH, F.lit(batch_id).cast("bigint")).hint("rebalance").write.mode("overwrite").parquet(
             f"{self.path}/log/batch={batch_id}"
         )
         if self.compact_every and batch_id % self.compact_every == self.compact_every - 1:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.operators.changes import POLL, flag_changes
+from spokeflow.operators.changes import POLL, flag_changes, poll_counts
 from spokeflow.operators.upsert import latest
 from spokeflow.schemas import TRACKED_FIELDS
 
@@ -23,11 +23,13 @@ class ChangeFilter:
 
     ``path`` holds two slots used in turn: batch n reads the slot that batch n-1 wrote and replaces the other, so a
     replayed batch gives the same answer. The slot is written after publishing: a failed publish is tried again.
+    ``report`` takes the changed and total stations of each poll.
     """
 
     path: str
     publish: Callable[[DataFrame, int], None]
     fields: Sequence[str] = TRACKED_FIELDS
+    report: Callable[[DataFrame, int], None] | None = None
 
     def process(self, records: DataFrame, batch_id: int) -> None:
         records = records.persist()
@@ -37,8 +39,10 @@ class ChangeFilter:
         rows = records.withColumn("_kept", F.lit(False))
         if seen is not None:
             rows = rows.unionByName(seen.withColumn("_kept", F.lit(True)), allowMissingColumns=True)
-        flagged = flag_changes(rows, self.fields)
-        self.publish(flagged.where("changed and not _kept").drop("changed", "poll_no", "_kept"), batch_id)
+        flagged = flag_changes(rows, self.fields, cached=True).where("not _kept").drop("_kept", "poll_no")
+        self.publish(flagged.where("changed").drop("changed"), batch_id)
+        if self.report:
+            self.report(poll_counts(flagged), batch_id)
         self._keep(rows, batch_id)
         records.unpersist()
 
@@ -60,6 +64,6 @@ def parquet_publisher(path: str) -> Callable[[DataFrame, int], None]:
     """Writes each micro-batch's changes under its id, so that a replay replaces them."""
 
     def publish(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        changed.hint("rebalance").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return publish
