@@ -25,9 +25,14 @@ def field(payload: Column, path: str, type_: str) -> Column:
     return F.try_variant_get(payload, f"$.{path}", type_)
 
 
+def whole(payload: Column, type_: str) -> Column:
+    """All fields of a struct type in one look at the payload, each as lenient as :func:`field`."""
+    return F.try_variant_get(payload, "$", type_)
+
+
 def undecodable(payload: Column, path: str, type_: str) -> Column:
     """True where the field holds a value that the type cannot represent."""
-    return F.coalesce(F.try_variant_get(payload, f"$.{path}", "string").isNotNull() & field(payload, path, type_).isNull(), F.lit(False))
+    return field(payload, path, type_).isNull() & field(payload, path, "string").isNotNull()
 
 
 def iso_instant(value: Column) -> Column:

@@ -24,6 +24,40 @@ def explode_stations(documents: DataFrame, strict: bool = False) -> DataFrame:
     return documents.select(*columns, F.posexplode_outer(stations).alias("pos", "payload"))
 
 
+def explode_status(documents: DataFrame) -> DataFrame:
+    """:func:`explode_stations` with the typed status fields and ``reject_reason``, decoded once per station.
+
+    Decoding inside the list and not after it also keeps the optimizer from decoding again for each use of a field.
+    """
+    stations = decode.field(F.col("document"), STATIONS_PATH, "array<variant>")
+    columns = [c for c in documents.columns if c not in ("value", "document")]
+    return documents.select(*columns, F.posexplode_outer(_checked(stations, STATUS_FIELDS)).alias("pos", "station")).select(
+        *columns, "pos", "station.payload", "station.typed.*", F.col("station.reason").alias("reject_reason")
+    )
+
+
+def _checked(payloads: Column, fields: dict[str, str]) -> Column:
+    """Each payload of a list with its typed fields and the reason to reject it, if any.
+
+    The fields are read in one look; a payload is searched again only for fields that came out NULL.
+    """
+    typed = ", ".join(f"{name} {type_}" for name, type_ in {"station_id": "string", **fields}.items())
+
+    def read(payload: Column) -> Column:
+        return F.struct(payload.alias("payload"), decode.whole(payload, f"struct<{typed}>").alias("typed"))
+
+    def check(station: Column) -> Column:
+        values, payload = station["typed"], station["payload"]
+        bad = [
+            F.when(values[n].isNull() & decode.field(payload, n, "string").isNotNull(), f"cannot read {n} as {t}")
+            for n, t in fields.items()
+        ]
+        missing = F.when(values["station_id"].isNull(), "no station_id")
+        return F.struct(payload.alias("payload"), values.alias("typed"), F.coalesce(missing, *bad).alias("reason"))
+
+    return F.transform(F.transform(payloads, read), check)
+
+
 def with_document_reason(documents: DataFrame) -> DataFrame:
     stations = decode.field(F.col("document"), STATIONS_PATH, "array<variant>")
     reason = F.when(F.col("document").isNull(), "not json").when(stations.isNull(), f"no {STATIONS_PATH}")
@@ -46,7 +80,8 @@ def decode_status(records: DataFrame) -> DataFrame:
 def decode_information(messages: DataFrame) -> DataFrame:
     """Keyed metadata messages (``key`` string, ``value`` JSON text) as station information rows.
 
-    Only the declared fields are read. A message without a value is a delete: ``deleted`` is true there.
+    Only the declared fields are read. A message without a value is a delete: ``deleted`` is true there, and the time of
+    it is the message's own ``timestamp`` if the log has one.
     """
     p = F.col("_payload")
     typed = [
@@ -55,6 +90,8 @@ def decode_information(messages: DataFrame) -> DataFrame:
         if f.name not in ("key", "_ingested_at")
     ]
     ingested = decode.epoch_instant(decode.field(p, "_ingested_at", "bigint")).alias("_ingested_at")
+    if "timestamp" in messages.columns:
+        ingested = F.when(F.col("value").isNull(), F.col("timestamp")).otherwise(ingested).alias("_ingested_at")
     rest = [c for c in messages.columns if c not in ("key", "value")]
     return messages.withColumn("_payload", decode.document(F.col("value"))).select(
         "key", *typed, ingested, F.col("value").isNull().alias("deleted"), *rest
@@ -63,16 +100,9 @@ def decode_information(messages: DataFrame) -> DataFrame:
 
 def with_record_reason(records: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
     """Add ``reject_reason`` to exploded records: no station, or the first field that does not decode; else NULL."""
-    fields = STATUS_FIELDS if fields is None else fields
-
-    def reason(payload: Column) -> Column:
-        bad = [F.when(decode.undecodable(payload, n, t), f"cannot read {n} as {t}") for n, t in fields.items()]
-        missing = F.when(decode.field(payload, "station_id", "string").isNull(), "no station_id")
-        return F.coalesce(missing, *bad)
-
-    # Inside a lambda the checks stay apart from the decoded columns. As plain predicates, constraint inference would
-    # rewrite them with every subset of those columns, which takes planning time exponential in their number.
-    found = F.transform(F.array("payload"), reason)[0]
+    # Checked inside a list of one: as plain predicates beside the decoded columns, constraint inference would rewrite the
+    # checks with every subset of those columns, which takes planning time exponential in their number.
+    found = _checked(F.array("payload"), STATUS_FIELDS if fields is None else fields)[0]["reason"]
     return records.withColumn("reject_reason", F.when(F.col("pos").isNotNull(), found))
 
 

@@ -21,8 +21,7 @@ from spokeflow.streaming.run import POLL_INTERVAL, start
 def status_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed records of all readable documents, and the records set aside with a reason."""
     readable, _ = records.split(records.with_document_reason(documents))
-    accepted, rejected = records.split(records.with_record_reason(records.explode_stations(readable)))
-    return records.decode_status(accepted), rejected
+    return records.split(records.explode_status(readable))
 
 
 def status_log(documents: DataFrame) -> DataFrame:

@@ -6,22 +6,23 @@ streams only within a time bound, so the join keeps the newest row of either sid
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from spokeflow.functions.sizing import micros
 from spokeflow.schemas import CURRENT_STATUS
 
-CHANGE = "station_id string, kind string, version bigint, seq bigint, row string"
 JOINED = "station_id string, status string, info string"
 SIDE_STATE = T.StructType(
     [T.StructField("version", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("row", T.StringType())]
 )
-# Rows travel as JSON through the processor, so nullable integers stay integers; microseconds are kept.
+# Rows are kept in state as JSON, so that the state does not depend on their columns; microseconds are kept.
 JSON = {
     "ignoreNullFields": "false",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -33,21 +34,27 @@ def _columns(side: str) -> list[str]:
     return [name for name, of, _ in CURRENT_STATUS if of == side]
 
 
-def _changes(rows: DataFrame, kind: str, key: str, order: Sequence[Column], row: Column) -> DataFrame:
-    version, seq = order
-    return rows.where(F.col(key).isNotNull()).select(
+def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The newest row of each station in each Arrow batch."""
+    for batch in batches:
+        if batch.num_rows:
+            station = batch.column("station_id").dictionary_encode().indices.to_numpy()
+            order = np.lexsort((batch.column("seq").to_numpy(), batch.column("version").to_numpy(), station))
+            last = np.append(np.diff(station[order]) != 0, True)
+            yield batch.take(pa.array(order[last]))
+
+
+def _changes(rows: DataFrame, kind: str, key: str, version: Column, seq: Column, row: Column) -> DataFrame:
+    """One side's rows as keyed changes, combined before the shuffle: however hot a station is, at most one of its
+    rows per Arrow batch is encoded and moved."""
+    keyed = rows.where(F.col(key).isNotNull()).select(
         F.col(key).alias("station_id"),
-        F.lit(kind).alias("kind"),
-        version.cast("bigint").alias("version"),
+        F.coalesce(version, F.lit(0)).alias("version"),
         F.coalesce(seq.cast("bigint"), F.lit(0)).alias("seq"),
         row.alias("row"),
     )
-
-
-def _newest_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Combine before the shuffle: one row per station, side and Arrow batch, however hot the station is."""
-    for rows in batches:
-        yield rows.sort_values(["version", "seq"], kind="stable").drop_duplicates(["station_id", "kind"], keep="last")
+    newest = keyed.mapInArrow(_newest, keyed.schema)
+    return newest.withColumns({"kind": F.lit(kind), "row": F.to_json("row", JSON)})
 
 
 class KeepNewest(StatefulProcessor):
@@ -57,20 +64,19 @@ class KeepNewest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sides = {kind: handle.getValueState(kind, SIDE_STATE) for kind in ("status", "info")}
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = {kind: tuple(s.get()) if s.exists() else None for kind, s in self.sides.items()}
-        moved = set()
-        for pdf in rows:
-            for change in pdf.itertuples(index=False):
-                entry = (int(change.version), int(change.seq), change.row)
-                if kept[change.kind] is None or entry[:2] >= tuple(kept[change.kind][:2]):
-                    kept[change.kind] = entry
-                    moved.add(change.kind)
-        for kind in moved:
-            self.sides[kind].update(kept[kind])
-        if moved and kept["status"]:
-            info = kept["info"][2] if kept["info"] else None
-            yield pd.DataFrame({"station_id": [key[0]], "status": [kept["status"][2]], "info": [info]})
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = {}
+        for change in rows:
+            entry = (change.version, change.seq, change.row)
+            if change.kind not in new or entry[:2] >= new[change.kind][:2]:
+                new[change.kind] = entry
+        old = {kind: self.sides[kind].get() for kind in self.sides}
+        moved = {kind: entry for kind, entry in new.items() if old[kind] is None or entry[:2] >= tuple(old[kind][:2])}
+        for kind, entry in moved.items():
+            self.sides[kind].update(entry)
+        status, info = (moved.get(kind, old[kind]) for kind in ("status", "info"))
+        if moved and status:
+            yield Row(station_id=key[0], status=status[2], info=info[2] if info else None)
 
     def close(self) -> None:
         pass
@@ -80,19 +86,16 @@ def current_status(status: DataFrame, info: DataFrame) -> DataFrame:
     """Changelog of the current status table, at most one row per station and micro-batch, keyed by ``station_id``.
 
     ``status`` has the status columns, ``ingested_at`` as version and ``pos`` to break its ties; ``info`` has the
-    metadata columns, ``key``, ``_ingested_at`` and ``deleted``. Rows without a station belong to the rejects.
+    metadata columns, ``key``, ``_ingested_at`` and ``deleted``. Rows without a station belong to the rejects; a row
+    without a time counts as the oldest.
     """
     s_columns, i_columns = _columns("status"), _columns("info")
-    s_row = F.to_json(F.struct(*s_columns), JSON)
-    i_row = F.when(~F.coalesce("deleted", F.lit(False)), F.to_json(F.struct(*i_columns), JSON))
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    changes = _changes(status, "status", "station_id", (micros("ingested_at"), F.col("pos")), s_row).unionByName(
-        _changes(info, "info", "key", (micros("_ingested_at"), F.lit(0)), i_row)
-    )
-    joined = (
-        changes.mapInPandas(_newest_of_batch, CHANGE)
-        .groupBy("station_id")
-        .transformWithStateInPandas(KeepNewest(), outputStructType=JOINED, outputMode="update", timeMode="none")
+    i_row = F.when(~F.coalesce("deleted", F.lit(False)), F.struct(*i_columns))
+    changes = _changes(
+        status, "status", "station_id", micros(F.col("ingested_at")), F.col("pos"), F.struct(*s_columns)
+    ).unionByName(_changes(info, "info", "key", micros(F.col("_ingested_at")), F.lit(0), i_row))
+    joined = changes.groupBy("station_id").transformWithState(
+        KeepNewest(), outputStructType=JOINED, outputMode="update", timeMode="none"
     )
     s_type = T.StructType([status.schema[c] for c in s_columns])
     i_type = T.StructType([info.schema[c] for c in i_columns])

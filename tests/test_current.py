@@ -68,6 +68,14 @@ def test_station_information_is_decoded(spark):
     assert two.deleted and two.name is None
 
 
+def test_delete_takes_the_time_of_its_message(spark):
+    log = spark.createDataFrame(
+        [("1", '{"_ingested_at": 1704067200}', at(9)), ("1", None, at(5))], "key string, value string, timestamp timestamp"
+    )
+    rows = sorted(decode_information(log).collect(), key=lambda r: r.deleted)
+    assert [(r._ingested_at, r.deleted) for r in rows] == [(dt.datetime(2024, 1, 1), False), (at(5), True)]
+
+
 def stream_of(spark, folder, batches):
     """A file stream that delivers each frame as one micro-batch."""
     for batch in batches:
