@@ -36,15 +36,16 @@ def flag_changes(
     rows: DataFrame,
     fields: Sequence[str] = TRACKED_FIELDS,
     max_broadcast_rows: int = BROADCAST_ROWS,
-    cached: bool = False,
+    polls: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``changed`` to exploded status records (feed, ingested_at, pos, station_id, the fields, …).
 
     A record changed when its station was not in the previous poll of the feed or ended that poll in another state.
     Records without a station only tell that their poll took place (an empty poll); they are not returned.
-    Say ``cached`` when the rows are cached, as a micro-batch is: the list of its polls is then not written out.
+    ``polls`` is the numbered list of polls, if it is at hand as a table.
     """
-    polls = broadcast_if_small(number_polls(rows), max_broadcast_rows, keep=not cached)
+    if polls is None:
+        polls = broadcast_if_small(number_polls(rows), max_broadcast_rows)
     numbered = rows.join(polls, list(POLL)).where("station_id is not null")
     # Keyed by the poll that is compared with it. The shift makes both join sides plain shuffles, which AQE can split
     # when one (poll, station) is hot.

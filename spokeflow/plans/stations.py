@@ -11,12 +11,16 @@ from spokeflow.operators import records
 from spokeflow.operators.changes import changed
 from spokeflow.operators.enrich import enrich
 from spokeflow.operators.upsert import latest
+from spokeflow.schemas import CURRENT_STATUS
 from spokeflow.sinks.serving import Question, serve
 from spokeflow.sinks.upsert import UpsertTable
 from spokeflow.streaming.changes import ChangeFilter
 from spokeflow.streaming.current import current_status
 from spokeflow.streaming.run import POLL_INTERVAL, start
 
+# Metadata rows hold names, so fewer of them make about 20 MB.
+METADATA_ROWS = 100_000
+
 
 def status_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed records of all readable documents, and the records set aside with a reason."""
@@ -33,7 +37,8 @@ def status_log(documents: DataFrame) -> DataFrame:
 def current_table(log: DataFrame, information: DataFrame) -> DataFrame:
     """Last status of each station with its metadata."""
     status = latest(log, "station_id", ("ingested_at", "pos"))
-    return enrich(status, broadcast_if_small(information))
+    needed = information.select("key", *[name for name, side, _ in CURRENT_STATUS if side == "info"])
+    return enrich(status, broadcast_if_small(needed, METADATA_ROWS))
 
 
 def start_change_filter(

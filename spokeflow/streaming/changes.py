@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.operators.changes import POLL, flag_changes, poll_counts
+from spokeflow.operators.changes import POLL, flag_changes, number_polls, poll_counts
 from spokeflow.operators.upsert import latest
 from spokeflow.schemas import TRACKED_FIELDS
 
@@ -33,21 +33,29 @@ class ChangeFilter:
 
     def process(self, records: DataFrame, batch_id: int) -> None:
         records = records.persist()
-        spark = records.sparkSession
-        seen = self._previous(spark, batch_id)
+        try:
+            self._process(records, batch_id)
+        finally:
+            records.unpersist()
+
+    def _process(self, records: DataFrame, batch_id: int) -> None:
+        seen = self._previous(records.sparkSession, batch_id)
         # The last poll seen takes part as the poll before the first one of this batch.
         rows = records.withColumn("_kept", F.lit(False))
         if seen is not None:
             rows = rows.unionByName(seen.withColumn("_kept", F.lit(True)), allowMissingColumns=True)
-        flagged = flag_changes(rows, self.fields, cached=True).where("not _kept").drop("_kept", "poll_no")
+        # Written into a slot too, not checkpointed: a standing query must not leave a file behind per batch.
+        polls = f"{self.path}/polls/slot={batch_id % 2}"
+        number_polls(rows).write.mode("overwrite").parquet(polls)
+        flagged = flag_changes(rows, self.fields, polls=records.sparkSession.read.parquet(polls))
+        flagged = flagged.where("not _kept").drop("_kept", "poll_no")
         self.publish(flagged.where("changed").drop("changed"), batch_id)
         if self.report:
             self.report(poll_counts(flagged), batch_id)
         self._keep(rows, batch_id)
-        records.unpersist()
 
     def _slot(self, batch_id: int) -> str:
-        return f"{self.path}/slot={batch_id % 2}"
+        return f"{self.path}/stations/slot={batch_id % 2}"
 
     def _previous(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
         return spark.read.parquet(self._slot(batch_id - 1)) if batch_id else None
