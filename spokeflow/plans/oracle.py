@@ -57,9 +57,9 @@ def _windows(key: str, interval: str) -> str:
     origin = "TIMESTAMP '2000-01-01'"
     return f"""windows AS (SELECT {key}, time_bucket(INTERVAL '{interval}', ingested_at, {origin}) AS window_start,
         count(*) AS n, min(num_bikes_available) AS min_value, max(num_bikes_available) AS max_value,
-        round(avg(num_bikes_available), 6) AS avg_value, arg_min(num_bikes_available, pos) AS first_value,
-        arg_max(num_bikes_available, pos) AS last_value,
-        arg_max(num_bikes_available, pos) - arg_min(num_bikes_available, pos) AS change
+        round(avg(num_bikes_available), 6) AS avg_value, arg_min(num_bikes_available, row(ingested_at, pos)) AS first_value,
+        arg_max(num_bikes_available, row(ingested_at, pos)) AS last_value,
+        arg_max(num_bikes_available, row(ingested_at, pos)) - arg_min(num_bikes_available, row(ingested_at, pos)) AS change
         FROM status GROUP BY ALL)"""
 
 
