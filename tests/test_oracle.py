@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as contract
 from conftest import DATA
+from spokeflow.plans.oracle import ORACLE
+from spokeflow.plans.slate import QUERIES
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 TYPES = {
@@ -38,10 +40,10 @@ def check(spark, name, sf):
 
 
 def test_every_query_has_an_oracle():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE.keys()
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, name):
     check(spark, name, "sf0.01")
 
