@@ -1,0 +1,9 @@
+"""Operators of a training-data pipeline. Nothing else in the library imports them."""
+
+from pyspark import cloudpickle
+
+from spokeflow.llm import bpe, words
+
+# Workers need not have the package installed to run the functions of these modules.
+for module in (bpe, words):
+    cloudpickle.register_pickle_by_value(module)
