@@ -264,7 +264,7 @@ def encoded(text: str | Column, path: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(Vocabulary(path))
         for texts in batches:
-            yield pa.array((encoder.encode(t.as_py() or "") for t in texts), pa.binary(), len(texts))
+            yield pa.array((encoder.encode(t.as_py() or "") for t in texts), pa.binary(), size=len(texts))
 
     return encode(text)
 
@@ -277,7 +277,7 @@ def decoded(ids: str | Column, path: str) -> Column:
         decoder = Decoder(Vocabulary(path))
         for packed in batches:
             packed = pc.fill_null(packed, b"")
-            yield pa.array((decoder.decode(p.as_py()) for p in packed), pa.string(), len(packed))
+            yield pa.array((decoder.decode(p.as_py()) for p in packed), pa.string(), size=len(packed))
 
     return decode(ids)
 
