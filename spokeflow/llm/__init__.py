@@ -2,8 +2,8 @@
 
 from pyspark import cloudpickle
 
-from spokeflow.llm import bpe, words
+from spokeflow.llm import bpe, wavelet, words
 
 # Workers need not have the package installed to run the functions of these modules.
-for module in (bpe, words):
+for module in (bpe, wavelet, words):
     cloudpickle.register_pickle_by_value(module)

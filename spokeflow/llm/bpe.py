@@ -185,11 +185,34 @@ class Bounded(dict):
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
+        self.put(key, found)
+        return found
+
+    def put(self, key: str, found: bytes) -> None:
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[key] = found
-        return found
+
+
+AFTER_WORDS = regex.compile(rf"(?<=[^{regex.escape(WHITE)}])(?= )").split
+
+
+def cut(text: str) -> tuple[list[str], list[str]]:
+    """Cut a text where pre-tokens always part: pieces as they stand, then pieces to be read with :func:`uncut`.
+
+    A space after a word, and a line end between two, is such a place unless more white space follows. Texts with runs or
+    other kinds of white space are cut with more care, into pieces as they stand.
+    """
+    if any(run in text for run in RUNS) or any(c in text for c in (RARE[:4] if text.isascii() else RARE)):
+        return AFTER_WORDS(text), []
+    first, *rest = text.replace("\n", " \n").split(" ")
+    return [first], rest
+
+
+def uncut(piece: str) -> str:
+    """A piece after a space, or one that begins with a line end instead."""
+    return piece if piece[:1] == "\n" else " " + piece
 
 
 class Encoder:
@@ -201,7 +224,6 @@ class Encoder:
         self.pre_tokens = regex.compile(
             PRE_TOKEN.replace(r"[^\s", f"[^{white}").replace(r"\S", f"[^{white}]").replace(r"\s", f"[{white}]")
         ).findall
-        self.after_words = regex.compile(rf"(?<=[^{white}])(?= )").split
         self.token = Bounded(self._token).__getitem__
         self.piece = Bounded(self._piece).__getitem__
         self.spaced = Bounded(self._spaced).__getitem__
@@ -214,19 +236,12 @@ class Encoder:
         return b"".join(map(self.token, self.pre_tokens(piece)))
 
     def _spaced(self, piece: str) -> bytes:
-        """A piece after a space, or one that begins with a line end instead."""
-        return self._piece(piece if piece[:1] == "\n" else " " + piece)
+        return self._piece(uncut(piece))
 
     def part(self, text: str) -> bytes:
-        """Encode a text without special tokens.
-
-        A space after a word, and a line end between two, always part pre-tokens, unless more white space follows; texts with
-        runs or other kinds of white space are cut with more care.
-        """
-        if any(run in text for run in RUNS) or any(c in text for c in (RARE[:4] if text.isascii() else RARE)):
-            return b"".join(map(self.piece, self.after_words(text)))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.piece(first) + b"".join(map(self.spaced, rest))
+        """Encode a text without special tokens."""
+        raw, spaced = cut(text)
+        return b"".join(map(self.piece, raw)) + b"".join(map(self.spaced, spaced))
 
     def encode(self, text: str) -> bytes:
         special = self.vocabulary.special_at

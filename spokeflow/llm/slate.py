@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.llm import bpe, mixing
+from spokeflow.llm import bpe, mixing, wavelet
+from spokeflow.session import run_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+END_OF_DOCUMENT = 2
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,9 +31,15 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = run_dir(spark, "tokens")
+    wavelet.write_shards(table(spark, sf_dir, "documents"), path, TOKENIZER, END_OF_DOCUMENT)
+    return wavelet.document_index(wavelet.read_shards(spark, path))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_bpe, op7_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_bpe, op5_wavelet, op7_mixing)}
 ORACLE: dict[str, str] = {}
