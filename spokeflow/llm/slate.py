@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.llm import bpe, mixing, wavelet
+from spokeflow.llm import bpe, mixing, near, wavelet
 from spokeflow.session import run_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,9 +37,14 @@ def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.document_index(wavelet.read_shards(spark, path))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_bpe, op5_wavelet, op7_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_bpe, op5_wavelet, op6_minhash, op7_mixing)}
 ORACLE: dict[str, str] = {}
