@@ -8,11 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.llm import bpe, chat, mixing, near, wavelet
+from spokeflow.llm import bpe, chat, mixing, near, urls, wavelet
 from spokeflow.session import run_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_OF_DOCUMENT = 2
+URL_RULES = [
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,5 +74,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat, op4_bpe, op5_wavelet, op6_minhash, op7_mixing)}
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat, op4_bpe, op5_wavelet, op6_minhash, op7_mixing, op10_urls)}
 ORACLE: dict[str, str] = {}
