@@ -2,8 +2,8 @@
 
 from pyspark import cloudpickle
 
-from spokeflow.llm import bpe, near, wavelet, words
+from spokeflow.llm import bpe, near, quality, wavelet, words
 
 # Workers need not have the package installed to run the functions of these modules.
-for module in (bpe, near, wavelet, words):
+for module in (bpe, near, quality, wavelet, words):
     cloudpickle.register_pickle_by_value(module)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.llm import bpe, chat, mixing, near, urls, wavelet
+from spokeflow.llm import bpe, chat, mixing, near, quality, urls, wavelet
 from spokeflow.session import run_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,9 +74,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classified(documents, table(spark, sf_dir, "labels"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat, op4_bpe, op5_wavelet, op6_minhash, op7_mixing, op10_urls)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat, op4_bpe, op5_wavelet, op6_minhash, op7_mixing, op8_quality, op10_urls)}
 ORACLE: dict[str, str] = {}
