@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.llm import bpe, chat, mixing, near, quality, urls, wavelet
+from spokeflow.llm import bpe, chat, licenses, mixing, near, quality, urls, wavelet
 from spokeflow.session import run_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labelled(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -83,5 +87,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat, op4_bpe, op5_wavelet, op6_minhash, op7_mixing, op8_quality, op10_urls)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_chat, op4_bpe, op5_wavelet, op6_minhash, op7_mixing, op8_quality, op10_urls)}
 ORACLE: dict[str, str] = {}

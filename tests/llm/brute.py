@@ -50,3 +50,18 @@ def near_components(texts, percent=75):
         for s in rare:
             index[s].append(shingles)
     return {doc: (len(sets[doc]), root(doc)) for doc in sets}
+
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def license_places(text):
+    """(words, sorted places of the phrases, their labels)."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_ascii(text))
+    places, labels = [], set()
+    for phrase, label in PHRASES.items():
+        wanted = phrase.split()
+        found = [i for i in range(len(words)) if words[i : i + len(wanted)] == wanted]
+        places += found
+        labels |= {label} if found else set()
+    return len(words), sorted(places), labels
