@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.llm import bpe, chat, licenses, mixing, near, quality, urls, wavelet
+from spokeflow.llm import bpe, chat, licenses, mixing, near, quality, topk, urls, wavelet
 from spokeflow.session import run_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,9 +83,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(documents, table(spark, sf_dir, "labels"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_chat, op4_bpe, op5_wavelet, op6_minhash, op7_mixing, op8_quality, op10_urls)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_chat, op4_bpe, op5_wavelet, op6_minhash, op7_mixing, op8_quality, op9_topk, op10_urls)}
 ORACLE: dict[str, str] = {}
