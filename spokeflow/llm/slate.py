@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.llm import bpe, chat, licenses, mixing, near, quality, topk, urls, wavelet
+from spokeflow.llm import bpe, chat, fingerprint, licenses, mixing, near, quality, topk, urls, wavelet
 from spokeflow.session import run_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,6 +53,19 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.as_string("sketch").alias("fingerprint"),
+        fingerprint.as_string("edited_sketch").alias("edited_fingerprint"),
+        fingerprint.likeness("sketch", "edited_sketch").alias("near_edited"),
+        fingerprint.likeness("sketch", "next_sketch").alias("near_next"),
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", bpe.encoded("text", TOKENIZER).alias("ids"))
     return documents.select(
@@ -91,5 +104,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_chat, op4_bpe, op5_wavelet, op6_minhash, op7_mixing, op8_quality, op9_topk, op10_urls)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_chat, op3_fingerprints, op4_bpe, op5_wavelet, op6_minhash, op7_mixing, op8_quality, op9_topk, op10_urls)}
 ORACLE: dict[str, str] = {}
