@@ -128,10 +128,11 @@ def scores(urls: DataFrame) -> DataFrame:
 def threshold(scored: DataFrame) -> float | None:
     """The score from which URLs are accepted; None if the rules decide none of one class.
 
-    Scores are counted in a bounded number of bins; the best border between two bins comes back, the lowest of equals.
+    Scores are counted in a bounded number of bins. Of the borders between two bins of such URLs the best is taken, the lowest
+    of equals, and of the scores between the two the middle.
     """
     at = F.floor(F.least(F.lit(EDGE), F.greatest(F.lit(-EDGE), "score")) / BIN).alias("bin")
-    bins = scored.groupBy(at).agg(*[F.sum(c).alias(c) for c in CLASSES])
+    bins = scored.groupBy(at).agg(*[F.sum(c).alias(c) for c in CLASSES]).where(" + ".join(CLASSES) + " > 0")
     below = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     everything = W.partitionBy()
     allow, block = CLASSES
@@ -139,8 +140,9 @@ def threshold(scored: DataFrame) -> float | None:
         F.sum(allow).over(below), F.lit(0)
     ) / F.sum(allow).over(everything)
     both = bins.withColumn("total", F.least(F.sum(allow).over(everything), F.sum(block).over(everything))).where("total > 0")
-    best = both.withColumn("gain", gain).orderBy(F.desc("gain"), "bin").select("bin").first()
-    return None if best is None else float(best["bin"] * BIN)
+    border = (F.coalesce(F.lag("bin").over(W.orderBy("bin")) + 1, F.col("bin")) + F.col("bin")) / 2 * BIN
+    best = both.withColumn("gain", gain).withColumn("border", border).orderBy(F.desc("gain"), "bin").first()
+    return None if best is None else float(best["border"])
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
