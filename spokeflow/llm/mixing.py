@@ -102,7 +102,7 @@ def apportion(parties: DataFrame, within: Sequence[str], ident: Sequence[str], q
 
 def _blocks(words: str | Column, length: Column) -> Column:
     words = F.col(words) if isinstance(words, str) else words
-    return F.when(words > 0, F.greatest(F.lit(1), F.round(words / length))).otherwise(0).cast("bigint")
+    return F.when(words > 0, F.greatest(F.lit(1), F.round(words / F.nullif(length, F.lit(0))))).otherwise(0).cast("bigint")
 
 
 def mix(
@@ -156,7 +156,7 @@ def mix(
         F.col("_source").alias("_of"), F.col("_shard").alias("_at"), "_words", "_blocks", "_quota"
     )
     run = W.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col("_draw")), "doc_id", "size")
-    n, size = F.col("_blocks"), F.col("size")
+    n, size = F.greatest(F.lit(1), "_blocks"), F.col("size")
     first = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("_source"), F.col("_shard")), n)
     placed = (
         rows.join(shards, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_shard") == F.col("_at")))
@@ -176,7 +176,7 @@ def mix(
     run_taken = overlap(edge(F.col("_first")), edge(F.least("_to", n))) + overlap(
         F.lit(0), edge(F.greatest(F.lit(0), F.col("_to") - n))
     )
-    taken = F.when(n > 0, F.floor(F.col("_quota") / n) * size + run_taken).otherwise(0)
+    taken = F.when(F.col("_blocks") > 0, F.floor(F.col("_quota") / n) * size + run_taken).otherwise(0)
     return placed.select(*sizes.columns, "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
