@@ -1,0 +1,70 @@
+from llm import brute
+import pytest
+
+from spokeflow.llm import licenses, slate
+
+
+def by_row(rows):
+    return sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows)
+
+
+def expected(rows):
+    out = []
+    for doc_id, text in rows:
+        n, places, labels = brute.license_places(text)
+        ends = (places[0], places[-1]) if places else (None, None)
+        out.append((doc_id is not None, doc_id or 0, n, len(places), *ends, ",".join(sorted(labels))))
+    return sorted(out, key=repr)
+
+
+ODD = [
+    (1, "MIT License mit license, CC BY-NC; cc by gnu General public LICENSE apache license"),
+    (2, None),
+    (3, ""),
+    (4, "mit"),
+    (4, "license"),
+    (5, "mit license " * 3000),
+    (6, "ümit license mitlicense mit  \n license"),
+    (7, "gnu general public general public license"),
+    (8, "gnu gnu general public license licence"),
+    (None, "cc by"),
+    (9, "cc by"),
+    (9, "cc by"),
+]
+
+
+def test_places_are_those_of_a_plain_search(documents):
+    found = licenses.labelled(documents(ODD)).collect()
+    assert sorted(by_row(found), key=repr) == expected(ODD)
+
+
+def test_given_documents(spark, given):
+    rows = [(r["doc_id"], r["text"]) for r in given("sf0.01", "documents")]
+    found = slate.op1_licenses(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(by_row(found), key=repr) == expected(rows)
+
+
+def test_a_notice_with_changed_words_is_found_across_diagonals(documents):
+    notice = licenses.NOTICES[4].text
+    changed = notice.replace("free of charge", "free of any charge")
+    rows, spans = licenses.scanned(documents([(1, "x y z " + changed + " end"), (2, notice[:40])]))
+    (span,) = [s for s in spans.collect() if s.template == 8]
+    assert (span.first, span.share >= 0.75) == (3, True)
+    assert span.length == len(changed.split())
+
+
+def test_labels_and_score(documents):
+    rows = [(1, "Released under the MIT License."), (2, "nothing here"), (3, "licensed under cc by-nc 4.0")]
+    found = {r.doc_id: r for r in licenses.labelled(documents(rows)).collect()}
+    assert (found[1].labels, found[1].score) == ("mit,mit-notice", 1.0)
+    assert (found[2].labels, found[2].score, found[2].first_word) == ("", 0.0, None)
+    assert found[3].labels == "cc-by,cc-by-nc"
+
+
+def test_empty_table(documents):
+    assert licenses.labelled(documents([])).collect() == []
+
+
+def test_a_template_needs_words():
+    with pytest.raises(ValueError, match="fewer"):
+        licenses.template_runs([licenses.Template("x", "one", True)])

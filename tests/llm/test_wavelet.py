@@ -1,0 +1,79 @@
+import zlib
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from spokeflow.llm import slate, wavelet
+
+
+@pytest.mark.parametrize(("n", "kinds"), [(0, 1), (1, 1), (7, 1), (511, 3), (512, 2), (1000, 5), (5000, 700)])
+def test_matrix(n, kinds):
+    rng = np.random.RandomState(n)
+    numbers = rng.randint(0, kinds, size=n).astype(np.uint16)
+    matrix = wavelet.WaveletMatrix.build(numbers, max(1, (kinds - 1).bit_length()))
+    assert matrix.everything().tolist() == numbers.tolist()
+    for place in rng.randint(0, n, size=30) if n else []:
+        assert matrix.access(int(place)) == numbers[place]
+    for number in range(min(kinds, 9)):
+        places = np.flatnonzero(numbers == number)
+        for place in [0, n, *rng.randint(0, n + 1, size=5)]:
+            assert matrix.rank(number, int(place)) == (numbers[:place] == number).sum()
+        for k in range(0, len(places), max(1, len(places) // 7)):
+            assert matrix.select(number, k) == places[k]
+        assert matrix.select(number, len(places)) == -1
+    with pytest.raises(IndexError):
+        matrix.access(n)
+
+
+def index(rows, library):
+    out, start = [], 0
+    for doc_id, text in rows:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def written(rows, path, **options):
+    wavelet.write_shards(rows, path, slate.TOKENIZER, 2, **options)
+    return wavelet.read_shards(rows.sparkSession, path)
+
+
+def test_given_documents(spark, given):
+    rows = sorted((r["doc_id"], r["text"]) for r in given("sf0.001", "documents"))
+    found = slate.op5_wavelet(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(tuple(r) for r in found) == index(rows, Tokenizer.from_file(slate.TOKENIZER))
+
+
+def test_many_small_shards(spark, given, documents, path):
+    rows = sorted((r["doc_id"], r["text"]) for r in given("sf0.001", "documents"))
+    shards = written(documents(rows), path + "/s", shard_tokens=500)
+    assert shards.count() > 50
+    assert len(shards.inputFiles()) == shards.count()
+    found = wavelet.document_index(shards).collect()
+    assert sorted(tuple(r) for r in found) == index(rows, Tokenizer.from_file(slate.TOKENIZER))
+
+
+def test_odd_rows(documents, path):
+    rows = [(None, "null id"), (1, None), (2, ""), (3, "b"), (3, "a"), (4, "long " * 20_000)]
+    found = wavelet.document_index(written(documents(rows), path + "/s", shard_tokens=3)).collect()
+    rows[3:5] = rows[4:2:-1]  # equal ids go by their texts
+    assert sorted((tuple(r) for r in found), key=lambda r: r[1]) == index(rows, Tokenizer.from_file(slate.TOKENIZER))
+
+
+def test_empty_table(documents, path):
+    assert wavelet.document_index(written(documents([]), path + "/s")).collect() == []
+
+
+def test_lookup_without_decoding(documents, path):
+    library = Tokenizer.from_file(slate.TOKENIZER)
+    rows = [(i, f"the cat {i} and the dog") for i in range(40)]
+    shards = written(documents(rows), path + "/s", shard_tokens=50)
+    the = library.encode(" the").ids[0]
+    found = sorted(tuple(r) for r in wavelet.occurrences(shards, the).collect())
+    assert found == sorted((i, k) for i, t in rows for k, token in enumerate(library.encode(t).ids) if token == the)
+    shard = wavelet.Shard(shards.where("first_doc = 0").first().asDict())
+    ids = shard.tokens().tolist()
+    assert [shard.token(i) for i in range(len(ids))] == ids
+    assert shard.count(the) == ids.count(the) and shard.count(the, 9) == ids[:9].count(the) and shard.count(49_999) == 0
