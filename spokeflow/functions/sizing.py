@@ -1,4 +1,4 @@
-"""Broadcast only what was counted first; split only what is too big."""
+"""Broadcast only what was counted first."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from spokeflow.session import checkpointed
 
 # Narrow rows of well under 100 bytes: about 50 MB at the bound.
 BROADCAST_ROWS = 500_000
-# Rows one task should sort for a single key.
-CHUNK_ROWS = 1_000_000
-CELL_MICROS = 3_600 * 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -22,39 +19,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
-
-
-def _cell(ts: str) -> Column:
-    return F.floor(micros(F.col(ts)) / F.lit(CELL_MICROS)).cast("bigint")
-
-
-def hot_cells(df: DataFrame, key: str, ts: str, chunk_rows: int) -> DataFrame | None:
-    """Hours of the keys that hold more than ``chunk_rows`` rows, each with the width of its slices.
-
-    Counts are combined before the shuffle and at most rows/chunk_rows keys pass, so the result stays small.
-    None when no key is that big.
-    """
-    hot = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > chunk_rows).select(F.col(key).alias("_hot"))
-    hot = broadcast_if_small(hot)
-    if hot.isEmpty():
-        return None
-    at = micros(F.col(ts))
-    slices = F.ceil(F.count("*") / F.lit(chunk_rows))
-    return broadcast_if_small(
-        df.join(hot, df[key].eqNullSafe(hot["_hot"]), "left_semi")
-        .groupBy(F.col(key).alias("_hot"), _cell(ts).alias("_hot_cell"))
-        .agg(F.min(at).alias("_from"), F.ceil((F.max(at) - F.min(at) + 1) / slices).alias("_width"))
-    )
-
-
-def with_chunk(df: DataFrame, key: str, ts: str, cells: DataFrame) -> DataFrame:
-    """Add ``_chunk``: rising with time inside a hot key, NULL for the others.
-
-    An hour is sliced evenly between its first and last row. A burst within it makes its slice bigger, never wrong.
-    """
-    rows = df.withColumn("_cell", _cell(ts))
-    rows = rows.join(
-        cells, rows[key].eqNullSafe(cells["_hot"]) & (rows["_cell"] == cells["_hot_cell"]), "left"
-    )
-    chunk = F.col("_from") + F.floor((micros(F.col(ts)) - F.col("_from")) / F.col("_width")) * F.col("_width")
-    return rows.withColumn("_chunk", chunk).drop("_cell", "_hot", "_hot_cell", "_from", "_width")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spokeflow.functions.sizing import CHUNK_ROWS
 from spokeflow.operators.neighbours import with_previous
 
 
@@ -31,11 +30,13 @@ def usage_by_hour(
     value: str = "num_bikes_available",
     order: Sequence[str] = ("ingested_at", "pos"),
     zone: str = "UTC",
-    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Bikes moved per station and hour of day: the sum of absolute steps between a station's successive rows."""
-    narrow = rows.select(station, *order, value)
-    steps = with_previous(narrow, station, order, [value], chunk_rows).where("previous is not null")
+    """Bikes moved per station and hour of day: the sum of absolute steps between a station's successive known values.
+
+    A row without a time comes before all others; its own step has no hour.
+    """
+    narrow = rows.where(F.col(value).isNotNull()).select(station, *order, value)
+    steps = with_previous(narrow, station, order, [value]).where("previous is not null")
     return steps.groupBy(station, hour_of(F.col(order[0]), zone).alias("hour")).agg(
         F.sum(F.abs(F.col(value) - F.col(f"previous.{value}"))).alias("usage")
     )
@@ -63,12 +64,11 @@ def time_weighted(
     station: str = "station_id",
     value: str = "num_bikes_available",
     order: Sequence[str] = ("ingested_at", "pos"),
-    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Mean value per station, each value weighted by the seconds until the station's next row."""
     ts = order[0]
     narrow = rows.select(station, *order, value)
-    pairs = with_previous(narrow, station, order, [ts, value], chunk_rows)
+    pairs = with_previous(narrow, station, order, [ts, value])
     seconds = F.timestamp_diff("SECOND", F.col(f"previous.{ts}"), F.col(ts))
     held = F.col(f"previous.{value}")
     known = F.when(held.isNotNull(), seconds)

@@ -1,4 +1,4 @@
-"""A row and the row before it, per key, without ever sorting a whole hot key in one task."""
+"""A row and the row before it, per key, in one form for every size: no counting first, and no window over a whole key."""
 
 from __future__ import annotations
 
@@ -7,30 +7,57 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spokeflow.functions.sizing import CHUNK_ROWS, hot_cells, with_chunk
+from spokeflow.functions.sizing import micros
+
+HOUR_MICROS = 3_600 * 1_000_000
+# Rows of one instant, by the second order column, that one task sorts at most for a key.
+RUN = 100_000
+UNORDERED = (T.MapType, T.VariantType)
 
 
 def with_previous(
-    df: DataFrame, key: str, order: Sequence[str], carry: Sequence[str], chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, key: str, order: Sequence[str], carry: Sequence[str], cell: int = HOUR_MICROS, run: int = RUN
 ) -> DataFrame:
     """Add ``previous``: the ``carry`` columns of the key's row just before, by ``order`` (time first); NULL for the first.
 
-    Keys of ordinary size take one window. A hot key is cut into time chunks; inside a chunk the window is the same, and
-    the chunks are stitched by a second window that sees only the first and last row of each.
+    Rows without a time come first. Equal rows by ``order`` go by the other columns. The answer does not depend on ``cell``
+    and ``run``; they only say how a key is cut: into cells of time (microseconds), and a cell into its instants, of which a
+    hot one is cut by the second order column. A window inside each piece finds most rows; the first row of a piece finds its
+    own among the first and last rows of the cell's pieces, and that of a cell among those of the key's cells.
     """
+    ts, *rest = order
+    others = [f.name for f in df.schema if f.name not in (key, *order) and not isinstance(f.dataType, UNORDERED)]
+    full = [*order, *others]
     before = F.lag(F.struct(*carry))
-    cells = hot_cells(df, key, order[0], chunk_rows)
-    if cells is None:
-        return df.withColumn("previous", before.over(W.partitionBy(key).orderBy(*order)))
-
-    inside = W.partitionBy(key, "_chunk").orderBy(*order)
-    rows = (
-        with_chunk(df, key, order[0], cells)
-        .withColumn("previous", before.over(inside))
-        .withColumn("_last", F.lead(F.lit(True)).over(inside).isNull())
-        .withColumn("_first", F.col("_chunk").isNotNull() & F.col("previous").isNull())
+    cut = df.withColumns(
+        {
+            "_cell": F.floor(micros(F.col(ts)) / F.lit(cell)).cast("bigint"),
+            "_run": F.floor(F.col(rest[0]) / F.lit(run)).cast("bigint") if rest else F.lit(0),
+        }
+    )
+    piece = W.partitionBy(key, "_cell", ts, "_run").orderBy(*full)
+    rows = cut.withColumns(
+        {
+            "previous": before.over(piece),
+            "_n": F.row_number().over(piece),
+            "_last": F.lead(F.lit(True)).over(piece).isNull(),
+        }
+    )
+    in_cell = W.partitionBy(key, "_cell").orderBy(*full, "_n")
+    edges = rows.where("_n = 1 or _last").withColumns(
+        {
+            "_before": before.over(in_cell),
+            "_opens": F.lag(F.lit(True)).over(in_cell).isNull(),
+            "_closes": F.lead(F.lit(True)).over(in_cell).isNull(),
+        }
     )
-    edges = rows.where("_chunk is not null and (_first or _last)")
-    stitched = edges.withColumn("previous", before.over(W.partitionBy(key).orderBy(*order))).where("_first")
-    return rows.where("not _first").unionByName(stitched).drop("_chunk", "_last", "_first")
+    of_key = W.partitionBy(key).orderBy(*full, "_n")
+    ends = edges.where("_opens or _closes").withColumn("_before", before.over(of_key))
+    found = [
+        rows.where("_n > 1").select(*df.columns, "previous"),
+        edges.where("_n = 1 and not _opens").select(*df.columns, F.col("_before").alias("previous")),
+        ends.where("_opens").select(*df.columns, F.col("_before").alias("previous")),
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])

@@ -17,10 +17,20 @@ STATUS = """status AS (
            event_type = 'click' AS eightd_has_available_keys, CAST(event_id AS VARCHAR) AS legacy_id
     FROM events)"""
 
+# Errors have lost their time, views their value, and all times are cut to the hour, so that many rows share one.
+GAPS = """gaps AS (SELECT * EXCLUDE (ingested_at, num_bikes_available),
+        CASE WHEN event_type <> 'error' THEN date_trunc('hour', ingested_at) END AS ingested_at,
+        CASE WHEN event_type <> 'view' THEN num_bikes_available END AS num_bikes_available FROM status)"""
+
 INFO = """info AS (
     SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon,
            CAST(trunc(s_acctbal) AS INTEGER) AS capacity, upper(s_name) AS short_name FROM supplier)"""
 
+LOG_ORDER = """ended AS (
+    SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
+    log AS (SELECT CAST(o_custkey AS VARCHAR) AS key, CAST(o_orderkey AS VARCHAR) AS name,
+        CAST(trunc(o_totalprice) AS INTEGER) AS capacity, o_orderkey AS position FROM ended WHERE o_orderstatus <> 'F')"""
+
 REGIONS = """regions AS (
     SELECT CAST(s_suppkey AS VARCHAR) AS station_id, r_name AS region_id FROM supplier
     LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)"""
@@ -48,7 +58,8 @@ def _changes(state: str) -> str:
 POLL_CHANGES = f"WITH {STATUS}, {_changes('event_type')} SELECT station_id, poll, pos, event_type FROM flagged WHERE changed"
 
 USAGE = """steps AS (SELECT station_id, hour(ingested_at) AS hour, abs(num_bikes_available - lag(num_bikes_available)
-        OVER (PARTITION BY station_id ORDER BY ingested_at, pos)) AS step FROM status),
+        OVER (PARTITION BY station_id ORDER BY ingested_at NULLS FIRST, pos)) AS step FROM status
+        WHERE num_bikes_available IS NOT NULL),
     usage AS (SELECT station_id, CAST(hour AS BIGINT) AS hour, CAST(sum(step) AS BIGINT) AS usage FROM steps
         WHERE step IS NOT NULL GROUP BY station_id, hour)"""
 
@@ -138,6 +149,7 @@ ORACLE: dict[str, str] = {
               GROUP BY region_id, hour)
         SELECT *, CAST(row_number() OVER (PARTITION BY region_id ORDER BY usage DESC, hour) AS INTEGER) AS rank
         FROM r QUALIFY rank <= 3""",
+    "usage_with_gaps": f"""WITH {STATUS}, {GAPS}, {USAGE.replace('FROM status', 'FROM gaps')} SELECT * FROM usage""",
     "tumbling_5m": TUMBLING_5M,
     "tumbling_5m_station": f"""WITH {STATUS}, {_windows('station_id', '5 minutes')}
         SELECT *, {_previous('station_id')} FROM windows""",
@@ -186,6 +198,9 @@ ORACLE: dict[str, str] = {
     "staged_tables": """SELECT 'TRIP_DATA_SUPPLIER' AS asset, count(*) AS n FROM supplier
         UNION ALL SELECT 'TRIP_DATA_NATION', count(*) FROM nation
         UNION ALL SELECT 'TRIP_DATA_EVENTS', count(*) FROM events""",
+    "information_log_order": f"WITH {LOG_ORDER} SELECT * FROM log",
+    "stream_log_order": f"""WITH {LOG_ORDER} SELECT CAST(c_custkey AS VARCHAR) AS station_id, name, capacity
+        FROM customer LEFT JOIN log ON key = CAST(c_custkey AS VARCHAR)""",
     "stream_current": ENRICHED_CURRENT,
     "stream_enriched": ENRICHED_LOG,
     "stream_tumbling": TUMBLING_5M,

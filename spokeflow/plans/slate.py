@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from spokeflow.functions import decode, encode
 from spokeflow.operators import records
 from spokeflow.operators.analytics import low_availability, peak_hours, time_weighted, usage_by_hour, with_region
+from spokeflow.operators.records import decode_information
 from spokeflow.operators.changes import flag_changes, poll_counts
 from spokeflow.operators.enrich import enrich
 from spokeflow.operators.quality import primary_key, run_tests
 from spokeflow.operators.upsert import latest
 from spokeflow.operators.windows import area_totals, change_since_previous, fill_forward, last_values, tumbling
 from spokeflow.plans.models import union_all
+from spokeflow.schemas import STATUS_FIELDS
 from spokeflow.session import configure, run_dir
 from spokeflow.sinks.messages import information_messages, status_messages
 from spokeflow.sinks.tables import asset_name, write_path
@@ -170,6 +172,20 @@ def peak_hours_region(spark, sf_dir):
     return peak_hours(usage, "region_id").withColumn("hour", F.col("hour").cast("bigint"))
 
 
+@query
+def usage_with_gaps(spark, sf_dir):
+    """Usage where errors have lost their time, views their value, and all times are cut to the hour."""
+    rows = status(spark, sf_dir)
+    kind = F.col("event_type")
+    rows = rows.withColumns(
+        {
+            "ingested_at": F.when(kind != "error", F.date_trunc("HOUR", "ingested_at")),
+            "num_bikes_available": F.when(kind != "view", F.col("num_bikes_available")),
+        }
+    )
+    return usage_by_hour(rows).withColumn("hour", F.col("hour").cast("bigint"))
+
+
 @query
 def tumbling_5m(spark, sf_dir):
     rows = tumbling(status(spark, sf_dir), ("event_type",), "ingested_at", "num_bikes_available", ORDER)
@@ -254,7 +270,7 @@ def as_payloads(events: DataFrame) -> DataFrame:
 
 @query
 def published_status(spark, sf_dir):
-    """Changed stations as keyed JSON messages, read back as typed events."""
+    """Status records as keyed JSON messages, read back as typed events."""
     messages = status_messages(as_payloads(table(spark, sf_dir, "events")))
     received = messages.select(
         decode.text(F.col("key")).alias("key"), decode.text(F.col("value")).alias("value")
@@ -388,6 +404,44 @@ def orders_upsert_deletes(spark, sf_dir):
     return latest(orders, "o_custkey", ("o_orderdate", "o_orderkey"), deleted=F.col("o_orderstatus") == "F")
 
 
+def order_log(orders: DataFrame) -> DataFrame:
+    """Orders as a metadata log: one key per customer, several writes within one second, deletes without any time.
+
+    The order key is the position in the log; a customer whose last message is a delete vanishes.
+    """
+    payload = F.struct(
+        F.col("o_orderkey").cast("string").alias("name"),
+        F.col("o_totalprice").alias("capacity"),
+        F.lit(1_704_067_200).alias("_ingested_at"),
+    )
+    return orders.select(
+        F.col("o_custkey").cast("string").alias("key"),
+        F.when(F.col("o_orderstatus") != "F", encode.json_text(payload)).alias("value"),
+        F.col("o_orderkey").alias("position"),
+    )
+
+
+@query
+def information_log_order(spark, sf_dir):
+    """Writes and deletes of one second are decided by their place in the log."""
+    return station_information(order_log(table(spark, sf_dir, "orders"))).select("key", "name", "capacity", "position")
+
+
+@query
+def stream_log_order(spark, sf_dir):
+    """The same log as a stream: every customer of an order has a status, and its metadata as of the end of the log."""
+    path = run_dir(spark, "stream_log_order")
+    info = decode_information(order_log(stream(spark, sf_dir, "orders")))
+    nothing = {n: F.lit(None).cast(t) for n, t in STATUS_FIELDS.items()}
+    rows = stream(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("station_id"), F.lit(None).cast("timestamp").alias("ingested_at"), F.lit(0).alias("pos")
+    )
+    result = UpsertTable(f"{path}/table", ("station_id",))
+    changes = current_status(rows.withColumns(nothing), info)
+    drain(start(changes, result.write_batch, f"{path}/checkpoint", "update", every=None))
+    return result.read(spark).select("station_id", "name", "capacity")
+
+
 @query
 def staged_tables(spark, sf_dir):
     """Tables named by a manifest, copied to staging and read back."""

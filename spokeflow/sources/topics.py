@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,14 @@ from spokeflow.operators.upsert import latest
 from spokeflow.schemas import STATUS_FIELDS
 
 FILE_SCHEMA = "key binary, value binary"
+# Where a message stands in its log: a message's offset (a key stays in one partition), or for files a rising number that the
+# writer of the log adds.
+POSITIONS = ("offset", "position")
+
+
+def log_position(columns: Sequence[str]) -> tuple[str, ...]:
+    """The columns that order a log's messages of one key; none if the log has no position."""
+    return tuple(c for c in POSITIONS if c in columns)[:1]
 
 
 def read_messages(
@@ -43,7 +53,14 @@ def status_events(messages: DataFrame) -> DataFrame:
     )
 
 
-def station_information(messages: DataFrame, version: tuple[str, ...]) -> DataFrame:
-    """The metadata topic as an upsert table: the last message per key wins, one without a value deletes."""
+def station_information(messages: DataFrame, version: tuple[str, ...] = ()) -> DataFrame:
+    """The metadata topic as an upsert table: the last message per key wins, one without a value deletes.
+
+    The order is that of the log. Without a position, ``version`` must name other columns; a time in the payload orders no
+    deletes, which have no payload, and leaves writes of one second undecided.
+    """
+    order = log_position(messages.columns) or tuple(version)
+    if not order:
+        raise ValueError(f"the log has none of {POSITIONS}; name the columns that order it")
     rows = decode_information(messages)
-    return latest(rows, "key", version, deleted=F.col("deleted")).drop("deleted")
+    return latest(rows, "key", order, deleted=F.col("deleted")).drop("deleted")

@@ -1,105 +1,69 @@
 """The current status table: a left join that is updated from both sides.
 
-A new status and a new, changed or deleted metadata row each re-emit the joined row of their station. Spark joins two
-streams only within a time bound, so the join keeps the newest row of either side per station in keyed state.
+A new status and a new, changed or deleted metadata row each re-emit the joined row of their station. A stream-stream join
+would keep every row of both sides; here both logs are one stream of keyed changes, and one aggregation keeps the newest row of
+either side per station, combined before the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spokeflow.functions.sizing import micros
 from spokeflow.schemas import CURRENT_STATUS
-
-JOINED = "station_id string, status string, info string"
-SIDE_STATE = T.StructType(
-    [T.StructField("version", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("row", T.StringType())]
-)
-# Rows are kept in state as JSON, so that the state does not depend on their columns; microseconds are kept.
-JSON = {
-    "ignoreNullFields": "false",
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-}
+from spokeflow.sources.topics import log_position
 
 
 def _columns(side: str) -> list[str]:
     return [name for name, of, _ in CURRENT_STATUS if of == side]
 
 
-def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The newest row of each station in each Arrow batch."""
-    for batch in batches:
-        if batch.num_rows:
-            station = batch.column("station_id").dictionary_encode().indices.to_numpy()
-            order = np.lexsort((batch.column("seq").to_numpy(), batch.column("version").to_numpy(), station))
-            last = np.append(np.diff(station[order]) != 0, True)
-            yield batch.take(pa.array(order[last]))
-
-
-def _changes(rows: DataFrame, kind: str, key: str, version: Column, seq: Column, row: Column) -> DataFrame:
-    """One side's rows as keyed changes, combined before the shuffle: however hot a station is, at most one of its
-    rows per Arrow batch is encoded and moved."""
-    keyed = rows.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("station_id"),
-        F.coalesce(version, F.lit(0)).alias("version"),
-        F.coalesce(seq.cast("bigint"), F.lit(0)).alias("seq"),
-        row.alias("row"),
-    )
-    newest = keyed.mapInArrow(_newest, keyed.schema)
-    return newest.withColumns({"kind": F.lit(kind), "row": F.to_json("row", JSON)})
-
-
-class KeepNewest(StatefulProcessor):
-    """Newest row of either side of one station. An older row that comes late loses; a delete is kept as a row-less
-    newest entry, so that older metadata does not come back."""
+def _version(columns: Sequence[Column]) -> Column:
+    """A version of whole numbers; an unknown part counts as the oldest."""
+    return F.struct(*[F.coalesce(c.cast("bigint"), F.lit(0)).alias(f"v{i}") for i, c in enumerate(columns)])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sides = {kind: handle.getValueState(kind, SIDE_STATE) for kind in ("status", "info")}
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = {}
-        for change in rows:
-            entry = (change.version, change.seq, change.row)
-            if change.kind not in new or entry[:2] >= new[change.kind][:2]:
-                new[change.kind] = entry
-        old = {kind: self.sides[kind].get() for kind in self.sides}
-        moved = {kind: entry for kind, entry in new.items() if old[kind] is None or entry[:2] >= tuple(old[kind][:2])}
-        for kind, entry in moved.items():
-            self.sides[kind].update(entry)
-        status, info = (moved.get(kind, old[kind]) for kind in ("status", "info"))
-        if moved and status:
-            yield Row(station_id=key[0], status=status[2], info=info[2] if info else None)
-
-    def close(self) -> None:
-        pass
+def _side(rows: DataFrame, key: str, version: Column, row: Column, kind: str, types: dict[str, T.StructType]) -> DataFrame:
+    """One side's rows as changes with both sides' columns; the other side's are NULL."""
+    columns = []
+    for side, type_ in types.items():
+        own = side == kind
+        # A wrapped row: a delete is a newest entry without a row, so that older metadata does not come back.
+        columns.append((F.struct(row.alias("row")) if own else F.lit(None).cast(T.StructType().add("row", type_))).alias(side))
+        columns.append((version if own else F.lit(None).cast("struct<v0:bigint,v1:bigint>")).alias(f"{side}_version"))
+    return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("station_id"), *columns)
 
 
 def current_status(status: DataFrame, info: DataFrame) -> DataFrame:
     """Changelog of the current status table, at most one row per station and micro-batch, keyed by ``station_id``.
 
-    ``status`` has the status columns, ``ingested_at`` as version and ``pos`` to break its ties; ``info`` has the
-    metadata columns, ``key``, ``_ingested_at`` and ``deleted``. Rows without a station belong to the rejects; a row
-    without a time counts as the oldest.
+    ``status`` has the status columns, ``ingested_at`` as version and ``pos`` to break its ties; a row without a time counts
+    as the oldest. ``info`` has the metadata columns, ``key`` and ``deleted``; its order is that of its log
+    (:func:`log_position`), or of ``_ingested_at`` where the rows have no position. Rows without a station belong to the
+    rejects.
     """
     s_columns, i_columns = _columns("status"), _columns("info")
+    types = {
+        "status": T.StructType([T.StructField(c, status.schema[c].dataType) for c in s_columns]),
+        "info": T.StructType([T.StructField(c, info.schema[c].dataType) for c in i_columns]),
+    }
+    position = log_position(info.columns)
+    i_version = [F.col(c) for c in position] if position else [micros(F.col("_ingested_at"))]
     i_row = F.when(~F.coalesce("deleted", F.lit(False)), F.struct(*i_columns))
-    changes = _changes(
-        status, "status", "station_id", micros(F.col("ingested_at")), F.col("pos"), F.struct(*s_columns)
-    ).unionByName(_changes(info, "info", "key", micros(F.col("_ingested_at")), F.lit(0), i_row))
-    joined = changes.groupBy("station_id").transformWithState(
-        KeepNewest(), outputStructType=JOINED, outputMode="update", timeMode="none"
+    s_version = _version([micros(F.col("ingested_at")), F.col("pos")])
+    changes = _side(status, "station_id", s_version, F.struct(*s_columns), "status", types).unionByName(
+        _side(info, "key", _version([*i_version, F.lit(0)][:2]), i_row, "info", types)
+    )
+    newest = changes.groupBy("station_id").agg(
+        *[F.max_by(side, f"{side}_version").alias(side) for side in types]
     )
-    s_type = T.StructType([status.schema[c] for c in s_columns])
-    i_type = T.StructType([info.schema[c] for c in i_columns])
-    parsed = joined.select(F.from_json("status", s_type, JSON).alias("status"), F.from_json("info", i_type, JSON).alias("info"))
-    return parsed.select(
-        *[(F.col(f"{side}.{name}").cast(t) if t else F.col(f"{side}.{name}")).alias(name) for name, side, t in CURRENT_STATUS]
+    return newest.where("status is not null").select(
+        *[
+            (F.col(f"{side}.row.{name}").cast(t) if t else F.col(f"{side}.row.{name}")).alias(name)
+            for name, side, t in CURRENT_STATUS
+        ]
     )

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import settings
-from spokeflow.functions.sizing import hot_cells
 from spokeflow.operators.analytics import low_availability, peak_hours, time_weighted, usage_by_hour
 from spokeflow.operators.neighbours import with_previous
 from spokeflow.operators.windows import area_totals, change_since_previous, fill_forward, last_values, tumbling
@@ -46,32 +45,45 @@ def previous_by_hand(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk_rows", [20, 200, 10_000])
+MINUTE = 60_000_000
+CUTS = [{}, {"cell": MINUTE, "run": 3}, {"cell": 600 * MINUTE, "run": 50}, {"cell": 10**18, "run": 10**9}]
+
+
+@pytest.mark.parametrize("cut", CUTS)
 @pytest.mark.parametrize("seed", [0, 1])
-def test_previous_row_with_and_without_chunks(spark, chunk_rows, seed):
+def test_previous_row_does_not_depend_on_the_cut(spark, cut, seed):
     rows = skewed_rows(seed)
+    # Some rows have lost their time; they come first.
+    rows = [(s, None if pos % 11 == 0 else ts, pos, v) for s, ts, pos, v in rows]
     df = spark.createDataFrame(rows, LOG)
-    assert (hot_cells(df, "station_id", "ingested_at", chunk_rows) is None) == (chunk_rows == 10_000)
-    found = with_previous(df, "station_id", ORDER, ["pos", "num_bikes_available"], chunk_rows).collect()
-    assert {r.pos: tuple(r.previous) if r.previous else None for r in found} == previous_by_hand(rows)
+    found = with_previous(df, "station_id", ORDER, ["pos", "num_bikes_available"], **cut).collect()
+    by_hand = previous_by_hand([(s, (ts is not None, ts or at(0)), pos, v) for s, ts, pos, v in rows])
+    assert {r.pos: tuple(r.previous) if r.previous else None for r in found} == by_hand
     assert len(found) == len(rows)
 
 
-def test_no_chunk_of_a_hot_station_is_big(spark):
-    from spokeflow.functions.sizing import with_chunk
+def test_building_the_window_reads_nothing(spark):
+    df = spark.createDataFrame(skewed_rows(), LOG)
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    with_previous(df, "station_id", ORDER, ["pos"])
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() == before
+
 
-    df = spark.range(90_000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("station_id"),
-        F.timestamp_seconds(F.col("id") * 5).alias("ingested_at"),
+def test_a_burst_of_one_instant_is_cut(spark):
+    """No window sees more rows of a burst than a run, or than two for each run."""
+    df = spark.range(60_000).select(
+        F.lit("hot").alias("station_id"),
+        F.lit(at(5)).alias("ingested_at"),
+        F.col("id").alias("pos"),
+        (F.col("id") % 7).cast("int").alias("num_bikes_available"),
     )
-    cells = hot_cells(df, "station_id", "ingested_at", 500)
-    sizes = with_chunk(df, "station_id", "ingested_at", cells).where("station_id = 'hot'").groupBy("_chunk").count()
-    assert sizes.where("_chunk is null").isEmpty()
-    assert sizes.agg(F.max("count")).first()[0] <= 600
+    found = with_previous(df, "station_id", ORDER, ["pos"], run=1_000)
+    assert found.where("not previous.pos <=> nullif(pos, 0) - 1").isEmpty()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_run" in plan
 
 
-@pytest.mark.parametrize("chunk_rows", [25, 10_000])
-def test_usage_and_time_weight_do_not_depend_on_chunks(spark, chunk_rows):
+def test_usage_and_time_weight(spark):
     rows = [r for r in skewed_rows(3) if r[3] is not None]
     df = spark.createDataFrame(rows, LOG)
     usage, value_seconds, seconds, last = {}, {}, {}, {}
@@ -82,8 +94,8 @@ def test_usage_and_time_weight_do_not_depend_on_chunks(spark, chunk_rows):
             value_seconds[sid] = value_seconds.get(sid, 0) + held * int((ts - before).total_seconds())
             seconds[sid] = seconds.get(sid, 0) + int((ts - before).total_seconds())
         last[sid] = (ts, value)
-    assert {(r.station_id, r.hour): r.usage for r in usage_by_hour(df, chunk_rows=chunk_rows).collect()} == usage
-    weighted = {r.station_id: r for r in time_weighted(df, chunk_rows=chunk_rows).collect()}
+    assert {(r.station_id, r.hour): r.usage for r in usage_by_hour(df).collect()} == usage
+    weighted = {r.station_id: r for r in time_weighted(df).collect()}
     assert {s: r.value_seconds for s, r in weighted.items()} == value_seconds
     assert {s: r.seconds for s, r in weighted.items()} == seconds
 

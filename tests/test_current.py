@@ -12,6 +12,8 @@ from spokeflow.operators.upsert import latest
 from spokeflow.plans.stations import current_table, start_current_table
 from spokeflow.schemas import CURRENT_STATUS, STATION_INFORMATION, STATUS_FIELDS
 from spokeflow.sinks.upsert import UpsertTable
+from spokeflow.sources.topics import station_information
+from spokeflow.streaming.current import current_status
 from spokeflow.streaming.run import drain
 
 STATUS = "station_id string, ingested_at timestamp, pos int, " + ", ".join(f"{n} {t}" for n, t in STATUS_FIELDS.items())
@@ -76,6 +78,38 @@ def test_delete_takes_the_time_of_its_message(spark):
     assert [(r._ingested_at, r.deleted) for r in rows] == [(dt.datetime(2024, 1, 1), False), (at(5), True)]
 
 
+def test_log_order_decides_writes_and_deletes(spark):
+    """All within one second, deletes without a time, as on the default file log; only the position orders them."""
+    write = '{"name": "%s", "_ingested_at": 1704067200}'
+    log = [("1", write % "a", 1), ("1", None, 2), ("2", None, 3), ("2", write % "b", 4), ("3", write % "c", 5), ("3", write % "d", 6)]
+    messages = spark.createDataFrame(log[::-1], "key string, value string, position long")
+    assert {(r.key, r.name) for r in station_information(messages).collect()} == {("2", "b"), ("3", "d")}
+    renamed = messages.withColumnRenamed("position", "offset")
+    assert {(r.key, r.name) for r in station_information(renamed).collect()} == {("2", "b"), ("3", "d")}
+    with pytest.raises(ValueError, match="position"):
+        station_information(messages.drop("position"))
+
+
+def test_a_delete_at_a_later_place_takes_the_metadata_away(spark, path):
+    """A tombstone without any time deletes, and a rewrite after it comes back, over several micro-batches."""
+    write = '{"name": "%s", "_ingested_at": 1704067200}'
+    steps = [(write % "one", "one"), (None, None), (write % "two", "two"), (None, None)]
+    schema = "key string, value string, position long"
+    status(spark, ("1", 0, 5)).coalesce(1).write.parquet(f"{path}/s")
+    spark.createDataFrame([], schema).write.parquet(f"{path}/i")
+    for place, (value, expected) in enumerate(steps):
+        spark.createDataFrame([("1", value, place)], schema).coalesce(1).write.mode("append").parquet(f"{path}/i")
+        info_rows = decode_information(spark.readStream.schema(schema).parquet(f"{path}/i"))
+        query, table = start_current_table(spark.readStream.schema(STATUS).parquet(f"{path}/s"), info_rows, path, every=None)
+        drain(query)
+        assert [(r.num_bikes_available, r.name) for r in table.read(spark).collect()] == [(5, expected)]
+
+
+def test_no_python_in_the_updating_join(spark):
+    plan = current_status(status(spark, ("1", 0, 5)), info(spark, ("1", 0, "one", False)))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def stream_of(spark, folder, batches):
     """A file stream that delivers each frame as one micro-batch."""
     for batch in batches:
