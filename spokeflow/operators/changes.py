@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spokeflow.functions.sizing import BROADCAST_ROWS, broadcast_if_small
 from spokeflow.schemas import TRACKED_FIELDS
 
 POLL = ("feed", "ingested_at")
@@ -33,19 +32,17 @@ def last_states(numbered: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def flag_changes(
-    rows: DataFrame,
-    fields: Sequence[str] = TRACKED_FIELDS,
-    max_broadcast_rows: int = BROADCAST_ROWS,
-    polls: DataFrame | None = None,
+    rows: DataFrame, fields: Sequence[str] = TRACKED_FIELDS, polls: DataFrame | None = None
 ) -> DataFrame:
     """Add ``changed`` to exploded status records (feed, ingested_at, pos, station_id, the fields, …).
 
     A record changed when its station was not in the previous poll of the feed or ended that poll in another state.
-    Records without a station only tell that their poll took place (an empty poll); they are not returned.
-    ``polls`` is the numbered list of polls, if it is at hand as a table.
+    Records without a station only tell that their poll took place (an empty poll, or one of rejects); they are not
+    returned. ``polls`` is the numbered list of polls, if it is at hand as a table. Nothing is computed here; stage rows that
+    are costly to decode before (:func:`spokeflow.plans.stations.status_log`).
     """
     if polls is None:
-        polls = broadcast_if_small(number_polls(rows), max_broadcast_rows)
+        polls = number_polls(rows)
     numbered = rows.join(polls, list(POLL)).where("station_id is not null")
     # Keyed by the poll that is compared with it. The shift makes both join sides plain shuffles, which AQE can split
     # when one (poll, station) is hot.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spokeflow.functions import decode
+from spokeflow.functions import decode, encode
 from spokeflow.schemas import STATION_INFORMATION, STATUS_FIELDS
 
 STATIONS_PATH = "data.stations"
@@ -25,19 +25,21 @@ def explode_stations(documents: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def explode_status(documents: DataFrame) -> DataFrame:
-    """:func:`explode_stations` with the typed status fields and ``reject_reason``, decoded once per station.
+    """:func:`explode_stations` with the typed status fields, ``reject_reason`` and ``unreadable``, decoded once per station.
 
-    Decoding inside the list and not after it also keeps the optimizer from decoding again for each use of a field.
+    Only a station without an id is rejected. A field that cannot be read is NULL and listed in ``unreadable``; a tracked one
+    is then an unknown state, which differs from a known one as any other state does. Decoding inside the list and not after
+    it also keeps the optimizer from decoding again for each use of a field.
     """
     stations = decode.field(F.col("document"), STATIONS_PATH, "array<variant>")
     columns = [c for c in documents.columns if c not in ("value", "document")]
     return documents.select(*columns, F.posexplode_outer(_checked(stations, STATUS_FIELDS)).alias("pos", "station")).select(
-        *columns, "pos", "station.payload", "station.typed.*", F.col("station.reason").alias("reject_reason")
+        *columns, "pos", "station.payload", "station.typed.*", F.col("station.missing").alias("reject_reason"), "station.unreadable"
     )
 
 
 def _checked(payloads: Column, fields: dict[str, str]) -> Column:
-    """Each payload of a list with its typed fields and the reason to reject it, if any.
+    """Each payload of a list with its typed fields, whether its station is ``missing`` and which fields are ``unreadable``.
 
     The fields are read in one look; a payload is searched again only for fields that came out NULL.
     """
@@ -53,7 +55,10 @@ def _checked(payloads: Column, fields: dict[str, str]) -> Column:
             for n, t in fields.items()
         ]
         missing = F.when(values["station_id"].isNull(), "no station_id")
-        return F.struct(payload.alias("payload"), values.alias("typed"), F.coalesce(missing, *bad).alias("reason"))
+        unreadable = F.nullif(F.concat_ws("; ", *bad), F.lit(""))
+        return F.struct(
+            payload.alias("payload"), values.alias("typed"), missing.alias("missing"), unreadable.alias("unreadable")
+        )
 
     return F.transform(F.transform(payloads, read), check)
 
@@ -99,11 +104,23 @@ def decode_information(messages: DataFrame) -> DataFrame:
 
 
 def with_record_reason(records: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
-    """Add ``reject_reason`` to exploded records: no station, or the first field that does not decode; else NULL."""
+    """Add ``reject_reason`` to exploded records, strictly: no station, or the fields that do not decode; else NULL."""
     # Checked inside a list of one: as plain predicates beside the decoded columns, constraint inference would rewrite the
     # checks with every subset of those columns, which takes planning time exponential in their number.
-    found = _checked(F.array("payload"), STATUS_FIELDS if fields is None else fields)[0]["reason"]
-    return records.withColumn("reject_reason", F.when(F.col("pos").isNotNull(), found))
+    found = _checked(F.array("payload"), STATUS_FIELDS if fields is None else fields)[0]
+    reason = F.coalesce(found["missing"], found["unreadable"])
+    return records.withColumn("reject_reason", F.when(F.col("pos").isNotNull(), reason))
+
+
+def issues(rows: DataFrame) -> DataFrame:
+    """What was rejected, and what was accepted with an unreadable field, of rows with ``reject_reason`` and ``unreadable``."""
+    known = [c for c in ("feed", "ingested_at", "pos", "station_id") if c in rows.columns]
+    return rows.where("reject_reason is not null or unreadable is not null").select(
+        *known,
+        F.col("reject_reason").isNotNull().alias("rejected"),
+        F.coalesce("reject_reason", "unreadable").alias("reason"),
+        encode.json_text(F.col("payload")).alias("payload"),
+    )
 
 
 def split(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,7 +14,7 @@ from spokeflow.operators.upsert import latest
 from spokeflow.schemas import CURRENT_STATUS
 from spokeflow.sinks.serving import Question, serve
 from spokeflow.sinks.upsert import UpsertTable
-from spokeflow.streaming.changes import ChangeFilter
+from spokeflow.streaming.changes import ChangeFilter, parquet_publisher
 from spokeflow.streaming.current import current_status
 from spokeflow.streaming.run import POLL_INTERVAL, start
 
@@ -22,16 +22,44 @@ from spokeflow.streaming.run import POLL_INTERVAL, start
 METADATA_ROWS = 100_000
 
 
+def status_rows(documents: DataFrame) -> DataFrame:
+    """Typed records of all documents with ``reject_reason`` and ``unreadable``; a rejected document is one row."""
+    flagged = records.with_document_reason(documents).withColumnRenamed("reject_reason", "document_reason")
+    rows = records.explode_status(flagged)
+    return rows.withColumn("reject_reason", F.coalesce("document_reason", "reject_reason"))
+
+
+def poll_rows(rows: DataFrame) -> DataFrame:
+    """What the change filter reads: all records of readable documents.
+
+    A record without a station, like the one row of an empty poll, only tells that its poll took place.
+    """
+    return rows.where("document_reason is null").drop("document_reason", "reject_reason", "unreadable")
+
+
 def status_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Typed records of all readable documents, and the records set aside with a reason."""
-    readable, _ = records.split(records.with_document_reason(documents))
-    return records.split(records.explode_status(readable))
+    """Typed records of all readable documents, and what is set aside or reported, with the reason."""
+    rows = status_rows(documents)
+    accepted = rows.where("reject_reason is null").drop("document_reason", "reject_reason", "unreadable")
+    return accepted, records.issues(rows)
 
 
-def status_log(documents: DataFrame) -> DataFrame:
-    """The change-only status log of landed polls."""
-    accepted, _ = status_records(documents)
-    return changed(accepted)
+def status_log(documents: DataFrame, staging: str | None = None) -> DataFrame:
+    """The change-only status log of landed polls.
+
+    With ``staging``, the documents are decoded once into that folder, and the log reads the few columns it needs from there;
+    :func:`log_issues` reads the rejects from it.
+    """
+    rows = status_rows(documents)
+    if staging:
+        rows.write.mode("overwrite").parquet(staging)
+        rows = documents.sparkSession.read.parquet(staging)
+    return changed(poll_rows(rows))
+
+
+def log_issues(spark: SparkSession, staging: str) -> DataFrame:
+    """Rejected and reported records of a staged status log."""
+    return records.issues(spark.read.parquet(staging))
 
 
 def current_table(log: DataFrame, information: DataFrame) -> DataFrame:
@@ -42,12 +70,22 @@ def current_table(log: DataFrame, information: DataFrame) -> DataFrame:
 
 
 def start_change_filter(
-    documents: DataFrame, path: str, publish, every: str | None = POLL_INTERVAL, report=None
+    documents: DataFrame, path: str, publish, every: str | None = POLL_INTERVAL, report=None, aside=None
 ) -> StreamingQuery:
-    """Documents that land become published changes; ``report`` takes each batch's counts per poll."""
-    accepted, _ = status_records(documents)
-    process = ChangeFilter(f"{path}/states", publish, report=report).process
-    return start(accepted, process, f"{path}/checkpoint", every=every)
+    """Documents that land become published changes; ``report`` takes each batch's counts per poll, ``aside`` what is
+    rejected or reported. By default that is kept under ``path``, in ``issues``."""
+    aside = aside or parquet_publisher(f"{path}/issues")
+    step = ChangeFilter(f"{path}/states", publish, report=report, late=parquet_publisher(f"{path}/late"))
+
+    def process(rows: DataFrame, batch_id: int) -> None:
+        rows = rows.persist()
+        try:
+            aside(records.issues(rows), batch_id)
+            step.process(poll_rows(rows), batch_id)
+        finally:
+            rows.unpersist()
+
+    return start(status_rows(documents), process, f"{path}/checkpoint", every=every)
 
 
 def start_current_table(

@@ -1,7 +1,7 @@
 """The change filter over landed polls.
 
-Polls are expected to land in time order, as one poller per feed writes them, and a poll must not be spread over
-micro-batches (one document per file guarantees it).
+Polls are expected to land in time order, as one poller per feed writes them. A poll may be spread over micro-batches. One that
+comes after a newer poll of its feed has been seen is late: what came before it is gone, so it is set aside, not published.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spokeflow.operators.changes import POLL, flag_changes, number_polls, poll_counts
@@ -19,17 +20,19 @@ from spokeflow.schemas import TRACKED_FIELDS
 
 @dataclass(frozen=True)
 class ChangeFilter:
-    """Publishes changed stations and keeps the last poll of each feed between micro-batches.
+    """Publishes changed stations and keeps the last two polls of each feed between micro-batches: the newest may go on in
+    the next one, and is then still compared with the one before it.
 
     ``path`` holds two slots used in turn: batch n reads the slot that batch n-1 wrote and replaces the other, so a
     replayed batch gives the same answer. The slot is written after publishing: a failed publish is tried again.
-    ``report`` takes the changed and total stations of each poll.
+    ``report`` takes the changed and total stations of each poll, ``late`` the records of late polls.
     """
 
     path: str
     publish: Callable[[DataFrame, int], None]
     fields: Sequence[str] = TRACKED_FIELDS
     report: Callable[[DataFrame, int], None] | None = None
+    late: Callable[[DataFrame, int], None] | None = None
 
     def process(self, records: DataFrame, batch_id: int) -> None:
         records = records.persist()
@@ -40,9 +43,14 @@ class ChangeFilter:
 
     def _process(self, records: DataFrame, batch_id: int) -> None:
         seen = self._previous(records.sparkSession, batch_id)
-        # The last poll seen takes part as the poll before the first one of this batch.
+        # The polls seen last take part as those before the first one of this batch.
         rows = records.withColumn("_kept", F.lit(False))
         if seen is not None:
+            newest = seen.groupBy("feed").agg(F.max("ingested_at").alias("_newest"))
+            placed = rows.join(newest, "feed", "left")
+            if self.late:
+                self.late(placed.where("ingested_at < _newest").drop("_kept", "_newest"), batch_id)
+            rows = placed.where("_newest is null or ingested_at >= _newest").drop("_newest")
             rows = rows.unionByName(seen.withColumn("_kept", F.lit(True)), allowMissingColumns=True)
         # Written into a slot too, not checkpointed: a standing query must not leave a file behind per batch.
         polls = f"{self.path}/polls/slot={batch_id % 2}"
@@ -62,9 +70,11 @@ class ChangeFilter:
 
     def _keep(self, rows: DataFrame, batch_id: int) -> None:
         narrow = rows.select(*POLL, "pos", "station_id", *self.fields)
-        newest = narrow.groupBy("feed").agg(F.max("ingested_at").alias("ingested_at"))
+        # One row per poll of this batch and the two kept before.
+        backwards = W.partitionBy("feed").orderBy(F.desc("ingested_at"))
+        polls = narrow.select(*POLL).distinct().withColumn("_back", F.row_number().over(backwards)).where("_back <= 2")
         # An empty poll leaves its row without a station here, so that the next batch knows it took place.
-        last = latest(narrow.join(newest, list(POLL), "left_semi"), ("feed", "station_id"), ("pos",))
+        last = latest(narrow.join(polls, list(POLL), "left_semi"), (*POLL, "station_id"), ("pos",))
         last.write.mode("overwrite").parquet(self._slot(batch_id))
 
 

@@ -1,5 +1,6 @@
 """The change filter: golden trace, random polls against brute force, batch against stream, replays, hot stations."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import NO_BROADCAST, SMALL_SKEW, final_plan, settings
 from polls import GOLDEN, GOLDEN_CHANGES, T0, expected_changes, land, random_polls
 from spokeflow.operators.changes import flag_changes, poll_counts
-from spokeflow.plans.stations import start_change_filter, status_log, status_records
+from spokeflow.plans.stations import log_issues, start_change_filter, status_log, status_records
 from spokeflow.sources.snapshots import read_documents
 from spokeflow.streaming.changes import ChangeFilter, parquet_publisher
 from spokeflow.streaming.run import drain
@@ -105,11 +106,11 @@ def test_feeds_are_independent(spark, path):
     assert found == [("north", *c) for c in GOLDEN_CHANGES] + south
 
 
-def test_polls_beyond_the_broadcast_bound(spark, path):
+def test_polls_without_any_broadcast(spark, path):
     polls = random_polls(7, polls=20, stations=6)
     accepted, _ = status_records(read_documents(spark, landed(path, polls)))
     with settings(spark, NO_BROADCAST):
-        changes = flag_changes(accepted, max_broadcast_rows=0).where("changed")
+        changes = flag_changes(accepted).where("changed")
         assert "BroadcastHashJoin" not in final_plan(changes)
         assert sorted((number(r), r.pos) for r in changes.collect()) == expected_changes(polls)
 
@@ -123,15 +124,81 @@ def test_poll_counts(spark, path):
 
 
 def test_rejects_are_kept_aside(spark, path):
+    """A record without a station is rejected; one with an unreadable field is accepted and reported; a document is a row."""
     land(f"{path}/landing", 1, "{broken")
     land(f"{path}/landing", 2, json.dumps({"data": {}}))
     land(f"{path}/landing", 3, [{"num_bikes_available": 1}, {"station_id": "A", "num_bikes_available": "x"}, {"station_id": "B"}])
-    accepted, rejected = status_records(read_documents(spark, f"{path}/landing"))
-    assert [r.station_id for r in accepted.collect()] == ["B"]
-    assert sorted(r.reject_reason for r in rejected.collect()) == [
-        "cannot read num_bikes_available as int",
-        "no station_id",
+    documents = read_documents(spark, f"{path}/landing")
+    accepted, found = status_records(documents)
+    assert sorted(r.station_id for r in accepted.collect()) == ["A", "B"]
+    wanted = [
+        (False, "cannot read num_bikes_available as int"),
+        (True, "no data.stations"),
+        (True, "no station_id"),
+        (True, "not json"),
     ]
+    assert sorted((r.rejected, r.reason) for r in found.collect()) == wanted
+    status_log(documents, f"{path}/staged")
+    assert sorted((r.rejected, r.reason) for r in log_issues(spark, f"{path}/staged").collect()) == wanted
+    drain(start_change_filter(read_documents(spark, f"{path}/landing", streaming=True), f"{path}/run", parquet_publisher(f"{path}/out"), every=None))
+    assert sorted((r.rejected, r.reason) for r in spark.read.parquet(f"{path}/run/issues").collect()) == wanted
+
+
+def published(spark, folder, path, **options):
+    documents = read_documents(spark, folder, streaming=True, **options)
+    drain(start_change_filter(documents, f"{path}/run", parquet_publisher(f"{path}/out"), every=None))
+    rows = spark.read.parquet(f"{path}/out")
+    return sorted((number(r), r.station_id, r.num_bikes_available) for r in rows.collect())
+
+
+def test_an_unreadable_untracked_field_loses_no_change(spark, path):
+    steady = {"station_id": "S", "num_bikes_available": 9, "last_reported": 1}
+    for n, (bikes, keys) in enumerate([(5, False), (0, "unknown"), (5, False)]):
+        land(f"{path}/landing", n, [{"station_id": "A", "num_bikes_available": bikes, "eightd_has_available_keys": keys}, steady])
+    steady["last_reported"] = "junk"
+    land(f"{path}/landing", 3, [{"station_id": "A", "num_bikes_available": 5}, steady])
+    land(f"{path}/landing", 4, [{"station_id": "A", "num_bikes_available": 5}, {**steady, "last_reported": 2}])
+    wanted = [(0, "A", 5), (0, "S", 9), (1, "A", 0), (2, "A", 5)]
+    log = status_log(read_documents(spark, f"{path}/landing"))
+    assert sorted((number(r), r.station_id, r.num_bikes_available) for r in log.collect()) == wanted
+    assert published(spark, f"{path}/landing", path, files_per_trigger=1) == wanted
+
+
+def test_a_poll_of_rejects_took_place(spark, path):
+    """After a poll in which every record was rejected, all stations are new again, as after an empty poll."""
+    land(f"{path}/landing", 0, [{"station_id": "A", "num_bikes_available": 5}])
+    land(f"{path}/landing", 1, [{"num_bikes_available": 5}])
+    land(f"{path}/landing", 2, [{"station_id": "A", "num_bikes_available": 5}])
+    wanted = [(0, "A", 5), (2, "A", 5)]
+    log = status_log(read_documents(spark, f"{path}/landing"))
+    assert sorted((number(r), r.station_id, r.num_bikes_available) for r in log.collect()) == wanted
+    assert published(spark, f"{path}/landing", path, files_per_trigger=1) == wanted
+
+
+def records_at(spark, *rows):
+    typed = [("f", dt.datetime(2024, 1, 1, 0, minute), pos, station, bikes) for minute, pos, station, bikes in rows]
+    return spark.createDataFrame(typed, "feed string, ingested_at timestamp, pos int, station_id string, v int")
+
+
+def test_a_poll_over_two_batches_and_a_late_one(spark, path):
+    late = []
+    step = ChangeFilter(
+        f"{path}/states", parquet_publisher(f"{path}/out"), ("v",), late=lambda rows, n: late.extend((n, r.station_id) for r in rows.collect())
+    )
+    step.process(records_at(spark, (0, 0, "A", 1), (0, 1, "B", 1)), 0)
+    step.process(records_at(spark, (1, 0, "A", 1)), 1)
+    step.process(records_at(spark, (1, 1, "B", 1), (2, 0, "A", 1), (2, 1, "B", 2)), 2)
+    step.process(records_at(spark, (1, 2, "C", 1), (3, 0, "A", 1), (3, 1, "B", 2)), 3)
+    found = sorted((r.ingested_at.minute, r.station_id, r.v) for r in spark.read.parquet(f"{path}/out").collect())
+    assert found == [(0, "A", 1), (0, "B", 1), (2, "B", 2)]
+    assert late == [(3, "C")]
+
+
+def test_building_the_filter_reads_nothing(spark):
+    rows = records_at(spark, (0, 0, "A", 1))
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    flag_changes(rows, ("v",))
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() == before
 
 
 def test_hot_station_is_split(spark):
