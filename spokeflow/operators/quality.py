@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULT = "model string, column string, test string, failing_rows bigint"
@@ -38,13 +38,32 @@ def primary_key(df: DataFrame, model: str, column: str) -> DataFrame:
     return unique(df, model, column).unionByName(not_null(df, model, [column]))
 
 
-def run_tests(models: dict[str, DataFrame], tests: dict[str, dict[str, Sequence[str]]]) -> DataFrame:
-    """``tests``: model → column → test names. One row per test."""
-    results = []
-    for model, columns in tests.items():
-        df = models[model]
-        results += [unique(df, model, c) for c, names in columns.items() if "unique" in names]
-        filled = [c for c, names in columns.items() if "not_null" in names]
-        if filled:
-            results.append(not_null(df, model, filled))
-    return reduce(DataFrame.unionByName, results)
+TESTS = ("unique", "not_null")
+
+
+def _model_tests(df: DataFrame, model: str, columns: dict[str, Sequence[str]]) -> list[DataFrame]:
+    """A model's tests, one pass for each unique column; the first pass counts the NULLs of all columns as well."""
+    keys = [c for c, names in columns.items() if "unique" in names]
+    filled = [c for c, names in columns.items() if "not_null" in names]
+    if not keys:
+        return [not_null(df, model, filled)] if filled else []
+    first, *others = keys
+    counts = df.groupBy(F.col(first).alias("_key")).agg(
+        F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(filled)]
+    )
+    totals = counts.agg(
+        F.count_if((F.col("_n") > 1) & F.col("_key").isNotNull()).alias("_twice"),
+        *[F.coalesce(F.sum(f"_null_{i}"), F.lit(0)).alias(f"_null_{i}") for i in range(len(filled))],
+    )
+    rows = [F.struct(*_row(model, first, "unique", F.col("_twice").alias("failing_rows")))]
+    rows += [F.struct(*_row(model, c, "not_null", F.col(f"_null_{i}").alias("failing_rows"))) for i, c in enumerate(filled)]
+    return [totals.select(F.inline(F.array(*rows))), *[unique(df, model, c) for c in others]]
+
+
+def run_tests(spark: SparkSession, models: dict[str, DataFrame], tests: dict[str, dict[str, Sequence[str]]]) -> DataFrame:
+    """``tests``: model → column → test names. One row per test, none without tests; an unknown name is an error."""
+    unknown = {name for columns in tests.values() for names in columns.values() for name in names} - set(TESTS)
+    if unknown:
+        raise ValueError(f"no such data tests: {', '.join(sorted(unknown))}")
+    results = [r for model, columns in tests.items() for r in _model_tests(models[model], model, columns)]
+    return reduce(DataFrame.unionByName, results) if results else spark.createDataFrame([], RESULT)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from spokeflow.session import checkpointed
 
 FIVE_MINUTES = "5 minutes"
+# Windows whose running sum one task computes.
+BLOCK = 1_000
 
 
 def in_windows(rows: DataFrame, keys: Sequence[str], ts: str, interval: str, measures: Sequence[Column]) -> DataFrame:
@@ -71,13 +73,14 @@ def fill_forward(windows: DataFrame, keys: Sequence[str], interval: str = FIVE_M
 
 
 def area_totals(
-    windows: DataFrame, station: str, area: Sequence[str] = (), interval: str = FIVE_MINUTES
+    windows: DataFrame, station: str, area: Sequence[str] = (), interval: str = FIVE_MINUTES, block: int = BLOCK
 ) -> DataFrame:
     """Sum over stations of the value each one last had, for every window up to the last one of all.
 
     Summing the stations' changes per window and running that sum over the windows gives the same totals as filling
-    every station's gaps, without a row per station and window. The running sums see one row per area and window, kept
-    in the shared folder so that the end of all windows does not cost another pass over the rows.
+    every station's gaps, without a row per station and window. The sums run within blocks of ``block`` windows; what a
+    block begins with is the running sum over the blocks before it, one row per area and block. The rows per window are kept
+    in the shared folder, so that the end of all windows does not cost another pass over the rows.
     """
     step = F.expr(f"interval {interval}")
     own = W.partitionBy(station, *area).orderBy("window_start")
@@ -85,11 +88,28 @@ def area_totals(
     per_window = windows.withColumn("_moved", moved).groupBy(*area, "window_start").agg(F.sum("_moved").alias("_moved"))
     per_window = checkpointed(per_window)
     end = per_window.agg(F.max("window_start")).scalar()
-    over_time = W.partitionBy(*area).orderBy("window_start")
-    totals = per_window.select(
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    length = F.unix_micros((epoch + step).cast("timestamp")) * block
+    cut = per_window.withColumn("_block", F.floor(F.unix_micros(F.col("window_start").cast("timestamp")) / length))
+    over_blocks = W.partitionBy(*area).orderBy("_block")
+    blocks = (
+        cut.groupBy(*area, "_block")
+        .agg(F.sum("_moved").alias("_all"), F.min("window_start").alias("_first"))
+        .select(
+            *[F.col(a).alias(f"_of_{a}") for a in area],
+            F.col("_block").alias("_at"),
+            F.coalesce(F.sum("_all").over(over_blocks.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+            (F.lead("_first").over(over_blocks) - step).alias("_next"),
+        )
+    )
+    match = F.col("_block") == F.col("_at")
+    for a in area:
+        match &= F.col(a).eqNullSafe(F.col(f"_of_{a}"))
+    inside = W.partitionBy(*area, "_block").orderBy("window_start")
+    totals = cut.join(blocks, match).select(
         *area,
         "window_start",
-        F.sum("_moved").over(over_time).alias("total"),
-        F.coalesce(F.lead("window_start").over(over_time) - step, end).alias("_until"),
+        (F.col("_before") + F.sum("_moved").over(inside)).alias("total"),
+        F.coalesce(F.lead("window_start").over(inside) - step, "_next", end).alias("_until"),
     )
     return totals.select(*area, F.explode(F.sequence("window_start", "_until", step)).alias("window_start"), "total")

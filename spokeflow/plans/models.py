@@ -49,7 +49,7 @@ def run(spark: SparkSession, models: Sequence[Model]) -> DataFrame:
             write_table(rows, model.full_name)
             tables[model.name] = model.full_name
     tested = [m for m in models if m.tests]
-    return run_tests({m.name: spark.table(tables[m.name]) for m in tested}, {m.name: m.tests for m in tested})
+    return run_tests(spark, {m.name: spark.table(tables[m.name]) for m in tested}, {m.name: m.tests for m in tested})
 
 
 def union_all(*parts: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def without_null(rows: DataFrame, column: str) -> DataFrame:
 
 def starter_models(spark: SparkSession) -> list[Model]:
     """The two starter models. The first holds a NULL id on purpose and so fails one of its tests."""
-    description = {"id": "The primary key for this table"}
+    description = {"id": "Identifies the row"}
     tests = {"id": ("unique", "not_null")}
     first = Model(
         "starter_first",

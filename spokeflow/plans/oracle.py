@@ -31,6 +31,9 @@ LOG_ORDER = """ended AS (
     log AS (SELECT CAST(o_custkey AS VARCHAR) AS key, CAST(o_orderkey AS VARCHAR) AS name,
         CAST(trunc(o_totalprice) AS INTEGER) AS capacity, o_orderkey AS position FROM ended WHERE o_orderstatus <> 'F')"""
 
+MART = """activity AS (SELECT key, name, count(station_id) AS n, max(ingested_at) AS last_seen
+    FROM info LEFT JOIN status ON key = station_id GROUP BY key, name)"""
+
 REGIONS = """regions AS (
     SELECT CAST(s_suppkey AS VARCHAR) AS station_id, r_name AS region_id FROM supplier
     LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)"""
@@ -127,16 +130,19 @@ DQ = " UNION ALL ".join(
 
 LAST_ORDER = "QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
 
+LOW_STATIONS = f"""WITH {STATUS}, {INFO}, {CURRENT}
+    SELECT station_id, name, num_bikes_available, capacity, is_renting
+    FROM current LEFT JOIN info ON station_id = key
+    WHERE is_renting = 1
+      AND (num_bikes_available <= 10 OR num_bikes_available / CAST(nullif(capacity, 0) AS DOUBLE) <= 0.01)"""
+
 ORACLE: dict[str, str] = {
     "latest_status": f"""WITH {STATUS}, {CURRENT} SELECT station_id, ingested_at, pos, event_type, num_bikes_available,
         num_docks_available FROM current""",
     "enriched_current": ENRICHED_CURRENT,
     "enriched_log": ENRICHED_LOG,
-    "low_stations": f"""WITH {STATUS}, {INFO}, {CURRENT}
-        SELECT station_id, name, num_bikes_available, capacity, is_renting
-        FROM current LEFT JOIN info ON station_id = key
-        WHERE is_renting = 1
-          AND (num_bikes_available <= 10 OR num_bikes_available / CAST(nullif(capacity, 0) AS DOUBLE) <= 0.01)""",
+    "low_stations": LOW_STATIONS,
+    "served_low_stations": LOW_STATIONS,
     "poll_changes": POLL_CHANGES,
     "poll_change_counts": f"""WITH {STATUS}, {_changes("event_type || '/' || CAST(is_renting AS VARCHAR)")}
         SELECT poll, CAST(sum(CAST(changed AS INTEGER)) AS BIGINT) AS changed, count(*) AS total
@@ -205,4 +211,16 @@ ORACLE: dict[str, str] = {
     "stream_enriched": ENRICHED_LOG,
     "stream_tumbling": TUMBLING_5M,
     "stream_poll_changes": POLL_CHANGES,
+    "stream_poll_changes_batches": POLL_CHANGES,
+    "mart_activity": f"WITH {STATUS}, {INFO}, {MART} SELECT * FROM activity",
+    "mart_tests": f"""WITH {STATUS}, {INFO}, {MART}
+        SELECT 'stations' AS model, 'key' AS "column", 'unique' AS test, count(*) AS failing_rows
+            FROM (SELECT key FROM info WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1)
+        UNION ALL SELECT 'stations', 'key', 'not_null', count(*) FROM info WHERE key IS NULL
+        UNION ALL SELECT 'stations', 'capacity', 'not_null', count(*) FROM info WHERE capacity IS NULL
+        UNION ALL SELECT 'activity', 'key', 'unique', count(*) FROM (SELECT key FROM activity GROUP BY key HAVING count(*) > 1)
+        UNION ALL SELECT 'activity', 'last_seen', 'not_null', count(*) FROM activity WHERE last_seen IS NULL
+        UNION ALL SELECT 'activity', 'last_seen', 'unique', count(*) FROM (SELECT last_seen FROM activity
+            WHERE last_seen IS NOT NULL GROUP BY last_seen HAVING count(*) > 1)
+        UNION ALL SELECT 'busy', 'n', 'not_null', count(*) FROM activity WHERE n > 50 AND n IS NULL""",
 }

@@ -20,11 +20,14 @@ from spokeflow.operators.enrich import enrich
 from spokeflow.operators.quality import primary_key, run_tests
 from spokeflow.operators.upsert import latest
 from spokeflow.operators.windows import area_totals, change_since_previous, fill_forward, last_values, tumbling
-from spokeflow.plans.models import union_all
+from spokeflow.plans.models import Model, union_all
+from spokeflow.plans.models import run as run_models
+from spokeflow.plans.stations import start_current_table
 from spokeflow.schemas import STATUS_FIELDS
 from spokeflow.session import configure, run_dir
 from spokeflow.sinks.messages import information_messages, status_messages
-from spokeflow.sinks.tables import asset_name, write_path
+from spokeflow.sinks.serving import answer
+from spokeflow.sinks.tables import Layers, asset_name, write_path
 from spokeflow.sinks.upsert import UpsertTable
 from spokeflow.sources.relational import load_tables, selected_tables
 from spokeflow.sources.topics import station_information, status_events
@@ -382,7 +385,45 @@ def dq_results(spark, sf_dir):
         "stations": {"id": both, "segment": ("not_null",)},
         "segment": {"id": both},
     }
-    return run_tests(models, tests).unionByName(primary_key(table(spark, sf_dir, "supplier"), "supplier", "s_suppkey"))
+    return run_tests(spark, models, tests).unionByName(primary_key(table(spark, sf_dir, "supplier"), "supplier", "s_suppkey"))
+
+
+def layered(spark, sf_dir) -> tuple[Layers, DataFrame]:
+    """A staging table of stations, a mart of their activity and a view of the busy ones, in databases of this run."""
+    folder = run_dir(spark, "layers")
+    number = folder.split("-")[-1].split("/")[0]
+    layers = Layers(f"staging_{number}", f"marts_{number}", folder)
+    layers.create(spark)
+
+    def activity(ref) -> DataFrame:
+        rows = status(spark, sf_dir).groupBy("station_id").agg(F.count("*").alias("n"), F.max("ingested_at").alias("last_seen"))
+        return ref("stations").join(rows, F.col("key") == F.col("station_id"), "left").select("key", "name", "n", "last_seen")
+
+    models = [
+        Model(
+            "stations",
+            lambda ref: information(spark, sf_dir).select("key", "name", "capacity"),
+            layer=layers.staging,
+            descriptions={"key": "Identifies the station"},
+            tests={"key": ("unique", "not_null"), "capacity": ("not_null",)},
+        ),
+        Model("activity", activity, layer=layers.marts, tests={"key": ("unique",), "last_seen": ("not_null", "unique")}),
+        Model(f"busy_{number}", lambda ref: ref("activity").where("n > 50"), "view", tests={"n": ("not_null",)}),
+    ]
+    return layers, run_models(spark, models).withColumn("model", F.regexp_replace("model", f"_{number}$", ""))
+
+
+@query
+def mart_activity(spark, sf_dir):
+    """The mart, read back from its table."""
+    layers, _ = layered(spark, sf_dir)
+    return spark.table(f"{layers.marts}.activity")
+
+
+@query
+def mart_tests(spark, sf_dir):
+    """What the data tests of the layered models found."""
+    return layered(spark, sf_dir)[1]
 
 
 @query
@@ -478,6 +519,33 @@ def stream_current(spark, sf_dir):
     return result.read(spark)
 
 
+def landing(spark, sf_dir, path: str, parts: int = 3) -> DataFrame:
+    """The events as a stream of several micro-batches: landed in as many files, cut at even times, one file a batch."""
+    events = table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    width = (last - first) // parts + 1 if first is not None else 1
+    for part in range(parts):
+        rows = events.where(F.coalesce(F.floor((at - F.lit(first)) / width), F.lit(0)) == part)
+        rows.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def served_low_stations(spark, sf_dir):
+    """The newest answer to a question that is asked with every micro-batch."""
+    path = run_dir(spark, "served_low_stations")
+    info = as_information(stream(spark, sf_dir, "supplier")).withColumns(
+        {"_ingested_at": F.timestamp_seconds(F.lit(0)), "deleted": F.lit(False)}
+    )
+    low = {"low": lambda now: low_availability(now, min_bikes=10, min_ratio=0.01)}
+    rows = as_status(landing(spark, sf_dir, f"{path}/landing"))
+    live, _ = start_current_table(rows, info, f"{path}/live", every=None, questions=low)
+    drain(live)
+    served = answer(spark, f"{path}/live/serving", "low")
+    return served.select("station_id", "name", "num_bikes_available", "capacity", "is_renting")
+
+
 @query
 def stream_enriched(spark, sf_dir):
     """A status stream joined with the metadata as it stands."""
@@ -507,3 +575,14 @@ def stream_poll_changes(spark, sf_dir):
     drain(start(rows, process, f"{path}/checkpoint", every=None))
     changes = spark.read.parquet(f"{path}/changes")
     return changes.select("station_id", F.col("ingested_at").cast("timestamp_ntz").alias("poll"), "pos", "event_type")
+
+
+@query
+def stream_poll_changes_batches(spark, sf_dir):
+    """The change filter over several micro-batches, whose borders cut through polls."""
+    path = run_dir(spark, "stream_poll_changes_batches")
+    rows = daily_polls(as_status(landing(spark, sf_dir, f"{path}/landing")))
+    process = ChangeFilter(f"{path}/states", parquet_publisher(f"{path}/changes"), ("event_type",)).process
+    drain(start(rows, process, f"{path}/checkpoint", every=None))
+    changes = spark.read.parquet(f"{path}/changes")
+    return changes.select("station_id", F.col("ingested_at").cast("timestamp_ntz").alias("poll"), "pos", "event_type")

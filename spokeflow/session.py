@@ -69,8 +69,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared one, for one run's tables and stream checkpoints."""
-    return f"{shared_dir(spark)}/spokeflow/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared one, for one run's tables and stream checkpoints; it goes when the session's JVM ends."""
+    made = f"{shared_dir(spark)}/spokeflow/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{made}/run"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spokeflow.sinks.folders import finished, remove_below
 from spokeflow.sinks.upsert import UpsertTable
 
 Question = Callable[[DataFrame], DataFrame]
@@ -18,12 +19,18 @@ def serve(table: UpsertTable, path: str, questions: dict[str, Question]) -> Call
         table.write_batch(rows, batch_id)
         now = table.read(rows.sparkSession, batch_id)
         for name, question in questions.items():
-            # Two folders in turn: readers of the last answer are not disturbed by the next one.
-            question(now).write.mode("overwrite").parquet(f"{path}/{name}/slot={batch_id % 2}")
+            question(now).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+            # The answer before stays: its readers are not disturbed by this one.
+            remove_below(rows.sparkSession, f"{path}/{name}", batch_id - 1)
 
     return apply
 
 
-def answer(spark: SparkSession, path: str, name: str, batch_id: int) -> DataFrame:
-    """The answer that batch ``batch_id`` left."""
-    return spark.read.parquet(f"{path}/{name}/slot={batch_id % 2}")
+def answer(spark: SparkSession, path: str, name: str, batch_id: int | None = None) -> DataFrame:
+    """The newest answer, or the one that batch ``batch_id`` left; the last two are kept."""
+    if batch_id is None:
+        known = finished(spark, f"{path}/{name}")
+        if not known:
+            raise FileNotFoundError(f"{name} has not been answered yet")
+        batch_id = known[-1]
+    return spark.read.parquet(f"{path}/{name}/batch={batch_id}")

@@ -1,8 +1,9 @@
 """A table of the last write per key, fed by micro-batches.
 
 Each micro-batch is a folder of its own, written whole under its batch id, so a replay replaces it. A reader takes the last
-write per key over the newest base and the batches after it; compaction writes a new base. Cost per batch is that
-of its changes, not of the table.
+write per key over the newest base and the batches after it; compaction writes a new base and removes what stands before the
+one before it, so the number of folders stays the same however long the table lives. Cost per batch is that of its changes,
+not of the table.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeflow.operators.upsert import latest
+from spokeflow.sinks.folders import finished, remove_below
 
 BATCH = "_batch"
 
@@ -35,10 +37,10 @@ class UpsertTable:
             self._write_base(rows.sparkSession, batch_id)
 
     def read(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
-        """The table as of batch ``upto`` (the newest when None)."""
-        bases = [b for b in self._complete(spark, "base") if upto is None or b < upto]
+        """The table as of batch ``upto`` (the newest when None); batches before the last base but one are gone."""
+        bases = [b for b in finished(spark, f"{self.path}/base") if upto is None or b < upto]
         base = max(bases, default=-1)
-        after = [b for b in self._complete(spark, "log") if b > base and (upto is None or b <= upto)]
+        after = [b for b in finished(spark, f"{self.path}/log") if b > base and (upto is None or b <= upto)]
         folders = [f"{self.path}/log/batch={b}" for b in after]
         if bases:
             folders.append(f"{self.path}/base/batch={base}")
@@ -49,10 +51,7 @@ class UpsertTable:
     def _write_base(self, spark: SparkSession, batch_id: int) -> None:
         rows = self.read(spark, batch_id).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
         rows.write.mode("overwrite").parquet(f"{self.path}/base/batch={batch_id}")
-
-    def _complete(self, spark: SparkSession, part: str) -> list[int]:
-        """Ids of the folders whose write was committed."""
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        pattern = hadoop.Path(f"{self.path}/{part}/batch=*/_SUCCESS")
-        found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+        # Readers of the base before still find it and its log; a reader has one compaction's time.
+        before = batch_id - self.compact_every
+        remove_below(spark, f"{self.path}/base", before)
+        remove_below(spark, f"{self.path}/log", before + 1)

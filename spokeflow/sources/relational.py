@@ -10,20 +10,17 @@ from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
-class Database:
-    host_name: str
-    database_name: str
-    username: str
+class Connection:
+    """What a JDBC reader needs to reach a database; ``driver`` is its class, if the URL does not tell."""
+
+    url: str
+    user: str
     password: str = field(repr=False)
-    port: str = "5432"
-    vendor: str = "postgresql"
+    driver: str | None = None
 
     def options(self) -> dict[str, str]:
-        return {
-            "url": f"jdbc:{self.vendor}://{self.host_name}:{self.port}/{self.database_name}",
-            "user": self.username,
-            "password": self.password,
-        }
+        known = {"url": self.url, "user": self.user, "password": self.password, "driver": self.driver}
+        return {name: value for name, value in known.items() if value is not None}
 
 
 @dataclass(frozen=True)
@@ -44,11 +41,19 @@ class Split:
         }
 
 
-def jdbc_reader(spark: SparkSession, database: Database, splits: dict[str, Split], fetch_size: int = 10_000):
-    """A reader of tables by name over JDBC (the driver jar must be on the class path)."""
+def jdbc_reader(
+    spark: SparkSession, connection: Connection, splits: dict[str, Split | None], fetch_size: int = 10_000
+):
+    """A reader of tables by name over JDBC (the driver jar must be on the class path).
+
+    Every table is named in ``splits``; None stands for the explicit choice to read a small one in a single task.
+    """
 
     def read(table: str) -> DataFrame:
-        options = {**database.options(), **splits[table].options(), "dbtable": table, "fetchsize": str(fetch_size)}
+        if table not in splits:
+            raise ValueError(f"name a split for {table}, or None to read it in one task")
+        split = splits[table]
+        options = {**connection.options(), **(split.options() if split else {}), "dbtable": table, "fetchsize": str(fetch_size)}
         return spark.read.format("jdbc").options(**options).load()
 
     return read

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from spokeflow import session
 from spokeflow.functions import decode
 from spokeflow.operators import records
-from spokeflow.operators.quality import primary_key
+from spokeflow.operators.quality import primary_key, run_tests
 from spokeflow.plans.models import Model, run, starter_models, without_null
 from spokeflow.plans.stations import status_records
 from spokeflow.sinks import messages
 from spokeflow.sinks.tables import Layers, asset_name, write_table
-from spokeflow.sources.relational import Database, Split, load_tables, selected_tables
+from spokeflow.sources.relational import Connection, Split, jdbc_reader, load_tables, selected_tables
 from spokeflow.sources.snapshots import read_documents, read_information
 from spokeflow.sources.topics import read_messages, station_information, status_events
 from spokeflow.streaming.run import drain, start_publishing
@@ -117,13 +117,34 @@ def test_kafka_is_read_from_the_start(spark):
         read_messages(spark, "kafka", subscribe="stations", **{"kafka.bootstrap.servers": "nowhere:1"})
 
 
-def test_database_options_do_not_show_the_password():
-    database = Database("db", "trips", "reader", "secret", "5433")
-    assert database.options() == {"url": "jdbc:postgresql://db:5433/trips", "user": "reader", "password": "secret"}
-    assert "secret" not in repr(database)
+def test_connection_options_do_not_show_the_password(spark):
+    connection = Connection("jdbc:postgresql://db:5433/trips", "reader", "secret")
+    assert connection.options() == {"url": "jdbc:postgresql://db:5433/trips", "user": "reader", "password": "secret"}
+    assert "secret" not in repr(connection)
     assert Split("id", "0", "100", 8).options()["numPartitions"] == "8"
 
 
+def test_one_task_for_a_table_is_an_explicit_choice(spark):
+    read = jdbc_reader(spark, Connection("jdbc:none:x", "u", "p"), {"small": None})
+    with pytest.raises(ValueError, match="split for big"):
+        read("big")
+    with pytest.raises(Exception, match="(?i)driver"):
+        read("small")
+
+
+def test_data_tests_none_and_misspelt(spark):
+    rows = {"m": spark.createDataFrame([(1, None), (1, "a"), (None, None)], "id int, v string")}
+    assert run_tests(spark, rows, {}).collect() == []
+    with pytest.raises(ValueError, match="uniqe"):
+        run_tests(spark, rows, {"m": {"id": ["uniqe"]}})
+    found = run_tests(spark, rows, {"m": {"id": ["unique", "not_null"], "v": ["not_null", "unique"]}})
+    assert sorted((r.column, r.test, r.failing_rows) for r in found.collect()) == [
+        ("id", "not_null", 1), ("id", "unique", 1), ("v", "not_null", 2), ("v", "unique", 0),
+    ]
+    only = run_tests(spark, {"m": rows["m"].where("false")}, {"m": {"id": ["unique", "not_null"]}})
+    assert sorted((r.test, r.failing_rows) for r in only.collect()) == [("not_null", 0), ("unique", 0)]
+
+
 def test_selected_tables_are_loaded_under_their_asset_names(spark, path):
     manifest = spark.createDataFrame([("a", "nation"), ("b", "region"), ("c", "part")], "connection string, table_name string")
     names = sorted(r.table_name for r in selected_tables(manifest, ["a", "b"]).collect())
