@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeflow.llm import bpe, chat, fingerprint, licenses, mixing, near, quality, topk, urls, wavelet
+from spokeflow.llm.oracle import ORACLE
 from spokeflow.session import run_dir
 
+__all__ = ["ORACLE", "QUERIES"]
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_OF_DOCUMENT = 2
 URL_RULES = [
@@ -105,4 +108,3 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_chat, op3_fingerprints, op4_bpe, op5_wavelet, op6_minhash, op7_mixing, op8_quality, op9_topk, op10_urls)}
-ORACLE: dict[str, str] = {}

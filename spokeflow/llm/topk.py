@@ -54,7 +54,7 @@ class Lists:
         self.values = np.take_along_axis(self.vectors.T, self.order, axis=1)
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but the query's own, and how far the lists were read decides nothing else."""
+        """Ids and scores of the k best rows but the query's own."""
         n = len(self.ids)
         up, down = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
         seen = self.ids == own
