@@ -104,4 +104,4 @@ def test_connected_components(spark):
 def test_no_group_is_gathered(spark):
     """Stars of a bucket grow with its members, not with their pairs."""
     members = spark.range(2_000).select(F.lit(1).alias("key"), F.col("id").alias("vertex"), F.col("id").alias("component"))
-    assert near._star_edges(members, 0).count() == 1_999
+    assert near.star_edges(members).count() == 1_999

@@ -48,10 +48,10 @@ def test_without_labels_of_both_classes(documents, labels):
 def test_clean_rows_stay_and_junk_goes(spark, documents):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     known = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    rng = np.random.RandomState(2)
-    prose = ["The and attion to thanedble. Eriner thanea of with anonder in the".split()[i] for i in rng.randint(0, 11, 2_000)]
-    rows = [(10**6, " ".join(prose)), (10**6 + 1, " ".join(prose[:30])), (10**6 + 2, "A word."), (10**6 + 3, " ".join(prose * 20))]
-    junk = [(10**6 + 10 + i, " ".join(shape(prose[:300]))) for i, shape in enumerate(SHAPES.values())]
+    good = [r.text for r in table.join(known.where("quality = 1"), "doc_id").orderBy("doc_id").limit(40).collect()]
+    good = [t for t in good if len(t) > 1500 and "@" not in t]
+    rows = [(10**6 + i, t) for i, t in enumerate([good[0] + "\n" + good[1], "\n".join(good * 5), good[2][:400], good[3].split("\n")[0]])]
+    junk = [(10**6 + 10 + i, " ".join(shape(good[4].split()[:200]))) for i, shape in enumerate(SHAPES.values())]
     mixed = table.unionByName(documents(rows + junk).drop("score"))
     kept = {r.doc_id for r in quality.accepted(mixed, known).select("doc_id").collect()}
     assert {i for i, _ in rows} <= kept
