@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spokeflow.functions.sizing import broadcast_if_small
 from spokeflow.session import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -128,7 +129,8 @@ def mix(
         .withColumn("_seats", F.round(F.sum("_claim").over(W.partitionBy())).cast("bigint"))
         .withColumn("_cap", F.col("_blocks") * cap)
     )
-    sources = checkpointed(
+    # Few rows, counted: the documents, which may carry their texts, need not move for this join then.
+    sources = broadcast_if_small(
         apportion(sources, [], ["source"], "quota").select(
             F.col("source").alias("_source"),
             F.col("words").alias("source_size"),
