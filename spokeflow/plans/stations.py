@@ -18,9 +18,6 @@ from spokeflow.streaming.changes import ChangeFilter, parquet_publisher
 from spokeflow.streaming.current import current_status
 from spokeflow.streaming.run import POLL_INTERVAL, start
 
-# Metadata rows hold names, so fewer of them make about 20 MB.
-METADATA_ROWS = 100_000
-
 
 def status_rows(documents: DataFrame) -> DataFrame:
     """Typed records of all documents with ``reject_reason`` and ``unreadable``; a rejected document is one row."""
@@ -66,7 +63,7 @@ def current_table(log: DataFrame, information: DataFrame) -> DataFrame:
     """Last status of each station with its metadata."""
     status = latest(log, "station_id", ("ingested_at", "pos"))
     needed = information.select("key", *[name for name, side, _ in CURRENT_STATUS if side == "info"])
-    return enrich(status, broadcast_if_small(needed, METADATA_ROWS))
+    return enrich(status, broadcast_if_small(needed))
 
 
 def start_change_filter(
