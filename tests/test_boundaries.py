@@ -173,7 +173,7 @@ def test_starter_models(spark, path):
         }
         first = spark.table("starter_first")
         assert sorted(r.id or 0 for r in first.collect()) == [0, 1]
-        assert first.schema["id"].metadata["comment"] == "The primary key for this table"
+        assert first.schema["id"].metadata["comment"] == "Identifies the row"
         assert without_null(first, "id").count() == spark.table("starter_second").count() == 1
         # Each run replaces the table.
         run(spark, starter_models(spark))
