@@ -9,9 +9,10 @@
    6 in a million, more similar ones more seldom.
 4. Every bucket is a star: its members are compared with one member only, the hub, so a bucket of n has n - 1 pairs. Pairs
    are confirmed on the full sets.
-5. A member may be similar to another one and not to the hub. So buckets whose members are not all connected yet get new
-   stars: with other hubs, drawn by seeded hashes, and within finer buckets of two and three bands together, where nearly
-   all members are similar. This goes on until a round links nothing new.
+5. A member may be similar to another one and not to the hub. So texts that are in two or more buckets whose members are not
+   all connected yet get new stars: with other hubs, drawn by seeded hashes, and within finer buckets of two and three bands
+   together, where nearly all members are similar. This goes on until two rounds link nothing new. (Sets with a similarity of
+   0.75 share fewer than two buckets with a probability of 8 in 100,000, and only those that the first stars missed matter.)
 
 A hot bucket is never gathered: hubs are least values, combined before the shuffle, and members meet them in a plain join.
 """
@@ -25,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spokeflow.functions.sizing import broadcast_if_small
 from spokeflow.llm import words
-from spokeflow.llm.components import components
+from spokeflow.llm.components import components, sized
 from spokeflow.session import checkpointed
 
 K = 5
@@ -36,9 +38,12 @@ BINS = 1 << BIN_BITS
 ROWS = 4
 BANDS = BINS // ROWS
 ATTEMPTS = 1024
-# Bands that are put together in a round of finer stars: each band with the one so many places on.
-FINER = ((1,), (3,), (7,), (2, 9))
+# Bands that are put together in a round of finer stars: each band with the ones so many places on.
+FINER = ((1,), (3,), (2, 9))
 ROUNDS = 12
+QUIET_ROUNDS = 2
+# Pairs with their sets in a task.
+PAIRS_PER_TASK = 4_000
 FEATURES = "n bigint, high bigint, low bigint, bands array<bigint>, shingles array<bigint>"
 
 
@@ -122,21 +127,23 @@ def features(text: str | Column, with_bands: bool, with_shingles: bool) -> Colum
     return shingled(text)
 
 
-def _keys(bands: Column, steps: tuple[int, ...]) -> Column:
-    """Each band's key, or that of the band and the ones ``steps`` places on."""
-    if not steps:
-        return bands
-    others = lambda i: [bands[(i + s) % BANDS] for s in steps]
-    return F.transform(bands, lambda key, i: F.xxhash64(F.lit(len(steps)), F.lit(sum(steps)), key, *others(i)))
+def _keys(bands: Column, round_: int) -> Column:
+    """Keys of the stars of a later round: each band's own bucket, and finer ones of each band with others ``steps`` on."""
 
+    def family(number: int, steps: tuple[int, ...]) -> Column:
+        others = lambda i: [F.get(bands, (i + s) % BANDS) for s in steps]
+        return F.transform(bands, lambda key, i: F.xxhash64(F.lit(round_), F.lit(number), key, *others(i)))
 
-def _hubs(members: DataFrame, seed: int) -> DataFrame:
-    """The hub of each bucket with members of more than one component: the least, or the first by a seeded hash."""
-    order = F.col("vertex") if seed == 0 else F.xxhash64(F.lit(seed), "key", "vertex")
+    turned = [tuple((s + 11 * (round_ - 1)) % BANDS for s in steps) for steps in FINER]
+    return F.flatten(F.array(*[family(number, steps) for number, steps in enumerate([(), *turned])]))
+
+
+def _parted(members: DataFrame, order: Column) -> DataFrame:
+    """Buckets (``key``) with members of more than one component, with the first member by ``order`` as ``hub``."""
     return (
         members.groupBy("key")
         .agg(
-            F.min_by(F.struct("vertex", "component"), order).alias("hub"),
+            F.min(F.struct(order.alias("order"), F.col("vertex"), F.col("component"))).alias("hub"),
             F.min("component").alias("_least"),
             F.max("component").alias("_most"),
         )
@@ -145,21 +152,25 @@ def _hubs(members: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def _star_edges(members: DataFrame, seed: int) -> DataFrame:
-    return (
-        members.join(_hubs(members, seed), "key")
-        .where("component != hub_component")
-        .select(F.least("hub", "vertex").alias("a"), F.greatest("hub", "vertex").alias("b"))
-    )
+def star_edges(members: DataFrame) -> DataFrame:
+    """Members (``key``, ``vertex``, ``component``) with the hub of their bucket, drawn by a hash, if it is of another
+    component: edges ``a`` < ``b``."""
+    hubs = _parted(members, F.xxhash64("key", "vertex"))
+    edges = members.join(hubs, "key").where("component != hub_component")
+    return edges.select(F.least("hub", "vertex").alias("a"), F.greatest("hub", "vertex").alias("b")).distinct()
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The edges (``a``, ``b``) whose full sets are similar enough."""
+    edges = checkpointed(edges)
+    pairs = edges.count()
     left = sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("_sa"))
     right = sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("_sb"))
     both = F.size(F.array_intersect("_sa", "_sb"))
     either = F.size("_sa") + F.size("_sb") - both
-    return edges.join(left, "a").join(right, "b").where(100 * both >= percent * either).select("a", "b")
+    with_sets = sized(sized(edges, pairs).join(left, "a"), pairs, PAIRS_PER_TASK).join(right, "b")
+    found = sized(with_sets.where(100 * both >= percent * either).select("a", "b"), pairs, PAIRS_PER_TASK)
+    return checkpointed(found)
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -171,41 +182,49 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     made = documents.select("doc_id", features("text", True, False).alias("f"))
     rows = checkpointed(made.select("doc_id", "f.n", "f.high", "f.low", "f.bands"))
+    same = ["n", "high", "low"]
     classes = checkpointed(
-        rows.where("n > 0 and doc_id is not null").groupBy("n", "high", "low").agg(F.min("doc_id").alias("vertex"))
+        rows.where("n > 0 and doc_id is not null")
+        .groupBy(*same)
+        .agg(F.min("doc_id").alias("vertex"), F.first("bands").alias("bands"))
     )
-    same = ["n", "high", "low"]
-    kept = rows.join(classes.withColumnRenamed("vertex", "doc_id"), [*same, "doc_id"]).select("doc_id", "bands")
-    kept = kept.withColumnRenamed("doc_id", "vertex").dropDuplicates(["vertex"])
     # Buckets of one member are most of all buckets; they go first.
-    in_bands = kept.select("vertex", F.explode("bands").alias("key"))
+    in_bands = classes.select("vertex", F.explode("bands").alias("key"))
     shared = in_bands.groupBy("key").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("_most")).where("hub < _most")
     members = checkpointed(in_bands.join(shared.select("key", "hub"), "key").select("key", "vertex", "hub"))
-    candidates = checkpointed(members.select("vertex").distinct())
-    texts = documents.where("doc_id is not null").join(candidates.withColumnRenamed("vertex", "doc_id"), "doc_id", "left_semi")
-    again = texts.select("doc_id", features("text", False, True).alias("f")).select("doc_id", *[f"f.{c}" for c in same], "f.shingles")
+    members = sized(members, members.count())
+    candidates = broadcast_if_small(classes.join(members.select("vertex").distinct(), "vertex", "left_semi").drop("bands"))
+    # Sets are kept of candidates only; a doc_id may come with other texts too, which are not the candidate's.
+    of_candidate = candidates.select(F.col("vertex").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in same])
+    texts = documents.select("doc_id", "text").join(of_candidate, "doc_id")
+    again = texts.withColumn("f", features("text", False, True))
     sets = checkpointed(
-        again.join(classes.withColumnRenamed("vertex", "doc_id"), [*same, "doc_id"], "left_semi")
-        .select(F.col("doc_id").alias("vertex"), "shingles")
-        .dropDuplicates(["vertex"])
+        again.where("f.n = _n and f.high = _high and f.low = _low").select(F.col("doc_id").alias("vertex"), "f.shingles")
     )
     first = members.where("vertex != hub").select(F.col("hub").alias("a"), F.col("vertex").alias("b")).distinct()
-    links = checkpointed(confirmed(first, sets, percent))
-    bands = checkpointed(kept.join(candidates, "vertex", "left_semi"))
-    found = checkpointed(components(links))
-    for number in range(1, ROUNDS + 1):
-        placed = candidates.join(found, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
-        in_buckets = members.select("key", "vertex").join(placed, "vertex")
-        edges = _star_edges(in_buckets, 2 * number)
-        for i, steps in enumerate(FINER):
-            turned = tuple((s + 11 * (number - 1)) % BANDS or 5 for s in steps)
-            finer = bands.select("vertex", F.explode(_keys(F.col("bands"), turned)).alias("key")).join(placed, "vertex")
-            edges = edges.union(_star_edges(finer, 100 * number + i))
-        new = checkpointed(confirmed(edges.distinct(), sets, percent))
-        if new.isEmpty():
+    links = confirmed(first, sets, percent)
+    found = components(links)
+    parted = members.select("key", "vertex")
+    quiet = 0
+    for round_ in range(1, ROUNDS + 1):
+        # Buckets whose members are all connected need no more stars.
+        placed = parted.join(found, "vertex", "left").select("key", "vertex", F.coalesce("component", "vertex").alias("component"))
+        keys = _parted(placed, F.col("vertex")).select("key")
+        placed = checkpointed(placed.join(keys, "key"))
+        placed = sized(placed, placed.count())
+        parted = placed.select("key", "vertex")
+        # Similar texts share about ten buckets; a single one is the rule for texts that are not similar.
+        vertices = placed.groupBy("vertex", "component").agg(F.count("*").alias("_n")).where("_n > 1")
+        bands = classes.select("vertex", "bands").join(vertices.drop("_n"), "vertex")
+        keyed = bands.select("vertex", "component", F.explode(_keys(F.col("bands"), round_)).alias("key"))
+        new = confirmed(star_edges(keyed), sets, percent)
+        quiet = quiet + 1 if new.isEmpty() else 0
+        if quiet == QUIET_ROUNDS:
             break
+        if quiet:
+            continue
         links = links.union(new)
-        found = checkpointed(components(links))
+        found = components(links)
     of_class = classes.join(found, "vertex", "left").select(
         *[F.col(c).alias(f"_{c}") for c in same], F.coalesce("component", "vertex").alias("_component")
     )
