@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spokeflow.llm import bpe
+from spokeflow.llm import bpe, words
 
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
-GROUP_CHARS = 1 << 20
+GROUP_BYTES = 8 << 20
+PIECES = 300_000
 SHARD = (
     "first_doc bigint, part int, seq int, n_tokens bigint, doc_ids array<bigint>, doc_tokens binary, alphabet binary, "
     "zeros array<bigint>, planes array<binary>, ranks array<binary>"
@@ -152,8 +153,8 @@ class Shard:
         return self.alphabet[self.matrix.everything()] if self.matrix.n else np.zeros(0, "<u4")
 
 
-def shard_row(first_part: int, seq: int, doc_ids: list, ids: list[bytes]) -> dict:
-    tokens = np.frombuffer(b"".join(ids), "<u4")
+def shard_row(part: int, seq: int, doc_ids: list, ids: list[np.ndarray]) -> dict:
+    tokens = np.concatenate(ids)
     if len(tokens) and tokens.max() < 1 << 20:
         present = np.bincount(tokens) > 0
         alphabet = np.flatnonzero(present)
@@ -163,15 +164,46 @@ def shard_row(first_part: int, seq: int, doc_ids: list, ids: list[bytes]) -> dic
     bits = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 0
     matrix = WaveletMatrix.build(numbers.astype(np.uint32 if bits > 16 else np.uint16), bits)
     return {
-        "first_doc": doc_ids[0], "part": first_part, "seq": seq, "n_tokens": len(tokens), "doc_ids": doc_ids,
-        "doc_tokens": np.array([len(i) // 4 for i in ids], "<i8").tobytes(),
+        "first_doc": doc_ids[0], "part": part, "seq": seq, "n_tokens": len(tokens), "doc_ids": doc_ids,
+        "doc_tokens": np.array([len(a) + len(b) for a, b in zip(ids[::2], ids[1::2], strict=True)], "<i8").tobytes(),
         "alphabet": alphabet.astype("<u4").tobytes(), "zeros": matrix.zeros,
         "planes": [p.tobytes() for p in matrix.planes], "ranks": [r.tobytes() for r in matrix.ranks],
     }
 
 
+CODES = np.arange(256)
+WHITE = np.isin(CODES, [0x20, *range(0x09, 0x0E)])
+LETTER_DIGIT = np.isin(CODES, [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])
+SIGN = (CODES < 0x80) & ~WHITE & ~LETTER_DIGIT
+# First bytes of characters that are no white space: ASCII, and the letters of two bytes from U+00C0 on.
+PLAIN = ((CODES < 0x80) & ~WHITE) | ((CODES >= 0xC3) & (CODES < 0xE0))
+
+
+def piece_starts(data: np.ndarray, text_at: np.ndarray) -> np.ndarray:
+    """Places where pre-tokens part whatever stands around them; at least the beginning of every text.
+
+    White space after a character that is none; a character that is none after a line end that follows one; a sign after an
+    ASCII letter or digit. Runs of white space stay with what follows.
+    """
+    n = len(data)
+    white, plain = WHITE[data], PLAIN[data]
+    # Whether the character that ends here is known to be no white space.
+    solid = plain & (data < 0x80)
+    solid[1:] |= ((data[1:] & 0xC0) == 0x80) & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
+    starts = np.zeros(n, bool)
+    starts[1:] = white[1:] & solid[:-1]
+    starts[2:] |= plain[2:] & (data[1:-1] == 0x0A) & solid[:-2]
+    starts[1:] |= SIGN[data[1:]] & LETTER_DIGIT[data[:-1]]
+    starts[text_at[:-1][text_at[:-1] < n]] = True
+    return np.flatnonzero(starts)
+
+
 class LibraryEncoder:
-    """Ids from the tokenizers library. Texts are cut where pre-tokens always part; each distinct piece is encoded once."""
+    """Ids from the tokenizers library, which encodes each distinct piece of a group of texts once.
+
+    Texts are cut where pre-tokens always part. Pieces are told apart by two 64-bit hashes of their bytes; ids are gathered
+    by piece. A text with a special token goes to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
@@ -180,45 +212,52 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if any(c in text for text in special for c in bpe.WHITE):
-            raise ValueError("a special token with white space may be cut")
-        self.raw = bpe.Bounded(self._one)
-        self.spaced = bpe.Bounded(lambda piece: self._one(bpe.uncut(piece)))
-
-    def _many(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _one(self, text: str) -> bytes:
-        return self._many([text])[0]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [bpe.cut(text) for text in texts]
-        for known, pieces, whole in (
-            (self.raw, (raw for raw, _ in cuts), lambda p: p),
-            (self.spaced, (spaced for _, spaced in cuts), bpe.uncut),
-        ):
-            new = [p for p in set(chain.from_iterable(pieces)).difference(known) if p not in known.older]
-            for piece, ids in zip(new, self._many([whole(p) for p in new]), strict=True):
-                known.put(piece, ids)
-        raw, spaced = self.raw.__getitem__, self.spaced.__getitem__
-        return [b"".join(map(raw, r)) + b"".join(map(spaced, s)) for r, s in cuts]
-
-
-def _texts_in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    ids, texts, chars = [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py() or ""
-            ids.append(doc_id)
-            texts.append(text)
-            chars += len(text)
-            if chars >= GROUP_CHARS:
-                yield ids, texts
-                ids, texts, chars = [], [], 0
-    if ids:
-        yield ids, texts
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = bpe.Bounded(lambda piece: self._many([piece])[0], PIECES)
+        self.codes = [words.byte_codes(np.ones(256, bool), lower=False), words.mix(np.arange(1, 257, dtype=np.uint64))]
+
+    def _many(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out: tuple[list, list] = ([], [])
+        lo = 0
+        while lo < len(starts):  # a part at a time, so that the arrays of products stay small
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + words.GROUP_BYTES)))
+            end = int(starts[hi]) if hi < len(starts) else len(data)
+            some, at = data[starts[lo] : end], starts[lo:hi] - starts[lo]
+            for kind, codes in zip(out, self.codes, strict=True):
+                kind.append(words.range_hashes(some, at, codes))
+            lo = hi
+        return np.concatenate(out[0]), np.concatenate(out[1])
+
+    def encode(self, data: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that follow each other in ``data``, and where each text's begin (one more at the end)."""
+        raw = data.tobytes()
+        if any(special in raw for special in self.special):
+            texts = [raw[a:b] for a, b in zip(text_at, text_at[1:])]
+            ids = [np.frombuffer(i, "<u4") for i in self._many(texts)]
+            return np.concatenate(ids or [np.zeros(0, "<u4")]), np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(int)
+        starts = piece_starts(data, text_at)
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(text_at), int)
+        first, second = self._hashes(data, starts)
+        _, sample, kind = np.unique(first, return_index=True, return_inverse=True)
+        if (second != second[sample][kind]).any():
+            raise ValueError("two pieces have one hash")
+        stops = np.append(starts[1:], len(data))
+        pieces = [raw[a:b] for a, b in zip(starts[sample].tolist(), stops[sample].tolist(), strict=True)]
+        new = [p for p in pieces if p not in self.known and p not in self.known.older]
+        for piece, ids in zip(new, self._many(new), strict=True):
+            self.known.put(piece, ids)
+        ids = list(map(self.known.__getitem__, pieces))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        own = lengths[kind]
+        ends = np.cumsum(own)
+        tokens = flat[np.repeat(begins[kind] - (ends - own), own) + np.arange(ends[-1])]
+        return tokens, np.concatenate(([0], ends))[np.searchsorted(starts, text_at)]
 
 
 def write_shards(
@@ -236,7 +275,7 @@ def write_shards(
             ("zeros", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary())),
         ]
     )
-    end = end_id.to_bytes(4, "little")
+    end = np.array([end_id], "<u4")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = LibraryEncoder(tokenizer)
@@ -246,14 +285,18 @@ def write_shards(
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([shard_row(part, seq, doc_ids, ids)], schema)
 
-        for some_ids, texts in _texts_in_groups(batches):
-            for doc_id, packed in zip(some_ids, encoder.encode(texts), strict=True):
-                doc_ids.append(doc_id)
-                ids.append(packed + end)
-                tokens += len(packed) // 4 + 1
-                if tokens >= shard_tokens:
-                    yield row()
-                    seq, doc_ids, ids, tokens = seq + 1, [], [], 0
+        for batch in batches:
+            some_ids = batch.column(0).to_pylist()
+            at, data = words.buffers(batch.column(1))
+            for lo, hi in words.groups(at, GROUP_BYTES):
+                found, begins = encoder.encode(data[at[lo] : at[hi]], (at[lo : hi + 1] - at[lo]).astype(np.int64))
+                for doc_id, a, b in zip(some_ids[lo:hi], begins.tolist(), begins[1:].tolist()):
+                    doc_ids.append(doc_id)
+                    ids += [found[a:b], end]
+                    tokens += b - a + 1
+                    if tokens >= shard_tokens:
+                        yield row()
+                        seq, doc_ids, ids, tokens = seq + 1, [], [], 0
         if doc_ids:
             yield row()
 

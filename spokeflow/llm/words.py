@@ -60,6 +60,14 @@ def byte_codes(is_word: np.ndarray, lower: bool = True) -> np.ndarray:
     return np.where(is_word, codes, np.uint64(0))
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes with a code from each start to the next one."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sums = np.add.reduceat(codes[data] * _powers_of(BASE, len(data)), starts)
+    return mix(sums * _powers_of(pow(BASE, -1, 1 << 64), len(data))[starts])
+
+
 @dataclass
 class Scan:
     """Words of the texts ``lo`` to ``hi``: byte ranges in ``data``, and where each text's words begin (one more at the end)."""
@@ -74,10 +82,7 @@ class Scan:
 
     def hashes(self, codes: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each word."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        sums = np.add.reduceat(codes[self.data] * _powers_of(BASE, len(self.data)), self.starts)
-        return mix(sums * _powers_of(pow(BASE, -1, 1 << 64), len(self.data))[self.starts])
+        return range_hashes(self.data, self.starts, codes)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
