@@ -32,7 +32,7 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0                
 RUNS = ("  ", "\n ", " \n", "\n\n")
 RARE = WHITE.replace("\n", "").replace(" ", "")
 # Entries of the tables of a Python worker; a full table is begun anew.
-PIECES = 200_000
+PIECES = 120_000
 PAIRS = 1_000_000
 NEVER = 1 << 30
 
@@ -47,7 +47,8 @@ def byte_letters() -> dict[str, int]:
 class Vocabulary:
     """Tokens in merge order, with the two halves of each, and the tables of the encoder and the decoder."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encodes: bool = True):
+        """``encodes=False`` leaves out the encoder's tables."""
         spec = json.loads(Path(path).read_text())
         model = spec["model"]
         letters = byte_letters()
@@ -55,21 +56,33 @@ class Vocabulary:
         if spec["normalizer"] or any(known.values()) or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError(f"{path} is not plain byte-level BPE")
         plain = lambda text: bytes(letters[c] for c in text)
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         ids = {plain(text): id_ for text, id_ in model["vocab"].items() if all(c in letters for c in text)}
+        added = spec["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError(f"{path} has special tokens that take in their neighbourhood")
+        self.special = {t["content"]: t["id"] for t in added}
+        # The offset table: the bytes of all ids, one after the other.
+        by_id = {id_: token for token, id_ in ids.items()} | {id_: text.encode() for text, id_ in self.special.items()}
+        size = max(by_id) + 1
+        self.offsets = np.concatenate(([0], np.cumsum([len(by_id.get(i, b"")) for i in range(size)])))
+        self.bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), np.uint8)
+        if encodes:
+            pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+            self._encoder(path, [(plain(a), plain(b)) for a, b in pairs], ids)
+
+    def _encoder(self, path: str, pairs: list[tuple[bytes, bytes]], ids: dict[bytes, int]) -> None:
         # Ranks: the single bytes, then one token for each merge.
-        tokens = [bytes([b]) for b in range(256)] + [plain(a + b) for a, b in pairs]
+        tokens = [bytes([b]) for b in range(256)] + [a + b for a, b in pairs]
         self.rank = {token: r for r, token in enumerate(tokens)}
         if len(self.rank) != len(tokens):
             raise ValueError(f"two merges of {path} make the same token")
         self.halves = [(r, r) for r in range(256)]
         self.merged = {}
         for r, (a, b) in enumerate(pairs, 256):
-            self.halves.append((self.rank[plain(a)], self.rank[plain(b)]))
+            self.halves.append((self.rank[a], self.rank[b]))
             self.merged[self.halves[r]] = r
         self.length = [len(t) for t in tokens]
-        self.id = [ids[t] for t in tokens]
-        self.packed = [id_.to_bytes(4, "little") for id_ in self.id]
+        self.packed = [ids[t].to_bytes(4, "little") for t in tokens]
         self.tokens = tokens
         self.shorter: dict[int, int] = {}
         self.compatible: dict[int, bool] = {}
@@ -77,17 +90,8 @@ class Vocabulary:
         for r, token in enumerate(tokens):
             self.automaton.add_word(token.decode("latin-1"), r)
         self.automaton.make_automaton()
-        added = spec["added_tokens"]
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
-            raise ValueError(f"{path} has special tokens that take in their neighbourhood")
-        self.special = {t["content"]: t["id"] for t in added}
         longest = sorted(self.special, key=len, reverse=True)
         self.special_at = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        # The offset table: the bytes of all ids, one after the other.
-        by_id = dict(zip(self.id, tokens, strict=True)) | {id_: text.encode() for text, id_ in self.special.items()}
-        size = max(by_id) + 1
-        self.offsets = np.concatenate(([0], np.cumsum([len(by_id.get(i, b"")) for i in range(size)])))
-        self.bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), np.uint8)
 
     def next_shorter(self, rank: int) -> int:
         """The longest token that this one begins with, but itself; -1 if there is none."""
@@ -289,7 +293,7 @@ def decoded(ids: str | Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decoder = Decoder(Vocabulary(path))
+        decoder = Decoder(Vocabulary(path, encodes=False))
         for packed in batches:
             packed = pc.fill_null(packed, b"")
             yield pa.array((decoder.decode(p.as_py()) for p in packed), pa.string(), size=len(packed))
