@@ -11,14 +11,19 @@
    are confirmed on the full sets.
 5. A member may be similar to another one and not to the hub. So texts that are in two or more buckets whose members are not
    all connected yet get new stars: with other hubs, drawn by seeded hashes, and within finer buckets of two and three bands
-   together, where nearly all members are similar. This goes on until two rounds link nothing new. (Sets with a similarity of
-   0.75 share fewer than two buckets with a probability of 8 in 100,000, and only those that the first stars missed matter.)
+   together, where nearly all members are similar. These rounds join large groups cheaply and decide nothing; they end with
+   the first that links few.
+6. Whatever members of buckets are then still parted, in one bucket or more, meet exactly, by a prefix filter. Only shingles
+   of two components or more count. Two similar sets have their rarest common one among the few rarest of each, so sets with
+   such a shingle in common are paired if sizes and places allow the similarity, and confirmed on the full sets. A pair that
+   shares a bucket is therefore never left out; what MinHash misses is a pair without a common bucket.
 
 A hot bucket is never gathered: hubs are least values, combined before the shuffle, and members meet them in a plain join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +45,8 @@ BANDS = BINS // ROWS
 ATTEMPTS = 1024
 # Bands that are put together in a round of finer stars: each band with the ones so many places on.
 FINER = ((1,), (3,), (2, 9))
-ROUNDS = 12
-QUIET_ROUNDS = 2
+# Rounds of finer stars end with one that links less than one in so many of the vertices in it.
+FEW = 100
 # Pairs with their sets in a task.
 PAIRS_PER_TASK = 4_000
 FEATURES = "n bigint, high bigint, low bigint, bands array<bigint>, shingles array<bigint>"
@@ -173,6 +178,79 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return checkpointed(found)
 
 
+def open_members(placed: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``vertex``, ``component`` and ``n`` of the members (``key``, ``vertex``, ``component``) of parted buckets that have a
+    member of another component and of a fitting size in their bucket."""
+    # Sizes that fit are in the same or in neighbouring classes; the step is a little wider than the ratio, against rounding.
+    step = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
+    place = F.floor(F.ln("n") / step)
+    twice = placed.join(sizes, "vertex").select(
+        "vertex", "component", "n", F.explode(F.array(*[F.xxhash64("key", place + i) for i in (0, 1)])).alias("key")
+    )
+    meeting = twice.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
+    return twice.join(meeting.where("_least < _most").select("key"), "key").select("vertex", "component", "n").distinct()
+
+
+def prefixes(active: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rarest shingles (``key``) of each of ``active`` (``vertex``, ``component``, ``n``), as many as it takes that two
+    similar sets of different components have the first of their common ones in both. ``rest`` counts the shingles from it on.
+
+    Shingles of one component are in no pair and do not count; a set with too few others has no prefix.
+    """
+    tokens = active.join(sets, "vertex").select("vertex", "component", "n", F.explode("shingles").alias("key"))
+    shared = (
+        tokens.groupBy("key")
+        .agg(F.count("*").alias("_df"), F.min("component").alias("_least"), F.max("component").alias("_most"))
+        .where("_least < _most")
+        .select("key", "_df")
+    )
+    in_order = F.sort_array(F.collect_set(F.struct("_df", "key")))
+    needed = F.ceil(F.col("n") * percent / 100).cast("int")
+    return (
+        tokens.join(shared, "key")
+        .groupBy("vertex", "component", "n")
+        .agg(in_order.alias("_in_order"))
+        .withColumn("_size", F.size("_in_order"))
+        .where(F.col("_size") >= needed)
+        .select(
+            "vertex", "component", "n", "_size", F.posexplode(F.slice("_in_order", F.lit(1), F.col("_size") - needed + 1))
+        )
+        .select("vertex", "component", "n", F.col("col.key").alias("key"), (F.col("_size") - F.col("pos")).alias("rest"))
+    )
+
+
+def prefix_edges(active: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every pair ``a`` < ``b`` of ``active`` of different components that can be similar enough.
+
+    Components of a key meet before their members do, so members of one component are never paired, however many they are.
+    """
+    rows = checkpointed(prefixes(active, sets, percent))
+    groups = rows.groupBy("key", "component").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest")
+    )
+
+    def fits(least_a: str, least_b: str, most_a: str, most_b: str, rest_a: str, rest_b: str) -> Column:
+        sizes = (100 * F.col(most_b) >= percent * F.col(least_a)) & (100 * F.col(most_a) >= percent * F.col(least_b))
+        common = (100 + percent) * F.least(rest_a, rest_b)
+        return sizes & (common >= percent * (F.col(least_a) + F.col(least_b)))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("key", *[F.col(c).alias(f"{c}_{name}") for c in df.columns if c != "key"])
+
+    met = (
+        side(groups, "a")
+        .join(side(groups, "b"), "key")
+        .where("component_a < component_b")
+        .where(fits("least_a", "least_b", "most_a", "most_b", "rest_a", "rest_b"))
+        .select("key", "component_a", "component_b")
+    )
+    pairs = met.join(side(rows, "a"), ["key", "component_a"]).join(side(rows, "b"), ["key", "component_b"])
+    found = pairs.where(fits("n_a", "n_b", "n_a", "n_b", "rest_a", "rest_b"))
+    return found.select(
+        F.least("vertex_a", "vertex_b").alias("a"), F.greatest("vertex_a", "vertex_b").alias("b")
+    ).distinct()
+
+
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``documents`` (``doc_id``, ``text``).
 
@@ -205,26 +283,31 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = confirmed(first, sets, percent)
     found = components(links)
     parted = members.select("key", "vertex")
-    quiet = 0
-    for round_ in range(1, ROUNDS + 1):
-        # Buckets whose members are all connected need no more stars.
+    round_ = 0
+    while True:
+        # Buckets whose members are all connected need no more comparisons.
         placed = parted.join(found, "vertex", "left").select("key", "vertex", F.coalesce("component", "vertex").alias("component"))
         keys = _parted(placed, F.col("vertex")).select("key")
         placed = checkpointed(placed.join(keys, "key"))
         placed = sized(placed, placed.count())
         parted = placed.select("key", "vertex")
-        # Similar texts share about ten buckets; a single one is the rule for texts that are not similar.
-        vertices = placed.groupBy("vertex", "component").agg(F.count("*").alias("_n")).where("_n > 1")
-        bands = classes.select("vertex", "bands").join(vertices.drop("_n"), "vertex")
+        # Similar texts share about ten buckets; those in a single one wait for the exact comparison.
+        vertices = placed.groupBy("vertex", "component").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        round_ += 1
+        bands = classes.select("vertex", "bands").join(vertices, "vertex")
         keyed = bands.select("vertex", "component", F.explode(_keys(F.col("bands"), round_)).alias("key"))
         new = confirmed(star_edges(keyed), sets, percent)
-        quiet = quiet + 1 if new.isEmpty() else 0
-        if quiet == QUIET_ROUNDS:
+        linked = new.count()
+        if linked:
+            links = links.union(new)
+            found = components(links)
+        if linked * FEW <= vertices.count():
             break
-        if quiet:
-            continue
-        links = links.union(new)
-        found = components(links)
+    placed = parted.join(found, "vertex", "left").select("key", "vertex", F.coalesce("component", "vertex").alias("component"))
+    active = checkpointed(open_members(placed, classes.select("vertex", "n"), percent))
+    new = confirmed(prefix_edges(active, sets, percent), sets, percent)
+    if not new.isEmpty():
+        found = components(links.union(new))
     of_class = classes.join(found, "vertex", "left").select(
         *[F.col(c).alias(f"_{c}") for c in same], F.coalesce("component", "vertex").alias("_component")
     )

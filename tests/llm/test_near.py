@@ -105,3 +105,39 @@ def test_no_group_is_gathered(spark):
     """Stars of a bucket grow with its members, not with their pairs."""
     members = spark.range(2_000).select(F.lit(1).alias("key"), F.col("id").alias("vertex"), F.col("id").alias("component"))
     assert near.star_edges(members).count() == 1_999
+
+
+def test_pairs_inside_a_hot_bucket_are_found(documents, monkeypatch):
+    """Two buckets hold all texts, and each is similar to one other only, which few stars have for a hub."""
+    made = near.features
+    hot = F.array(F.lit(7).cast("bigint"), F.lit(8).cast("bigint"))
+    monkeypatch.setattr(near, "features", lambda text, *which: made(text, *which).withField("bands", hot))
+    texts = [" ".join(f"t{n}x{i}" for i in range(20)) for n in range(150)]
+    rows = [(n, text) for n, text in enumerate(texts)] + [(1000 + n, text + " end") for n, text in enumerate(texts)]
+    assert found(near.near_duplicates(documents(rows))) == expected(rows)
+
+
+def test_texts_in_one_parted_bucket_are_compared(documents, monkeypatch):
+    """The first text is the hub of the only bucket and like neither of the others."""
+    made = near.features
+    one = F.array(F.lit(7).cast("bigint"))
+    monkeypatch.setattr(near, "features", lambda text, *which: made(text, *which).withField("bands", one))
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, " ".join(f"h{i}" for i in range(60))), (2, text), (3, text + " more")]
+    assert found(near.near_duplicates(documents(rows))) == expected(rows)
+
+
+def test_prefixes_leave_out_no_similar_pair(spark):
+    rng = random.Random(4)
+    sets = []
+    for _ in range(30):
+        base = rng.sample(range(300), rng.choice([1, 3, 4, 12, 40]))
+        sets += [sorted({*base, *rng.sample(range(300), rng.randrange(0, 1 + len(base) // 3))}) for _ in range(5)]
+    table = spark.createDataFrame(list(enumerate(sets)), "vertex long, shingles array<long>")
+    active = table.select("vertex", (F.col("vertex") % 20).alias("component"), F.size("shingles").cast("long").alias("n"))
+    pairs = {tuple(r) for r in near.prefix_edges(active, table).collect()}
+    alike = lambda a, b: 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})
+    wanted = {(a, b) for b in range(len(sets)) for a in range(b) if a % 20 != b % 20 and alike(a, b)}
+    assert wanted and wanted <= pairs
+    in_a_bucket = active.select(F.lit(1).alias("key"), "vertex", "component")
+    assert {r.vertex for r in near.open_members(in_a_bucket, active.select("vertex", "n")).collect()} >= {x for p in wanted for x in p}
