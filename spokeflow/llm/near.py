@@ -242,9 +242,13 @@ def prefix_edges(active: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
         .join(side(groups, "b"), "key")
         .where("component_a < component_b")
         .where(fits("least_a", "least_b", "most_a", "most_b", "rest_a", "rest_b"))
-        .select("key", "component_a", "component_b")
+        .drop("least_a", "most_a", "rest_a")
     )
-    pairs = met.join(side(rows, "a"), ["key", "component_a"]).join(side(rows, "b"), ["key", "component_b"])
+    # A member meets the other component's bounds before its members.
+    ones = met.join(side(rows, "a"), ["key", "component_a"]).where(
+        fits("n_a", "least_b", "n_a", "most_b", "rest_a", "rest_b")
+    )
+    pairs = ones.drop("least_b", "most_b", "rest_b").join(side(rows, "b"), ["key", "component_b"])
     found = pairs.where(fits("n_a", "n_b", "n_a", "n_b", "rest_a", "rest_b"))
     return found.select(
         F.least("vertex_a", "vertex_b").alias("a"), F.greatest("vertex_a", "vertex_b").alias("b")
