@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.llm import bpe, chat, fingerprint, licenses, mixing, near, quality, topk, urls, wavelet
+from spokeflow.llm import bpe, chat, fingerprint, licenses, mixing, near, quality, repair, topk, urls, wavelet
 from spokeflow.llm.oracle import ORACLE
 from spokeflow.session import run_dir
 
@@ -107,4 +107,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_chat, op3_fingerprints, op4_bpe, op5_wavelet, op6_minhash, op7_mixing, op8_quality, op9_topk, op10_urls)}
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair_digest(repair.damaged(conversations), conversations)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_licenses, op2_chat, op3_fingerprints, op4_bpe, op5_wavelet, op6_minhash, op7_mixing, op8_quality, op9_topk,
+        op10_urls, op13_repair,
+    )
+}
