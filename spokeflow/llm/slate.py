@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.llm import bpe, chat, fingerprint, licenses, mixing, near, quality, repair, topk, urls, wavelet
+from spokeflow.llm import bpe, chat, fingerprint, licenses, mixing, near, negatives, quality, repair, rules, topk, urls, wavelet
 from spokeflow.llm.oracle import ORACLE
 from spokeflow.session import run_dir
 
@@ -107,6 +107,16 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("bigint").alias("label"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(embeddings.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair.repair_digest(repair.damaged(conversations), conversations)
@@ -116,6 +126,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_licenses, op2_chat, op3_fingerprints, op4_bpe, op5_wavelet, op6_minhash, op7_mixing, op8_quality, op9_topk,
-        op10_urls, op13_repair,
+        op10_urls, op11_rules, op12_negatives, op13_repair,
     )
 }
