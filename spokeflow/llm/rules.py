@@ -23,15 +23,13 @@ from spokeflow.llm.quality import held_out
 from spokeflow.session import checkpointed
 
 BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-DIGITS = "0123456789"
-CALLS = "!?"
+# Characters that are counted.
+SIGNS = {"n_symbols": "[#*$%&|<>]", "n_upper": "[A-Z]", "n_digits": "[0-9]", "n_calls": "[!?]"}
 RUN = 3
 # The base limits.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE_COUNTS = ("n_lines", "n_upper", "n_digits", "n_calls", "n_echoes", "n_distinct")
+MORE_COUNTS = ("n_lines", "n_upper", "n_digits", "n_calls", "n_echoes")
 # What conditions are about: (name, count, out of which count, how many of it make one).
 STATISTICS = (
     ("symbols", "n_symbols", "word_chars", 1000),
@@ -40,7 +38,6 @@ STATISTICS = (
     ("calls", "n_calls", "word_chars", 1000),
     ("repeat_words", "n_repeat_words", "n_words", 1000),
     ("echoes", "n_echoes", "n_words", 1000),
-    ("distinct", "n_distinct", "n_words", 1000),
     ("dup_lines", "n_dup_lines", "n_lines", 1000),
     ("word_length", "word_chars", "n_words", 10),
 )
@@ -50,16 +47,18 @@ RULES, CONDITIONS, PRECISION = 16, 4, 0.9
 
 
 def with_counts(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts of a text column. NULL is empty. Steps are columns of their own, so that none is computed twice."""
+    """Add the counts of a text column. NULL is empty. Steps are columns of their own, so that none is computed twice.
+
+    Write the result to a table before filtering by a count: the optimizer would move the filter below the steps and put all of
+    them into one expression, which computes each step anew for every word.
+    """
     made = rows.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    without = lambda signs: F.length(F.translate("_text", signs, ""))
+    count = lambda signs: F.length("_text") - F.length(F.regexp_replace("_text", signs, ""))
     made = made.withColumns(
         {
             "_words": F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda w: w != ""),
             "_lines": F.filter(F.split("_text", "\n"), lambda line: F.rtrim(line, F.lit(BLANKS)) != ""),
-            "_chars": F.length("_text"),
-            "word_chars": without(BLANKS),
-            **{n: F.length("_text") - without(s) for n, s in (("n_symbols", SYMBOLS), ("n_upper", UPPER), ("n_digits", DIGITS), ("n_calls", CALLS))},
+            **{name: count(signs) for name, signs in SIGNS.items()},
         }
     )
     run = lambda i: F.concat_ws(" ", *[F.get("_words", i + j) for j in range(RUN)])
@@ -67,13 +66,13 @@ def with_counts(rows: DataFrame, text: str = "text") -> DataFrame:
     made = made.withColumns(
         {
             "n_words": F.size("_words"),
+            "word_chars": F.length(F.array_join("_words", "")),
             "n_echoes": F.size(F.filter("_words", lambda w, i: w == F.get("_words", i - 1))),
-            "n_distinct": F.size(F.array_distinct("_words")),
             "n_lines": F.size("_lines"),
             "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
             "_runs": F.when(F.size("_words") >= RUN, F.sort_array(runs)),
         }
-    ).drop("_words", "_lines", "_text", "_chars")
+    ).drop("_words", "_lines", "_text")
     # Equal runs stand side by side; those that have an equal neighbour, by place.
     near = lambda i: F.get("_runs", i)["run"]
     found = F.filter("_runs", lambda r, i: (r["run"] == near(i - 1)) | (r["run"] == near(i + 1)))
@@ -215,14 +214,14 @@ def covering(rows: DataFrame, most: int = RULES, precision: float = PRECISION, c
 
 
 def learned(counted: DataFrame, labels: DataFrame, label: str = "quality") -> DecisionList:
-    """A decision list that rejects label 0, from the rows with counts (``doc_id``, …) that pass the base limits.
+    """A decision list that rejects label 0, from rows with counts (``doc_id``, …).
 
-    All labelled rows count but the held-out ones, whose labels are never looked at. Labels other than 0 and 1 do not count; a
-    document that is labelled several times counts as often.
+    All labelled rows count, whether or not they pass the base limits, but the held-out ones, whose labels are never looked at.
+    Labels other than 0 and 1 do not count; a document that is labelled several times counts as often.
     """
     wanted = labels.where(~held_out("doc_id") & F.col(label).isin(0, 1)).select("doc_id", (F.col(label) == 0).alias("_bad"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0
-    rows = counted.where(~base_failed()).join(wanted, "doc_id").select("_bad", part.alias("_grow"), *COUNTS, *MORE_COUNTS)
+    rows = counted.join(wanted, "doc_id").select("_bad", part.alias("_grow"), *COUNTS, *MORE_COUNTS)
     return covering(checkpointed(rows))
 
 
@@ -245,7 +244,8 @@ def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     are judged each by its own text."""
     columns = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(documents.columns)]
     carried = documents.select("doc_id", "text", *columns)
-    counted = with_counts(carried).drop("text")
+    # A column that differs from run to run keeps the filter above the steps.
+    counted = with_counts(carried).drop("text").withColumn("_above", F.monotonically_increasing_id())
     found = learned(with_counts(documents.select("doc_id", "text")).drop("text"), labels)
-    kept = counted.where(~base_failed() & found.kept())
+    kept = counted.where((F.col("_above") >= 0) & ~base_failed() & found.kept())
     return kept.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(documents.columns)])

@@ -35,7 +35,7 @@ def plain_statistics(text):
         "symbols": 1000 * symbols // chars, "upper": 1000 * count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") // chars,
         "digits": 1000 * count("0123456789") // chars, "calls": 1000 * count("!?") // chars,
         "repeat_words": 1000 * repeats // n_words, "echoes": 1000 * sum(a == b for a, b in zip(words, words[1:])) // n_words,
-        "distinct": 1000 * len(set(words)) // n_words, "dup_lines": 1000 * dups // len(lines),
+        "dup_lines": 1000 * dups // len(lines),
         "word_length": min(1000, 10 * chars // n_words),
     }
 
@@ -52,7 +52,7 @@ def test_counts_and_verdicts_of_given_documents(spark, given):
     assert got.keys() == texts.keys()
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     found = rules.learned(rules.with_counts(documents), labels)
-    assert found.rules
+    assert found.rules and found == rules.learned(rules.with_counts(documents), labels)
     for doc_id, r in got.items():
         counts = plain_counts(texts[doc_id])
         assert tuple(r[c] for c in COUNTS) == counts and r.base_failed == plain_failed(counts)
@@ -173,12 +173,12 @@ def test_clean_rows_stay_and_junk_goes(spark, documents):
     good = [r.text for r in table.join(known.where("quality = 1"), "doc_id").where("n_chars > 1500").orderBy("doc_id").limit(20).collect()]
     shapes = [
         lambda w: [x + "$%&#*"[i % 5] * 3 for i, x in enumerate(w)],
-        lambda w: [x.upper() + "!!" for x in w],
         lambda w: [y for x in w for y in (x, "|")],
+        lambda w: w[:60] * 4,
     ]
     rows = [(10**6 + i, t) for i, t in enumerate(good)] + [(None, good[0])]
     junk = [(2 * 10**6 + i, " ".join(shape(good[4].split()[:200]))) for i, shape in enumerate(shapes)]
     kept = rules.accepted(table.unionByName(documents(rows + junk).drop("score")), known)
     assert kept.columns == table.columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
-    assert {i for i, _ in rows} <= ids and not {i for i, _ in junk} & ids
+    assert {i for i, _ in rows} - ids == set() and {i for i, _ in junk} & ids == set()
