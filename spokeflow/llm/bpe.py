@@ -13,6 +13,7 @@ Texts are cut at single spaces first, which always part pre-tokens, and the enco
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -301,5 +302,24 @@ def decoded(ids: str | Column, path: str) -> Column:
     return decode(ids)
 
 
+def round_trip(text: str | Column, path: str) -> Column:
+    """:func:`encoded` ``ids`` of a text column and the SHA-256 of the text :func:`decoded` from them (``decoded_sha256``, of its
+    UTF-8), by one worker with one set of tables. Decoded texts do not leave it."""
+
+    @F.arrow_udf("ids binary, decoded_sha256 string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = Vocabulary(path)
+        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        for texts in batches:
+            ids, digests = [], []
+            for text in texts:
+                packed = encoder.encode(text.as_py() or "")
+                ids.append(packed)
+                digests.append(hashlib.sha256(decoder.decode(packed).encode()).hexdigest())
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(digests, pa.string())], ["ids", "decoded_sha256"])
+
+    return both(text)
+
+
 def token_count(ids: str) -> Column:
     return F.floor(F.octet_length(ids) / 4).cast("bigint")

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spokeflow.functions.sizing import broadcast_if_small
 from spokeflow.llm import words
@@ -49,7 +50,6 @@ FINER = ((1,), (3,), (2, 9))
 FEW = 100
 # Pairs with their sets in a task.
 PAIRS_PER_TASK = 4_000
-FEATURES = "n bigint, high bigint, low bigint, bands array<bigint>, shingles array<bigint>"
 
 
 def drawn_bins() -> np.ndarray:
@@ -93,43 +93,49 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return words.mix(key)
 
 
-def features(text: str | Column, with_bands: bool, with_shingles: bool) -> Column:
-    """Shingle set of each text: its size, 128 bits that tell it from other sets, band keys, and the set itself."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    kind = pa.struct(list(zip(["n", "high", "low", "bands", "shingles"], kinds, strict=True)))
-
-    def lists(rows: list[np.ndarray | None]) -> pa.Array:
-        lengths = np.array([0 if r is None else len(r) for r in rows])
-        flat = np.concatenate([r for r in rows if r is not None] or [np.zeros(0, np.uint64)]).view(np.int64)
-        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-    @F.arrow_udf(FEATURES)
-    def shingled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codes = words.byte_codes(words.BETWEEN_SPACES)
-        drawn = drawn_bins()
-        for texts in batches:
-            sets: list[np.ndarray] = []
-            for scan in words.scans(texts, words.BETWEEN_SPACES):
-                hashes, at = words.shingles(scan, scan.hashes(codes), K)
-                sets += [np.unique(hashes[a:b]) for a, b in zip(at, at[1:])]
-            sums = [s.sum(dtype=np.uint64) for s in sets]
-            more = [words.mix(s).sum(dtype=np.uint64) for s in sets]
-            bands: list = [None] * len(sets)
-            full = [i for i, s in enumerate(sets) if len(s)]
-            if with_bands and full:
-                for i, keys in zip(full, band_keys(signatures([sets[i] for i in full], drawn)), strict=True):
-                    bands[i] = keys
-            columns = [
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(np.array(sums, np.uint64).view(np.int64)),
-                pa.array(np.array(more, np.uint64).view(np.int64)),
-                lists(bands),
-                lists(sets if with_shingles else [None] * len(sets)),
-            ]
-            yield pa.StructArray.from_arrays(columns, fields=list(kind))
-
-    return shingled(text)
+def featured(rows: DataFrame, with_bands: bool, with_shingles: bool, text: str = "text") -> DataFrame:
+    """``rows`` without their text, with its shingle set: size ``n``, 128 bits ``high`` and ``low`` that tell it from other sets,
+    ``bands`` of keys, and the set itself (``shingles``).
+
+    Texts are worked on and handed on about a megabyte at a time, so neither the sets nor the signatures of a batch are ever
+    in memory together.
+    """
+    others = [c for c in rows.columns if c != text]
+    schema = T.StructType([rows.schema[c] for c in others])
+    for name in ("n", "high", "low"):
+        schema = schema.add(name, T.LongType())
+    for name in ("bands", "shingles"):
+        schema = schema.add(name, T.ArrayType(T.LongType()))
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn, none = drawn_bins(), np.zeros(0, np.uint64)
+        for batch in batches:
+            for scan in words.scans(batch.column(len(others)), words.BETWEEN_SPACES):
+                hashes, at = words.shingles(scan, scan.word_hashes(), K)
+                sets = [np.unique(hashes[a:b]) for a, b in zip(at, at[1:])]
+                bands = [none] * len(sets)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                if with_bands and full:
+                    for i, keys in zip(full, band_keys(signatures([sets[i] for i in full], drawn)), strict=True):
+                        bands[i] = keys
+                sums = [s.sum(dtype=np.uint64) for s in sets]
+                more = [words.mix(s).sum(dtype=np.uint64) for s in sets]
+                columns = [batch.column(i).slice(scan.lo, scan.hi - scan.lo) for i in range(len(others))]
+                columns += [
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(np.array(sums, np.uint64).view(np.int64)),
+                    pa.array(np.array(more, np.uint64).view(np.int64)),
+                    lists(bands),
+                    lists(sets if with_shingles else [none] * len(sets)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.select(*others, text).mapInArrow(shingled, schema)
 
 
 def _keys(bands: Column, round_: int) -> Column:
@@ -262,8 +268,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets the smallest ``doc_id`` stands for all, and a row whose ``doc_id`` is NULL has a NULL component only if no row of
     its component has a ``doc_id``.
     """
-    made = documents.select("doc_id", features("text", True, False).alias("f"))
-    rows = checkpointed(made.select("doc_id", "f.n", "f.high", "f.low", "f.bands"))
+    rows = checkpointed(featured(documents.select("doc_id", "text"), True, False).drop("shingles"))
     same = ["n", "high", "low"]
     classes = checkpointed(
         rows.where("n > 0 and doc_id is not null")
@@ -279,10 +284,8 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Sets are kept of candidates only; a doc_id may come with other texts too, which are not the candidate's.
     of_candidate = candidates.select(F.col("vertex").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in same])
     texts = documents.select("doc_id", "text").join(of_candidate, "doc_id")
-    again = texts.withColumn("f", features("text", False, True))
-    sets = checkpointed(
-        again.where("f.n = _n and f.high = _high and f.low = _low").select(F.col("doc_id").alias("vertex"), "f.shingles")
-    )
+    again = featured(texts, False, True)
+    sets = checkpointed(again.where("n = _n and high = _high and low = _low").select(F.col("doc_id").alias("vertex"), "shingles"))
     first = members.where("vertex != hub").select(F.col("hub").alias("a"), F.col("vertex").alias("b")).distinct()
     links = confirmed(first, sets, percent)
     found = components(links)

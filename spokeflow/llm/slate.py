@@ -70,12 +70,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", bpe.encoded("text", TOKENIZER).alias("ids"))
-    return documents.select(
+    made = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip("text", TOKENIZER).alias("made"))
+    return made.select(
         "doc_id",
-        bpe.token_count("ids").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decoded("ids", TOKENIZER).cast("binary"), 256).alias("decoded_sha256"),
+        bpe.token_count("made.ids").alias("n_tokens"),
+        F.sha2("made.ids", 256).alias("ids_sha256"),
+        "made.decoded_sha256",
     )
 
 

@@ -12,6 +12,8 @@ Spark writes each shard as one Parquet file of one row, so a shard whose task is
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ from spokeflow.llm import bpe, words
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
 GROUP_BYTES = 8 << 20
-PIECES = 300_000
+PIECES = 500_000
 SHARD = (
     "first_doc bigint, part int, seq int, n_tokens bigint, doc_ids array<bigint>, doc_tokens binary, alphabet binary, "
     "zeros array<bigint>, planes array<binary>, ranks array<binary>"
@@ -201,8 +203,8 @@ def piece_starts(data: np.ndarray, text_at: np.ndarray) -> np.ndarray:
 class LibraryEncoder:
     """Ids from the tokenizers library, which encodes each distinct piece of a group of texts once.
 
-    Texts are cut where pre-tokens always part. Pieces are told apart by two 64-bit hashes of their bytes; ids are gathered
-    by piece. A text with a special token goes to the library whole.
+    Texts are cut where pre-tokens always part. Pieces are told apart by their bytes (an Arrow dictionary); ids are gathered by
+    piece. A text with a special token goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -214,24 +216,19 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = bpe.Bounded(lambda piece: self._many([piece])[0], PIECES)
-        self.codes = [words.byte_codes(np.ones(256, bool), lower=False), words.mix(np.arange(1, 257, dtype=np.uint64))]
+
+    @classmethod
+    def of_process(cls, path: str) -> LibraryEncoder:
+        """The one of this worker process, which runs one task after the other: it keeps what it knows from task to task."""
+        kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def _many(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _hashes(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out: tuple[list, list] = ([], [])
-        lo = 0
-        while lo < len(starts):  # a part at a time, so that the arrays of products stay small
-            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + words.GROUP_BYTES)))
-            end = int(starts[hi]) if hi < len(starts) else len(data)
-            some, at = data[starts[lo] : end], starts[lo:hi] - starts[lo]
-            for kind, codes in zip(out, self.codes, strict=True):
-                kind.append(words.range_hashes(some, at, codes))
-            lo = hi
-        return np.concatenate(out[0]), np.concatenate(out[1])
-
     def encode(self, data: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that follow each other in ``data``, and where each text's begin (one more at the end)."""
         raw = data.tobytes()
@@ -242,16 +239,15 @@ class LibraryEncoder:
         starts = piece_starts(data, text_at)
         if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(len(text_at), int)
-        first, second = self._hashes(data, starts)
-        _, sample, kind = np.unique(first, return_index=True, return_inverse=True)
-        if (second != second[sample][kind]).any():
-            raise ValueError("two pieces have one hash")
-        stops = np.append(starts[1:], len(data))
-        pieces = [raw[a:b] for a, b in zip(starts[sample].tolist(), stops[sample].tolist(), strict=True)]
-        new = [p for p in pieces if p not in self.known and p not in self.known.older]
-        for piece, ids in zip(new, self._many(new), strict=True):
-            self.known.put(piece, ids)
-        ids = list(map(self.known.__getitem__, pieces))
+        kind_of, width = (pa.binary(), np.int32) if len(data) < 1 << 31 else (pa.large_binary(), np.int64)
+        offsets = pa.py_buffer(np.append(starts, len(data)).astype(width))
+        told_apart = pa.Array.from_buffers(kind_of, len(starts), [None, offsets, pa.py_buffer(raw)]).dictionary_encode()
+        pieces, kind = told_apart.dictionary.to_pylist(), told_apart.indices.to_numpy()
+        ids = [self.known.get(p) or self.known.older.get(p) for p in pieces]
+        new = [i for i, found in enumerate(ids) if found is None]
+        for i, found in zip(new, self._many([pieces[i] for i in new]), strict=True):
+            ids[i] = found
+            self.known.put(pieces[i], found)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
         own = lengths[kind]
@@ -278,7 +274,7 @@ def write_shards(
     end = np.array([end_id], "<u4")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(tokenizer)
+        encoder = LibraryEncoder.of_process(tokenizer)
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids, ids, tokens = [], [], 0
 
@@ -325,9 +321,9 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     )
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """Every document's ids, read back through the planes: ``doc_id``, ``part``, ``seq``, ``offset`` in the shard, packed
-    ``ids`` and their ``crc``."""
+def read_documents(shards: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Every document, read back through the planes: ``doc_id``, ``part``, ``seq``, ``offset`` in the shard, ``n_tokens``, the
+    ``crc`` of its ids, and the packed ``ids`` unless ``with_ids`` is False."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,20 +333,20 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 packed = memoryview(shard.tokens().astype("<u4").tobytes())
                 ends = shard.ends.tolist()
                 ids = [packed[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array(shard.doc_ids, pa.int64()),
-                        "part": pa.array([row["part"]] * len(ids), pa.int32()),
-                        "seq": pa.array([row["seq"]] * len(ids), pa.int32()),
-                        "offset": pa.array([0, *ends[:-1]], pa.int64()),
-                        "ids": pa.array([i.tobytes() for i in ids], pa.binary()),
-                        "crc": pa.array([zlib.crc32(i) for i in ids], pa.int64()),
-                    }
-                )
-
-    return shards.mapInArrow(
-        documents, "doc_id bigint, part int, seq int, offset bigint, ids binary, crc bigint"
-    )
+                columns = {
+                    "doc_id": pa.array(shard.doc_ids, pa.int64()),
+                    "part": pa.array([row["part"]] * len(ids), pa.int32()),
+                    "seq": pa.array([row["seq"]] * len(ids), pa.int32()),
+                    "offset": pa.array([0, *ends[:-1]], pa.int64()),
+                    "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
+                    "crc": pa.array([zlib.crc32(i) for i in ids], pa.int64()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.array([i.tobytes() for i in ids], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "doc_id bigint, part int, seq int, offset bigint, n_tokens bigint, crc bigint"
+    return shards.mapInArrow(documents, schema + (", ids binary" if with_ids else ""))
 
 
 def occurrences(shards: DataFrame, token: int) -> DataFrame:
@@ -368,9 +364,7 @@ def occurrences(shards: DataFrame, token: int) -> DataFrame:
 
 def document_index(shards: DataFrame) -> DataFrame:
     """Per document: ``start`` among all ids, ``n_tokens`` and ``ids_crc32``, read from the files."""
-    documents = read_documents(shards).select(
-        "doc_id", "part", "seq", "offset", F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "crc"
-    )
+    documents = read_documents(shards, with_ids=False)
     return documents.join(shard_starts(shards), ["part", "seq"]).select(
         "doc_id", (F.col("shard_start") + F.col("offset")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32")
     )

@@ -6,6 +6,7 @@ table of 256 flags. Texts are worked on in groups of about a megabyte, so memory
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,6 +69,40 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> np.
     return mix(sums * _powers_of(pow(BASE, -1, 1 << 64), len(data))[starts])
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+# Bytes 0 to n of a block of eight, little end first.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+# Longer words are rare and hashed one by one.
+LONG_WORD = 1 << 10
+
+
+def block_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range. Blocks of eight bytes are mixed before they are added up, so no arrangement of bytes
+    makes two ranges collide whatever the constants are, as it does with powers modulo 2 ** 64."""
+    lengths = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    # The eight bytes from each place on.
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    out = mix(lengths.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(1))
+    rows, at = np.arange(len(starts)), 0
+    while len(rows):
+        rows = rows[lengths[rows] > at]
+        if at >= LONG_WORD:
+            for row in rows.tolist():
+                digest = hashlib.blake2b(data[starts[row] : ends[row]].tobytes(), digest_size=8).digest()
+                out[row] = np.frombuffer(digest, "<u8")[0]
+            break
+        blocks = eight[starts[rows] + at] & MASKS[np.minimum(lengths[rows] - at, 8)]
+        out[rows] += mix(blocks ^ _BLOCK[at // 8])
+        at += 8
+    return mix(out)
+
+
+_BLOCK = _draw(LONG_WORD // 8, 29)
+
+
 @dataclass
 class Scan:
     """Words of the texts ``lo`` to ``hi``: byte ranges in ``data``, and where each text's words begin (one more at the end)."""
@@ -84,6 +119,10 @@ class Scan:
         """A 64-bit hash of each word."""
         return range_hashes(self.data, self.starts, codes)
 
+    def word_hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word in lower case (A-Z), by blocks."""
+        return block_hashes(LOWER[self.data], self.starts, self.ends)
+
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; NULL is empty."""

@@ -4,7 +4,7 @@ from llm import brute
 import numpy as np
 from pyspark.sql import functions as F
 
-from spokeflow.llm import near, slate
+from spokeflow.llm import near, slate, words
 from spokeflow.llm.components import components
 
 
@@ -109,9 +109,9 @@ def test_no_group_is_gathered(spark):
 
 def test_pairs_inside_a_hot_bucket_are_found(documents, monkeypatch):
     """Two buckets hold all texts, and each is similar to one other only, which few stars have for a hub."""
-    made = near.features
+    made = near.featured
     hot = F.array(F.lit(7).cast("bigint"), F.lit(8).cast("bigint"))
-    monkeypatch.setattr(near, "features", lambda text, *which: made(text, *which).withField("bands", hot))
+    monkeypatch.setattr(near, "featured", lambda rows, *which: made(rows, *which).withColumn("bands", hot))
     texts = [" ".join(f"t{n}x{i}" for i in range(20)) for n in range(150)]
     rows = [(n, text) for n, text in enumerate(texts)] + [(1000 + n, text + " end") for n, text in enumerate(texts)]
     assert found(near.near_duplicates(documents(rows))) == expected(rows)
@@ -119,9 +119,9 @@ def test_pairs_inside_a_hot_bucket_are_found(documents, monkeypatch):
 
 def test_texts_in_one_parted_bucket_are_compared(documents, monkeypatch):
     """The first text is the hub of the only bucket and like neither of the others."""
-    made = near.features
+    made = near.featured
     one = F.array(F.lit(7).cast("bigint"))
-    monkeypatch.setattr(near, "features", lambda text, *which: made(text, *which).withField("bands", one))
+    monkeypatch.setattr(near, "featured", lambda rows, *which: made(rows, *which).withColumn("bands", one))
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, " ".join(f"h{i}" for i in range(60))), (2, text), (3, text + " more")]
     assert found(near.near_duplicates(documents(rows))) == expected(rows)
@@ -141,3 +141,24 @@ def test_prefixes_leave_out_no_similar_pair(spark):
     assert wanted and wanted <= pairs
     in_a_bucket = active.select(F.lit(1).alias("key"), "vertex", "component")
     assert {r.vertex for r in near.open_members(in_a_bucket, active.select("vertex", "n")).collect()} >= {x for p in wanted for x in p}
+
+
+def test_words_that_collide_under_powers_are_not_linked(spark, documents):
+    for n in (1_024, 4_096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        one, other = ("".join("ab"[b ^ turn] for b in bits) for turn in (0, 1))
+        found = {r.doc_id: r.component_id for r in near.near_duplicates(documents([(1, one), (2, other), (3, one.upper())])).collect()}
+        assert found == {1: 1, 2: 2, 3: 1}
+
+
+def test_block_hashes_tell_words_apart():
+    rng = np.random.RandomState(1)
+    made = {bytes(rng.randint(97, 99, n).astype(np.uint8)) for n in [*range(1, 30), 7, 8, 9, 15, 16, 17, 1023, 1024, 1025, 3000] for _ in range(20)}
+    made |= {w + b"\x00" for w in made} | {b"\x00" * n for n in range(1, 20)}
+    made = sorted(made)
+    data = np.frombuffer(b" ".join(made), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in made]) - 1
+    starts = ends - np.array([len(w) for w in made])
+    hashes = words.block_hashes(data, starts, ends)
+    assert len(set(hashes.tolist())) == len(made)
+    assert (words.block_hashes(data[starts[5] :], starts[5:] - starts[5], ends[5:] - starts[5]) == hashes[5:]).all()

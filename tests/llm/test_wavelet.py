@@ -77,3 +77,36 @@ def test_lookup_without_decoding(documents, path):
     ids = shard.tokens().tolist()
     assert [shard.token(i) for i in range(len(ids))] == ids
     assert shard.count(the) == ids.count(the) and shard.count(the, 9) == ids[:9].count(the) and shard.count(49_999) == 0
+
+
+def thue_morse(n):
+    """A word of ``n`` letters and its complement: all hashes by powers modulo 2 ** 64 give both one value from 1,024 on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join("ab"[b ^ turn] for b in bits) for turn in (0, 1)]
+
+
+@pytest.mark.parametrize("n", [1_024, 4_096])
+def test_pieces_that_collide_under_powers(spark, documents, path, n):
+    rows = list(enumerate(thue_morse(n)))
+    found = wavelet.document_index(written(documents(rows), f"{path}/tokens")).collect()
+    assert sorted(tuple(r) for r in found) == index(rows, Tokenizer.from_file(slate.TOKENIZER))
+
+
+def test_what_a_worker_keeps_changes_nothing():
+    kept = wavelet.LibraryEncoder.of_process(slate.TOKENIZER)
+    assert wavelet.LibraryEncoder.of_process(slate.TOKENIZER) is kept
+    for texts in ("one two", "two one two three"), ("two", "", "one"):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        ids, begins = kept.encode(data, at)
+        plain = Tokenizer.from_file(slate.TOKENIZER)
+        assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_read_back_from_the_file(spark, documents, path):
+    library = Tokenizer.from_file(slate.TOKENIZER)
+    rows = [(1, "Some words."), (2, None), (3, "more of them")]
+    got = wavelet.read_documents(written(documents(rows), f"{path}/tokens")).collect()
+    for r in got:
+        assert np.frombuffer(r.ids, "<u4").tolist() == [*library.encode(dict(rows)[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert r.n_tokens == len(r.ids) // 4 and r.crc == zlib.crc32(r.ids)
