@@ -36,8 +36,13 @@ def usage_by_hour(
     A row without a time comes before all others; its own step has no hour.
     """
     narrow = rows.where(F.col(value).isNotNull()).select(station, *order, value)
-    steps = with_previous(narrow, station, order, [value]).where("previous is not null")
-    return steps.groupBy(station, hour_of(F.col(order[0]), zone).alias("hour")).agg(
+    return moved(with_previous(narrow, station, order, [value]), station, value, order[0], zone)
+
+
+def moved(pairs: DataFrame, station: str, value: str, ts: str, zone: str = "UTC") -> DataFrame:
+    """Bikes moved per station and hour of day in rows that know the one before them (:func:`with_previous`)."""
+    steps = pairs.where("previous is not null")
+    return steps.groupBy(station, hour_of(F.col(ts), zone).alias("hour")).agg(
         F.sum(F.abs(F.col(value) - F.col(f"previous.{value}"))).alias("usage")
     )
 
@@ -68,12 +73,16 @@ def time_weighted(
     """Mean value per station, each value weighted by the seconds until the station's next row."""
     ts = order[0]
     narrow = rows.select(station, *order, value)
-    pairs = with_previous(narrow, station, order, [ts, value])
+    return mean_over_time(held(with_previous(narrow, station, order, [ts, value]), station, value, ts))
+
+
+def held(pairs: DataFrame, station: str, value: str, ts: str) -> DataFrame:
+    """How long each station held its values, in rows that know the one before them: ``value_seconds`` and ``seconds``."""
     seconds = F.timestamp_diff("SECOND", F.col(f"previous.{ts}"), F.col(ts))
-    held = F.col(f"previous.{value}")
-    known = F.when(held.isNotNull(), seconds)
-    return (
-        pairs.groupBy(station)
-        .agg(F.sum(held * seconds).alias("value_seconds"), F.sum(known).alias("seconds"))
-        .withColumn("time_weighted", F.col("value_seconds") / F.nullif(F.col("seconds"), F.lit(0)))
-    )
+    before = F.col(f"previous.{value}")
+    known = F.when(before.isNotNull(), seconds)
+    return pairs.groupBy(station).agg(F.sum(before * seconds).alias("value_seconds"), F.sum(known).alias("seconds"))
+
+
+def mean_over_time(sums: DataFrame) -> DataFrame:
+    return sums.withColumn("time_weighted", F.col("value_seconds") / F.nullif(F.col("seconds"), F.lit(0)))

@@ -82,11 +82,16 @@ def area_totals(
     block begins with is the running sum over the blocks before it, one row per area and block. The rows per window are kept
     in the shared folder, so that the end of all windows does not cost another pass over the rows.
     """
-    step = F.expr(f"interval {interval}")
     own = W.partitionBy(station, *area).orderBy("window_start")
     moved = F.col("value") - F.coalesce(F.lag("value").over(own), F.lit(0))
-    per_window = windows.withColumn("_moved", moved).groupBy(*area, "window_start").agg(F.sum("_moved").alias("_moved"))
-    per_window = checkpointed(per_window)
+    per_window = windows.withColumn("moved", moved).groupBy(*area, "window_start").agg(F.sum("moved").alias("moved"))
+    return running_totals(per_window, area, interval, block)
+
+
+def running_totals(per_window: DataFrame, area: Sequence[str] = (), interval: str = FIVE_MINUTES, block: int = BLOCK) -> DataFrame:
+    """The totals of :func:`area_totals` from how much each area ``moved`` in each window that had a row."""
+    step = F.expr(f"interval {interval}")
+    per_window = checkpointed(per_window.withColumnRenamed("moved", "_moved"))
     end = per_window.agg(F.max("window_start")).scalar()
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     length = F.unix_micros((epoch + step).cast("timestamp")) * block

@@ -136,6 +136,23 @@ LOW_STATIONS = f"""WITH {STATUS}, {INFO}, {CURRENT}
     WHERE is_renting = 1
       AND (num_bikes_available <= 10 OR num_bikes_available / CAST(nullif(capacity, 0) AS DOUBLE) <= 0.01)"""
 
+PEAK_HOURS = f"""WITH {STATUS}, {USAGE} SELECT *,
+    CAST(row_number() OVER (PARTITION BY station_id ORDER BY usage DESC, hour) AS INTEGER) AS rank
+    FROM usage QUALIFY rank <= 3"""
+
+PEAK_HOURS_REGION = f"""WITH {STATUS}, {USAGE}, {REGIONS},
+    r AS (SELECT region_id, hour, CAST(sum(usage) AS BIGINT) AS usage FROM usage LEFT JOIN regions USING (station_id)
+          GROUP BY region_id, hour)
+    SELECT *, CAST(row_number() OVER (PARTITION BY region_id ORDER BY usage DESC, hour) AS INTEGER) AS rank
+    FROM r QUALIFY rank <= 3"""
+
+TIME_WEIGHTED = f"""WITH {STATUS},
+        held AS (SELECT station_id, num_bikes_available AS v, date_sub('second', ingested_at,
+            lead(ingested_at) OVER (PARTITION BY station_id ORDER BY ingested_at, pos)) AS s FROM status),
+        t AS (SELECT station_id, CAST(sum(v * s) AS BIGINT) AS value_seconds, CAST(sum(s) AS BIGINT) AS seconds
+              FROM held GROUP BY station_id)
+        SELECT *, round(CAST(value_seconds AS DOUBLE) / nullif(seconds, 0), 6) AS time_weighted FROM t"""
+
 ORACLE: dict[str, str] = {
     "latest_status": f"""WITH {STATUS}, {CURRENT} SELECT station_id, ingested_at, pos, event_type, num_bikes_available,
         num_docks_available FROM current""",
@@ -147,14 +164,10 @@ ORACLE: dict[str, str] = {
     "poll_change_counts": f"""WITH {STATUS}, {_changes("event_type || '/' || CAST(is_renting AS VARCHAR)")}
         SELECT poll, CAST(sum(CAST(changed AS INTEGER)) AS BIGINT) AS changed, count(*) AS total
         FROM flagged GROUP BY poll""",
-    "peak_hours_station": f"""WITH {STATUS}, {USAGE} SELECT *,
-        CAST(row_number() OVER (PARTITION BY station_id ORDER BY usage DESC, hour) AS INTEGER) AS rank
-        FROM usage QUALIFY rank <= 3""",
-    "peak_hours_region": f"""WITH {STATUS}, {USAGE}, {REGIONS},
-        r AS (SELECT region_id, hour, CAST(sum(usage) AS BIGINT) AS usage FROM usage LEFT JOIN regions USING (station_id)
-              GROUP BY region_id, hour)
-        SELECT *, CAST(row_number() OVER (PARTITION BY region_id ORDER BY usage DESC, hour) AS INTEGER) AS rank
-        FROM r QUALIFY rank <= 3""",
+    "peak_hours_station": PEAK_HOURS,
+    "served_peak_hours": PEAK_HOURS,
+    "peak_hours_region": PEAK_HOURS_REGION,
+    "served_peak_hours_region": PEAK_HOURS_REGION,
     "usage_with_gaps": f"""WITH {STATUS}, {GAPS}, {USAGE.replace('FROM status', 'FROM gaps')} SELECT * FROM usage""",
     "tumbling_5m": TUMBLING_5M,
     "tumbling_5m_station": f"""WITH {STATUS}, {_windows('station_id', '5 minutes')}
@@ -163,6 +176,7 @@ ORACLE: dict[str, str] = {
         SELECT station_id, window_start, last_value, {_previous('station_id')} FROM windows""",
     "area_carry_forward": _area("1 day"),
     "area_carry_forward_5m": _area("5 minutes"),
+    "stream_area_carry_forward_5m": _area("5 minutes"),
     "region_carry_forward": f"""WITH {STATUS}, {REGIONS}, {_filled('1 day')}
         SELECT region_id, window_start, CAST(sum(value) AS BIGINT) AS total
         FROM filled LEFT JOIN regions USING (station_id) WHERE value IS NOT NULL GROUP BY region_id, window_start""",
@@ -170,12 +184,8 @@ ORACLE: dict[str, str] = {
         SELECT f.station_id, f.window_start, f.value FROM filled f
         JOIN (SELECT station_id, max(window_start) AS until FROM windows GROUP BY station_id) u USING (station_id)
         WHERE f.value IS NOT NULL AND f.window_start <= u.until""",
-    "time_weighted_availability": f"""WITH {STATUS},
-        held AS (SELECT station_id, num_bikes_available AS v, date_sub('second', ingested_at,
-            lead(ingested_at) OVER (PARTITION BY station_id ORDER BY ingested_at, pos)) AS s FROM status),
-        t AS (SELECT station_id, CAST(sum(v * s) AS BIGINT) AS value_seconds, CAST(sum(s) AS BIGINT) AS seconds
-              FROM held GROUP BY station_id)
-        SELECT *, round(CAST(value_seconds AS DOUBLE) / nullif(seconds, 0), 6) AS time_weighted FROM t""",
+    "time_weighted_availability": TIME_WEIGHTED,
+    "stream_time_weighted": TIME_WEIGHTED,
     "decode_props": """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k_long, json_extract_string(props, '$.k') AS k_text,
         CAST(json_extract_string(props, '$.missing') AS INTEGER) AS missing, false AS bad FROM events""",
@@ -197,6 +207,14 @@ ORACLE: dict[str, str] = {
     "model_union": f"WITH {STATIONS} SELECT * FROM stations",
     "model_filter": f"WITH {STATIONS} SELECT * FROM stations WHERE segment = 'MACHINERY'",
     "dq_results": f"WITH {STATIONS} {DQ}",
+    "model_graph": f"""WITH {STATUS}, {REGIONS}, {USAGE},
+        used AS (SELECT station_id, CAST(sum(usage) AS BIGINT) AS usage FROM usage GROUP BY station_id),
+        seen AS (SELECT station_id, count(*) AS n FROM status GROUP BY station_id),
+        places AS (SELECT CAST(s_suppkey AS VARCHAR) AS station_id, CAST(trunc(s_acctbal) AS INTEGER) AS capacity FROM supplier)
+        SELECT region_id, count(*) AS stations, CAST(sum(capacity) AS BIGINT) AS capacity, CAST(sum(usage) AS BIGINT) AS usage,
+            CAST(sum(n) AS BIGINT) AS n
+        FROM places LEFT JOIN regions USING (station_id) LEFT JOIN used USING (station_id) LEFT JOIN seen USING (station_id)
+        GROUP BY region_id""",
     "upper_name": "SELECT n_nationkey, upper(n_name) AS name, 'TRIP_' || upper(n_name) AS asset FROM nation",
     "orders_upsert": f"SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice, o_orderstatus FROM orders {LAST_ORDER}",
     "orders_upsert_deletes": f"""SELECT * FROM (SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus FROM orders
@@ -208,10 +226,12 @@ ORACLE: dict[str, str] = {
     "stream_log_order": f"""WITH {LOG_ORDER} SELECT CAST(c_custkey AS VARCHAR) AS station_id, name, capacity
         FROM customer LEFT JOIN log ON key = CAST(c_custkey AS VARCHAR)""",
     "stream_current": ENRICHED_CURRENT,
+    "stream_current_changes": ENRICHED_CURRENT,
     "stream_enriched": ENRICHED_LOG,
     "stream_tumbling": TUMBLING_5M,
     "stream_poll_changes": POLL_CHANGES,
     "stream_poll_changes_batches": POLL_CHANGES,
+    "stream_poll_changes_late": POLL_CHANGES,
     "mart_activity": f"WITH {STATUS}, {INFO}, {MART} SELECT * FROM activity",
     "mart_tests": f"""WITH {STATUS}, {INFO}, {MART}
         SELECT 'stations' AS model, 'key' AS "column", 'unique' AS test, count(*) AS failing_rows

@@ -8,19 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeflow.functions import decode, encode
 from spokeflow.operators import records
-from spokeflow.operators.analytics import low_availability, peak_hours, time_weighted, usage_by_hour, with_region
+from spokeflow.operators.analytics import (
+    low_availability, mean_over_time, peak_hours, time_weighted, usage_by_hour, with_region,
+)
 from spokeflow.operators.records import decode_information
 from spokeflow.operators.changes import flag_changes, poll_counts
 from spokeflow.operators.enrich import enrich
 from spokeflow.operators.quality import primary_key, run_tests
-from spokeflow.operators.upsert import latest
+from spokeflow.operators.upsert import folded, latest
 from spokeflow.operators.windows import area_totals, change_since_previous, fill_forward, last_values, tumbling
-from spokeflow.plans.models import Model, union_all
+from spokeflow.plans.models import Model, materialize, union_all
 from spokeflow.plans.models import run as run_models
 from spokeflow.plans.stations import start_current_table
 from spokeflow.schemas import STATUS_FIELDS
@@ -28,13 +30,16 @@ from spokeflow.session import configure, run_dir
 from spokeflow.sinks.messages import information_messages, status_messages
 from spokeflow.sinks.serving import answer
 from spokeflow.sinks.tables import Layers, asset_name, write_path
-from spokeflow.sinks.upsert import UpsertTable
+from spokeflow.sinks.upsert import ChangelogTable, UpsertTable
 from spokeflow.sources.relational import load_tables, selected_tables
 from spokeflow.sources.topics import station_information, status_events
 from spokeflow.streaming.changes import ChangeFilter, parquet_publisher
 from spokeflow.streaming.current import current_status
+from spokeflow.streaming.history import CorrectingFilter
 from spokeflow.streaming.run import drain, start
+from spokeflow.streaming.totals import AreaTotals, moved_stream
 from spokeflow.streaming.tumbling import tumbling_stream
+from spokeflow.streaming.usage import LiveUsage
 
 ORDER = ("ingested_at", "pos")
 DAY = "1 day"
@@ -426,6 +431,43 @@ def mart_tests(spark, sf_dir):
     return layered(spark, sf_dir)[1]
 
 
+@query
+def model_graph(spark, sf_dir):
+    """Eight models given from the last to the first: they run as their references allow, and the last one is read back."""
+    folder = run_dir(spark, "graph")
+    number = folder.split("-")[-1].split("/")[0]
+    layers = Layers(f"staging_{number}", f"marts_{number}", folder)
+    layers.create(spark)
+
+    def usage(ref) -> DataFrame:
+        return usage_by_hour(ref("status")).groupBy("station_id").agg(F.sum("usage").alias("usage"))
+
+    def stations(ref) -> DataFrame:
+        return ref("information").join(ref("regions"), "key", "left").select("key", "capacity", "region_id")
+
+    def activity(ref) -> DataFrame:
+        joined = ref("stations").join(ref("usage"), F.col("key") == F.col("station_id"), "left")
+        return joined.join(ref("seen"), "station_id", "left").select("key", "region_id", "capacity", "usage", "n")
+
+    def summary(ref) -> DataFrame:
+        return ref("activity").groupBy("region_id").agg(
+            F.count("*").alias("stations"), F.sum("capacity").alias("capacity"), F.sum("usage").alias("usage"), F.sum("n").alias("n")
+        )
+
+    staging, marts = {"layer": layers.staging}, {"layer": layers.marts}
+    models = [
+        Model("summary", summary, **marts),
+        Model("activity", activity, **marts),
+        Model("seen", lambda ref: ref("status").groupBy("station_id").agg(F.count("*").alias("n")), **staging),
+        Model("usage", usage, **staging),
+        Model("stations", stations, **staging),
+        Model("regions", lambda ref: station_regions(spark, sf_dir).select("key", "region_id"), **staging),
+        Model("information", lambda ref: information(spark, sf_dir).select("key", "capacity"), **staging),
+        Model("status", lambda ref: status(spark, sf_dir).select("station_id", *ORDER, "num_bikes_available"), **staging),
+    ]
+    return spark.table(materialize(spark, models).tables["summary"])
+
+
 @query
 def upper_name(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
@@ -519,14 +561,18 @@ def stream_current(spark, sf_dir):
     return result.read(spark)
 
 
-def landing(spark, sf_dir, path: str, parts: int = 3) -> DataFrame:
-    """The events as a stream of several micro-batches: landed in as many files, cut at even times, one file a batch."""
+def landing(spark, sf_dir, path: str, parts: int = 3, of: Callable[[int, int], Column] | None = None) -> DataFrame:
+    """The events as a stream of several micro-batches: landed in as many files, cut at even times, one file a batch.
+
+    ``of`` gives the part of each event instead, from the first and last time (microseconds).
+    """
     events = table(spark, sf_dir, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     first, last = events.agg(F.min(at), F.max(at)).first()
     width = (last - first) // parts + 1 if first is not None else 1
+    part_of = F.floor((at - F.lit(first)) / width) if of is None else of(first, last)
     for part in range(parts):
-        rows = events.where(F.coalesce(F.floor((at - F.lit(first)) / width), F.lit(0)) == part)
+        rows = events.where(F.coalesce(part_of, F.lit(0)) == part)
         rows.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
@@ -546,6 +592,60 @@ def served_low_stations(spark, sf_dir):
     return served.select("station_id", "name", "num_bikes_available", "capacity", "is_renting")
 
 
+def live_usage(spark, sf_dir, name: str) -> LiveUsage:
+    """Usage kept by a stream of three micro-batches."""
+    path = run_dir(spark, name)
+    live = LiveUsage(f"{path}/live")
+    drain(start(as_status(landing(spark, sf_dir, f"{path}/landing")), live.process, f"{path}/checkpoint", every=None))
+    return live
+
+
+@query
+def served_peak_hours(spark, sf_dir):
+    """The busiest hours of each station as the stream keeps them."""
+    peaks = live_usage(spark, sf_dir, "served_peak_hours").peaks.read(spark)
+    return peaks.withColumn("hour", F.col("hour").cast("bigint"))
+
+
+@query
+def served_peak_hours_region(spark, sf_dir):
+    """The busiest hours of each region, from the sums that the stream keeps per station and hour."""
+    hours = live_usage(spark, sf_dir, "served_peak_hours_region").hours.read(spark)
+    usage = with_region(hours, station_regions(spark, sf_dir))
+    return peak_hours(usage, "region_id").withColumn("hour", F.col("hour").cast("bigint"))
+
+
+@query
+def stream_time_weighted(spark, sf_dir):
+    """Time-weighted availability from the seconds that the stream adds up per station."""
+    sums = live_usage(spark, sf_dir, "stream_time_weighted").times.read(spark)
+    return mean_over_time(sums).withColumn("time_weighted", F.round("time_weighted", 6))
+
+
+@query
+def stream_area_carry_forward_5m(spark, sf_dir):
+    """Totals of all stations per five minutes, windows without a row included, from a stream of three micro-batches."""
+    path = run_dir(spark, "stream_area_carry_forward_5m")
+    rows = as_status(landing(spark, sf_dir, f"{path}/landing")).withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
+    moved = moved_stream(rows, "station_id", "ingested_at", "num_bikes_available", "pos")
+    result = AreaTotals(f"{path}/totals")
+    drain(start(moved, result.write_batch, f"{path}/checkpoint", "update", every=None))
+    return result.read(spark).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query
+def stream_current_changes(spark, sf_dir):
+    """The current status table from its changelog: three micro-batches of inserts and updates, added up."""
+    path = run_dir(spark, "stream_current_changes")
+    info = as_information(stream(spark, sf_dir, "supplier")).withColumns(
+        {"_ingested_at": F.timestamp_seconds(F.lit(0)), "deleted": F.lit(False)}
+    )
+    rows = as_status(landing(spark, sf_dir, f"{path}/landing"))
+    result = ChangelogTable(UpsertTable(f"{path}/table", ("station_id",)))
+    drain(start(current_status(rows, info), result.write_batch, f"{path}/checkpoint", "update", every=None))
+    return folded(result.changes(spark))
+
+
 @query
 def stream_enriched(spark, sf_dir):
     """A status stream joined with the metadata as it stands."""
@@ -586,3 +686,25 @@ def stream_poll_changes_batches(spark, sf_dir):
     drain(start(rows, process, f"{path}/checkpoint", every=None))
     changes = spark.read.parquet(f"{path}/changes")
     return changes.select("station_id", F.col("ingested_at").cast("timestamp_ntz").alias("poll"), "pos", "event_type")
+
+
+LATE_DAYS = 15
+
+
+@query
+def stream_poll_changes_late(spark, sf_dir):
+    """Daily polls that land up to two weeks late: of every 15 days, first each third one, then those before and after it."""
+    path = run_dir(spark, "stream_poll_changes_late")
+    day = F.unix_date(F.col("ts").cast("date"))
+
+    def part(first: int, last: int) -> Column:
+        since = day - first // 86_400_000_000
+        return 3 * F.floor(since / LATE_DAYS) + F.pmod(2 * since, F.lit(3))
+
+    first_day, last_day = table(spark, sf_dir, "events").agg(F.min(day), F.max(day)).first()
+    parts = 3 * ((last_day - first_day) // LATE_DAYS + 1) if first_day is not None else 1
+    rows = daily_polls(as_status(landing(spark, sf_dir, f"{path}/landing", parts, part)))
+    step = CorrectingFilter(f"{path}/history", parquet_publisher(f"{path}/changes"), f"{LATE_DAYS} days", ("event_type",))
+    drain(start(rows, step.process, f"{path}/checkpoint", every=None))
+    changes = folded(spark.read.parquet(f"{path}/changes"))
+    return changes.select("station_id", F.col("ingested_at").cast("timestamp_ntz").alias("poll"), "pos", "event_type")

@@ -1,4 +1,4 @@
-"""A table of the last write per key, fed by micro-batches.
+"""A table of the last write per key, or of sums per key, fed by micro-batches.
 
 Each micro-batch is a folder of its own, written whole under its batch id, so a replay replaces it. A reader takes the last
 write per key over the newest base and the batches after it; compaction writes a new base and removes what stands before the
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.operators.upsert import latest
+from spokeflow.operators.upsert import changelog, latest
 from spokeflow.sinks.folders import finished, remove_below
 
 BATCH = "_batch"
@@ -46,7 +46,14 @@ class UpsertTable:
             folders.append(f"{self.path}/base/batch={base}")
         if not folders:
             raise FileNotFoundError(f"nothing has been written to {self.path}")
-        return latest(spark.read.parquet(*folders), self.key, [BATCH]).drop(BATCH)
+        return self._merged(spark.read.parquet(*folders))
+
+    def written(self, spark: SparkSession, upto: int) -> bool:
+        """Whether there is a table as of batch ``upto``."""
+        return any(b <= upto for part in ("base", "log") for b in finished(spark, f"{self.path}/{part}"))
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        return latest(rows, self.key, [BATCH]).drop(BATCH)
 
     def _write_base(self, spark: SparkSession, batch_id: int) -> None:
         rows = self.read(spark, batch_id).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
@@ -55,3 +62,54 @@ class UpsertTable:
         before = batch_id - self.compact_every
         remove_below(spark, f"{self.path}/base", before)
         remove_below(spark, f"{self.path}/log", before + 1)
+
+
+@dataclass(frozen=True)
+class SumTable(UpsertTable):
+    """A table of sums per key: a micro-batch writes what it adds to them, and readers add up. The cost of a batch is that of
+    the keys it touches; nothing that is there is read."""
+
+    measures: tuple[str, ...] = ()
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.key).agg(*[F.sum(m).alias(m) for m in self.measures])
+
+
+@dataclass(frozen=True)
+class ChangelogTable:
+    """An upsert table that also writes down what each micro-batch did to it: ``op`` is +I for a row that is new, -U and +U for
+    one before and after a change, -D for one that is gone. A row written as it was is no change.
+
+    ``deleted`` names a boolean column that marks deletes; it is part of the table's rows and left out by :meth:`read`.
+    """
+
+    table: UpsertTable
+    deleted: str | None = None
+
+    @property
+    def path(self) -> str:
+        return f"{self.table.path}/changes"
+
+    def write_batch(self, rows: DataFrame, batch_id: int) -> None:
+        """Apply one micro-batch holding at most one row per key. The changes are written first and follow from the table as of
+        the batch before, so a replay writes the same."""
+        rows = rows.persist()
+        try:
+            spark = rows.sparkSession
+            known = self.table.written(spark, batch_id - 1)
+            before = self.table.read(spark, batch_id - 1) if known else spark.createDataFrame([], rows.schema)
+            changes = changelog(before, rows, self.table.key, self.deleted)
+            changes.hint("rebalance").write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+            self.table.write_batch(rows, batch_id)
+        finally:
+            rows.unpersist()
+
+    def read(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        rows = self.table.read(spark, upto)
+        return rows.where(~F.coalesce(F.col(self.deleted), F.lit(False))).drop(self.deleted) if self.deleted else rows
+
+    def changes(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        """The changes of all batches, or of those up to one, with their ``batch``."""
+        rows = spark.read.parquet(self.path)
+        return rows if upto is None else rows.where(F.col("batch") <= upto)
+

@@ -1,0 +1,222 @@
+"""Standing answers over several micro-batches against the batch operators: usage, totals, late polls, changelogs."""
+
+import datetime as dt
+import random
+
+from pyspark.sql import functions as F
+
+from spokeflow.operators.analytics import mean_over_time, peak_hours, time_weighted, usage_by_hour
+from spokeflow.operators.changes import changed
+from spokeflow.operators.upsert import changelog, folded, latest
+from spokeflow.operators.windows import area_totals, last_values
+from spokeflow.sinks.upsert import ChangelogTable, SumTable, UpsertTable
+from spokeflow.streaming.changes import parquet_publisher
+from spokeflow.streaming.history import CorrectingFilter
+from spokeflow.streaming.run import drain, start
+from spokeflow.streaming.totals import AreaTotals, moved_stream
+from spokeflow.streaming.usage import LiveUsage
+
+STATUS = "station_id string, ingested_at timestamp, pos bigint, num_bikes_available int"
+T0 = dt.datetime(2024, 1, 1)
+
+
+def at(minutes):
+    return T0 + dt.timedelta(minutes=minutes)
+
+
+def status_rows(seed, n, stations=4):
+    """Rows in time order, several at one time, with unknown values."""
+    rng = random.Random(seed)
+    minute, out = 0.0, []
+    for pos in range(n):
+        minute += rng.choice([0, 0, 1, 7, 40])
+        out.append((rng.choice("ABCDEF"[:stations]), at(minute), pos, rng.choice([None, 0, 3, 5, 9])))
+    return out
+
+
+def cut(rows, seed, parts):
+    rng = random.Random(seed)
+    edges = sorted(rng.sample(range(1, len(rows)), parts - 1))
+    return [rows[a:b] for a, b in zip([0, *edges], [*edges, len(rows)])]
+
+
+def sorted_rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_usage_is_that_of_the_whole_log(spark, path):
+    """Cut anywhere, also between rows of one time; and every batch is replayed."""
+    rows = status_rows(1, 120)
+    live = LiveUsage(path)
+    for number, part in enumerate(cut(rows, 2, 5)):
+        frame = spark.createDataFrame(part, STATUS)
+        live.process(frame, number)
+        live.process(frame, number)
+        so_far = spark.createDataFrame(rows[: sum(map(len, cut(rows, 2, 5)[: number + 1]))], STATUS)
+        usage = usage_by_hour(so_far)
+        assert sorted_rows(live.hours.read(spark)) == sorted_rows(usage)
+        assert sorted_rows(live.peaks.read(spark).select("station_id", "hour", "usage", "rank")) == sorted_rows(
+            peak_hours(usage, "station_id").select("station_id", "hour", "usage", "rank")
+        )
+        assert sorted_rows(mean_over_time(live.times.read(spark))) == sorted_rows(time_weighted(so_far))
+
+
+def test_late_rows_of_a_station_are_set_aside(spark, path):
+    late = []
+    live = LiveUsage(path, late=lambda rows, n: late.extend((n, r.station_id, r.pos) for r in rows.collect()))
+    live.process(spark.createDataFrame([("A", at(0), 0, 1), ("A", at(10), 1, 5), (None, at(1), 9, 1)], STATUS), 0)
+    live.process(spark.createDataFrame([("A", at(5), 2, 9), ("B", at(5), 3, 2), ("A", at(20), 4, 4), ("A", None, 5, 7)], STATUS), 1)
+    live.process(spark.createDataFrame([("B", at(6), 6, 8)], STATUS), 2)
+    assert sorted(late) == [(1, "A", 2), (1, "A", 5)]
+    assert sorted_rows(live.hours.read(spark)) == [("A", 0, 5), ("B", 0, 6)]
+
+
+def test_a_batch_reads_no_sums(spark, path):
+    """What a batch adds is written as it is; only reading adds up, and a base keeps the number of folders small."""
+    table = SumTable(path, ("k",), compact_every=3, measures=("n",))
+    for number in range(8):
+        table.write_batch(spark.createDataFrame([("a", 1), ("b", number)], "k string, n long"), number)
+        assert sorted_rows(table.read(spark)) == [("a", number + 1), ("b", sum(range(number + 1)))]
+    assert sorted_rows(table.read(spark, 6)) == [("a", 7), ("b", 21)]
+
+
+def landed(spark, path, parts, schema):
+    """A stream whose micro-batches are the given parts."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/landing")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landing")
+
+
+def run_totals(spark, path, parts, watermark="10 minutes"):
+    rows = landed(spark, path, parts, STATUS)
+    moved = moved_stream(rows, "station_id", "ingested_at", "num_bikes_available", "pos", watermark=watermark)
+    result = AreaTotals(f"{path}/totals")
+    query = start(moved, result.write_batch, f"{path}/checkpoint", "update", every=None)
+    drain(query)
+    dropped = sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+    return result, dropped
+
+
+def plain_totals(spark, rows):
+    values = last_values(spark.createDataFrame(rows, STATUS), ("station_id",), "ingested_at", "num_bikes_available", ("ingested_at", "pos"))
+    return sorted_rows(area_totals(values, "station_id"))
+
+
+def test_totals_are_those_of_the_whole_log(spark, path):
+    """Gaps of many windows, stations without a row for long, rows out of order within the watermark."""
+    rows = status_rows(5, 80)
+    parts = cut(rows, 3, 4)
+    for part in parts:
+        random.Random(7).shuffle(part)
+    result, dropped = run_totals(spark, path, parts)
+    assert sorted_rows(result.read(spark)) == plain_totals(spark, rows)
+    assert result.late(spark).isEmpty() and dropped == 0
+
+
+def test_totals_with_rows_of_earlier_batches_out_of_order(spark, path):
+    """A row within the watermark corrects a window that is already in the totals; one of a closed window is left out and
+    counted, and so is one that Spark drops."""
+    first = [("A", at(0), 0, 4), ("A", at(12), 1, 6), ("B", at(11), 2, 1)]
+    second = [("A", at(6), 3, 9), ("B", at(3), 4, 2), ("A", at(13), 5, 7)]
+    third = [("A", at(90), 6, 1)]
+    fourth = [("A", at(40), 7, 100), ("B", at(85), 8, 3)]
+    fifth = [("B", at(50), 9, 100), ("A", at(86), 10, 5)]
+    result, dropped = run_totals(spark, path, [first, second, third, fourth, fifth])
+    assert sorted_rows(result.read(spark)) == plain_totals(spark, first + second + third + fourth[1:] + fifth[1:])
+    assert [(r.window_start, r.late) for r in result.late(spark).collect()] == [(at(40), 1)] and dropped == 1
+
+
+def test_totals_by_area(spark, path):
+    rows = [("n" if r[0] in "AB" else None, *r) for r in status_rows(6, 50)]
+    schema = "region_id string, " + STATUS
+    stream = landed(spark, path, cut(rows, 4, 3), schema)
+    moved = moved_stream(stream, "station_id", "ingested_at", "num_bikes_available", "pos", ["region_id"])
+    result = AreaTotals(f"{path}/totals", ("region_id",))
+    drain(start(moved, result.write_batch, f"{path}/checkpoint", "update", every=None))
+    table = spark.createDataFrame(rows, schema)
+    values = last_values(table, ("station_id", "region_id"), "ingested_at", "num_bikes_available", ("ingested_at", "pos"))
+    assert sorted_rows(result.read(spark)) == sorted_rows(area_totals(values, "station_id", ["region_id"]))
+
+
+POLLS = "feed string, ingested_at timestamp, pos int, station_id string, v int"
+
+
+def polls(seed, n):
+    rng = random.Random(seed)
+    out = []
+    for number in range(n):
+        stations = [s for s in "ABCDE" if rng.random() < 0.8]
+        rows = [("f", at(number), pos, s, rng.choice([1, 2, None])) for pos, s in enumerate(stations)]
+        out.append(rows or [("f", at(number), None, None, None)])
+    return out
+
+
+def changes_of(spark, rows):
+    found = changed(spark.createDataFrame(rows, POLLS), ("v",))
+    return sorted_rows(found.select("feed", "ingested_at", "pos", "station_id", "v"))
+
+
+def test_polls_in_any_order_within_the_bound(spark, path):
+    """After every micro-batch the changes add up to those of the polls so far, in time order; replays change nothing."""
+    landed = polls(4, 12)
+    order = [p for block in range(0, 12, 6) for p in random.Random(block).sample(landed[block : block + 6], 6)]
+    step = CorrectingFilter(f"{path}/states", parquet_publisher(f"{path}/out"), "20 minutes", ("v",))
+    so_far = []
+    for number in range(0, 12, 3):
+        rows = [r for p in order[number : number + 3] for r in p]
+        so_far += rows
+        for _ in range(2):
+            step.process(spark.createDataFrame(rows, POLLS), number // 3)
+        found = folded(spark.read.parquet(f"{path}/out")).select("feed", "ingested_at", "pos", "station_id", "v")
+        assert sorted_rows(found) == changes_of(spark, so_far)
+    ops = {r.op for r in spark.read.parquet(f"{path}/out").select("op").distinct().collect()}
+    assert ops == {"+I", "-D"}
+
+
+def test_polls_beyond_the_bound_are_set_aside(spark, path):
+    late = []
+    step = CorrectingFilter(
+        f"{path}/states", parquet_publisher(f"{path}/out"), "3 minutes", ("v",), late=lambda rows, n: late.extend((n, r.ingested_at) for r in rows.collect())
+    )
+    poll = lambda minute, v, pos=0, station="A": ("f", at(minute), pos, station, v)
+    batches = [[poll(0, 1), poll(2, 1)], [poll(10, 1)], [poll(1, 5), poll(7, 9), poll(8, 2)], [poll(9, 1), poll(10, 1, 1, "B")]]
+    for number, rows in enumerate(batches):
+        step.process(spark.createDataFrame(rows, POLLS), number)
+    assert sorted(late) == [(2, at(1)), (2, at(7))]
+    found = folded(spark.read.parquet(f"{path}/out")).select("ingested_at", "station_id", "v")
+    # The poll of minute 10 was no change, then one against minute 8, and is none again against minute 9.
+    assert sorted_rows(found) == sorted([(at(0), "A", 1), (at(8), "A", 2), (at(9), "A", 1), (at(10), "B", 1)], key=repr)
+    kept = spark.read.parquet(f"{path}/states/records")
+    assert kept.where(F.col("ingested_at") < at(2)).count() == 0
+
+
+TABLE = "k string, v int, w string, gone boolean"
+
+
+def test_changelog_of_one_write(spark):
+    before = spark.createDataFrame([("a", 1, "x", False), ("b", 2, None, False), ("c", 3, "x", False), ("d", 4, "x", True), (None, 5, "x", False)], TABLE)
+    rows = [("a", 1, "x", False), ("b", 2, "y", False), ("c", 3, "x", True), ("d", 4, "x", False), ("e", 6, "x", False), ("f", 7, "x", True), (None, 8, "x", False)]
+    found = sorted_rows(changelog(before, spark.createDataFrame(rows, TABLE), ["k"], "gone"))
+    assert found == sorted([
+        ("-U", "b", 2, None), ("+U", "b", 2, "y"), ("-D", "c", 3, "x"), ("+I", "d", 4, "x"), ("+I", "e", 6, "x"),
+        ("-U", None, 5, "x"), ("+U", None, 8, "x"),
+    ], key=repr)
+
+
+def test_changelog_adds_up_to_the_table_at_every_batch(spark, path):
+    rng = random.Random(8)
+    made = ChangelogTable(UpsertTable(path, ("k",), compact_every=3), "gone")
+    batches = []
+    for number in range(8):
+        rows = [(k, rng.choice([1, 2]), rng.choice(["x", None]), rng.random() < 0.3) for k in rng.sample("abcdefgh", rng.randint(0, 5))]
+        batches.append(rows)
+        for _ in range(2):
+            made.write_batch(spark.createDataFrame(rows, TABLE), number)
+        table = sorted_rows(made.read(spark))
+        assert sorted_rows(folded(made.changes(spark))) == table
+        state = {k: (v, w, gone) for b in batches for k, v, w, gone in b}
+        assert table == sorted([(k, v, w) for k, (v, w, gone) in state.items() if not gone], key=repr)
+    early = sorted_rows(folded(made.changes(spark, 4)))
+    state = {k: (v, w, gone) for b in batches[:5] for k, v, w, gone in b}
+    assert early == sorted([(k, v, w) for k, (v, w, gone) in state.items() if not gone], key=repr)
+    assert latest(spark.createDataFrame(batches[0], TABLE), "k", ["v"]).count() == len(batches[0])

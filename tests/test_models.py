@@ -1,0 +1,109 @@
+"""Models as a graph: order, concurrency, cycles, failures."""
+
+import random
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from spokeflow.plans.models import Model, materialize, run
+from spokeflow.sinks.tables import Layers
+
+
+@pytest.fixture
+def layer(spark, path):
+    name = f"graph_{random.randrange(10**9)}"
+    Layers(name, f"{name}_marts", path).create(spark)
+    yield name
+    for database in (name, f"{name}_marts"):
+        spark.sql(f"drop database {database} cascade")
+
+
+def numbers(spark, n):
+    return lambda ref: spark.range(n).toDF("id")
+
+
+def union(*names):
+    return lambda ref: ref(names[0]).union(ref(names[1]))
+
+
+def test_any_order_gives_the_same_tables(spark, layer):
+    rng = random.Random(3)
+    models = [
+        Model("a", numbers(spark, 2), layer=layer),
+        Model("b", lambda ref: ref("a").where("id = 1"), layer=layer),
+        Model("c", union("a", "b"), layer=layer),
+        Model("d", union("b", "c"), "view", tests={"id": ("unique", "not_null")}),
+        Model("e", union("d", "a"), layer=layer, tests={"id": ("not_null",)}),
+    ]
+    for threads in (1, 12):
+        rng.shuffle(models)
+        built = materialize(spark, models, threads)
+        order = built.order()
+        assert {n: sorted(r) for n, r in built.references.items()} == {
+            "a": [], "b": ["a"], "c": ["a", "b"], "d": ["b", "c"], "e": ["a", "d"]
+        }
+        assert all(order.index(r) < order.index(n) for n, refs in built.references.items() for r in refs)
+        assert sorted(r.id for r in spark.table(built.tables["e"]).collect()) == [0, 0, 1, 1, 1, 1]
+    results = {(r.model, r.test): r.failing_rows for r in run(spark, models).collect()}
+    assert results == {("d", "unique"): 1, ("d", "not_null"): 0, ("e", "not_null"): 0}
+
+
+def test_a_circle_is_named(spark, layer):
+    models = [
+        Model("free", numbers(spark, 1), layer=layer),
+        Model("x", union("free", "z"), layer=layer),
+        Model("y", union("x", "free"), layer=layer),
+        Model("z", union("y", "free"), layer=layer),
+        Model("beside", union("x", "free"), layer=layer),
+    ]
+    with pytest.raises(ValueError, match="circle") as raised:
+        materialize(spark, models)
+    named = str(raised.value).split(": ")[1].split(" -> ")
+    assert named[0] == named[-1] and set(named) == {"x", "y", "z"} and len(named) == 4
+    with pytest.raises(ValueError, match="circle: self -> self"):
+        materialize(spark, [Model("self", lambda ref: ref("self"), layer=layer)])
+
+
+def test_unknown_references_and_repeated_names(spark, layer):
+    with pytest.raises(ValueError, match="a refers to nothing, which is no model"):
+        materialize(spark, [Model("a", lambda ref: ref("nothing"), layer=layer)])
+    with pytest.raises(ValueError, match="one name"):
+        materialize(spark, [Model("a", numbers(spark, 1), layer=layer)] * 2)
+
+
+def test_independent_models_run_at_the_same_time(spark, layer):
+    """Each waits until all three have begun, in its own pool."""
+    meeting, pools = threading.Barrier(3, timeout=60), {}
+
+    def build(name):
+        def rows(ref):
+            ref("source")
+            meeting.wait()
+            pools[name] = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+            return ref("source").select(F.lit(name).alias("name"))
+
+        return rows
+
+    models = [Model(n, build(n), layer=layer) for n in ("one", "two", "three")] + [Model("source", numbers(spark, 1), layer=layer)]
+    materialize(spark, models)
+    assert pools == {"one": "one", "two": "two", "three": "three"}
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+def test_a_failure_stops_what_depends_on_it(spark, layer):
+    begun = []
+
+    def broken(ref):
+        raise RuntimeError("no rows today")
+
+    def after(ref):
+        rows = ref("broken")
+        begun.append("after")
+        return rows
+
+    models = [Model("after", after, layer=layer), Model("broken", broken, layer=layer), Model("fine", numbers(spark, 3), layer=layer)]
+    with pytest.raises(RuntimeError, match="no rows today") as raised:
+        materialize(spark, models)
+    assert raised.value.__notes__ == ["in the model broken"] and not begun
+    assert spark.table(f"{layer}.fine").count() == 3
