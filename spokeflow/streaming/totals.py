@@ -1,8 +1,8 @@
 """Area totals as a standing query: each station's last value in each window, carried into the windows without a row.
 
 Per station, the stream's state holds the last row of every window that is still open, and the value that the closed windows
-ended with. An event-time timer at the end of a window closes it: it leaves the state, and its value is what later windows start
-from. What goes out are differences: a row that changes the last value of a window changes how much the station moved in that
+ended with. A window closes when the watermark passes its end, by the station's next row or by an event-time timer: it leaves the
+state, and its value is what later windows start from. What goes out are differences: a row that changes the last value of a window changes how much the station moved in that
 window and, the other way round, in its next one. Added up per area and window they are the ``moved`` of
 :func:`spokeflow.operators.windows.running_totals`, which carries totals into the windows in which nothing moved. So a total
 is right after every micro-batch, in whatever order rows came within the watermark, and no row is made per station and window.
@@ -14,6 +14,7 @@ micro-batch before are dropped by Spark itself and counted in the query's progre
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,20 +30,22 @@ from spokeflow.operators.windows import FIVE_MINUTES, running_totals
 from spokeflow.sinks.upsert import SumTable
 from spokeflow.streaming.tumbling import WATERMARK
 
-# The parts of a station's state.
-OPEN, CLOSED = "at bigint, pos bigint, value bigint", "value bigint"
+# A station's state: the value that its closed windows ended with, and the last row of each open window, as lists of equal length.
+STATE = "closed bigint, starts array<bigint>, ats array<bigint>, places array<bigint>, held array<bigint>"
 
 
 class StationWindows(StatefulProcessor):
-    """Keyed by (area columns, station): rows of ``at`` and ``start`` (microseconds), ``pos``, ``value`` to differences."""
+    """Keyed by (area columns, station): rows of ``at`` and ``start`` (microseconds), ``pos``, ``value`` to differences.
+
+    A station's state is read and written once a micro-batch, and one timer, at the end of its last open window, closes them all.
+    """
 
     def __init__(self, columns: Sequence[str], width: int):
         self.columns, self.width = list(columns), width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start bigint", OPEN)
-        self.closed = handle.getValueState("closed", CLOSED)
+        self.state = handle.getValueState("windows", STATE)
 
     def _moved(self, windows: dict[int, tuple[int, int, int]], base: int) -> dict[int, int]:
         """How much the station moved in each open window that has a row."""
@@ -51,42 +54,46 @@ class StationWindows(StatefulProcessor):
             out[start], value = windows[start][2] - value, windows[start][2]
         return out
 
-    def _state(self) -> tuple[dict[int, tuple[int, int, int]], int]:
-        windows = {start[0]: tuple(row) for start, row in self.open.iterator()}
-        return windows, self.closed.get()[0] if self.closed.exists() else 0
+    def _read(self) -> tuple[dict[int, tuple[int, int, int]], int]:
+        if not self.state.exists():
+            return {}, 0
+        closed, starts, *rows = self.state.get()
+        return dict(zip(starts, zip(*rows, strict=True), strict=True)), closed
+
+    def _write(self, windows: dict[int, tuple[int, int, int]], base: int, over: int) -> None:
+        """Close what ended by ``over``, and keep the rest."""
+        ended = sorted(start for start in windows if start + self.width <= over)
+        if ended:
+            base = windows[ended[-1]][2]
+        kept = sorted(windows.keys() - set(ended))
+        rows = zip(*[windows[start] for start in kept], strict=True) if kept else ([], [], [])
+        self.state.update((base, kept, *map(list, rows)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        windows, base = self._state()
-        before, changed, late = self._moved(windows, base), set(), {}
+        windows, base = self._read()
         over = timerValues.getCurrentWatermarkInMs() * 1_000
+        before, late = self._moved(windows, base), Counter()
         for part in rows:
-            # Only the last row of each window counts.
-            in_order = part.sort_values(["at", "pos"]).groupby("start")
-            counts = in_order.size()
-            for start, at, pos, value in in_order.last()[["at", "pos", "value"]].itertuples():
+            for start, *row in zip(*[part[c].tolist() for c in ("start", "at", "pos", "value")], strict=True):
                 if start + self.width <= over:
-                    late[int(start)] = late.get(int(start), 0) + int(counts[start])
-                elif start not in windows or (at, pos) >= windows[start][:2]:
-                    windows[int(start)] = (int(at), int(pos), int(value))
-                    changed.add(int(start))
-        for start in changed:
-            self.open.updateValue((start,), windows[start])
-            self.handle.registerTimer((start + self.width) // 1_000)
+                    late[start] += 1
+                # Only the last row of a window counts.
+                elif start not in windows or tuple(row[:2]) >= windows[start][:2]:
+                    windows[start] = tuple(row)
         after = self._moved(windows, base)
-        moved = {s: after[s] - before.get(s, 0) for s in after if s not in before or after[s] != before[s]}
         # A window that had no row until now is told of even if nothing moved in it.
+        moved = {s: m - before.get(s, 0) for s, m in after.items() if s not in before or m != before[s]}
+        if windows:
+            self._write(windows, base, over)
+            self.handle.registerTimer((max(windows) + self.width) // 1_000)
         out = [[*key, s, m, 0] for s, m in sorted(moved.items())] + [[*key, s, 0, n] for s, n in sorted(late.items())]
-        yield pd.DataFrame(out, columns=self.columns)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        windows, _ = self._state()
-        over = expiredTimerInfo.getExpiryTimeInMs() * 1_000
-        done = sorted(start for start in windows if start + self.width <= over)
-        if done:
-            self.closed.update((windows[done[-1]][2],))
-            for start in done:
-                self.open.removeKey((start,))
-        yield pd.DataFrame([], columns=self.columns)
+        windows, base = self._read()
+        self._write(windows, base, expiredTimerInfo.getExpiryTimeInMs() * 1_000)
+        return iter(())
 
 
 def moved_stream(
