@@ -16,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+import types
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -261,20 +263,23 @@ class Encoder:
 
 class Decoder:
     def __init__(self, vocabulary: Vocabulary):
-        self.starts = vocabulary.offsets[:-1]
-        self.lengths = np.diff(vocabulary.offsets)
+        self.starts = vocabulary.offsets[:-1].astype(np.int32)
+        self.lengths = np.diff(vocabulary.offsets).astype(np.int32)
+        self.longest = int(self.lengths.max(initial=0))
         self.bytes = vocabulary.bytes
 
     def decode(self, packed: bytes) -> str:
         """The text of the ids; bytes that are not UTF-8 become replacement characters."""
         ids = np.frombuffer(packed, "<u4")
         lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
+        width = np.int32 if len(ids) * self.longest < 1 << 31 else np.int64
+        ends = np.cumsum(lengths, dtype=width)
         if not len(ids) or not ends[-1]:
             return ""
         # Source position of every byte: consecutive within a token, a jump at its beginning.
         jump = np.repeat(self.starts[ids] - (ends - lengths), lengths)
-        return self.bytes[jump + np.arange(ends[-1])].tobytes().decode("utf-8", "replace")
+        jump += np.arange(ends[-1], dtype=width)
+        return self.bytes[jump].tobytes().decode("utf-8", "replace")
 
 
 def encoded(text: str | Column, path: str) -> Column:
@@ -302,14 +307,26 @@ def decoded(ids: str | Column, path: str) -> Column:
     return decode(ids)
 
 
+def kept_by_worker(key: tuple, make: Callable[[], object]):
+    """What this worker process made before under the key: it runs one task after the other, and tables need be made once."""
+    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def _tables(path: str) -> tuple[Encoder, Decoder]:
+    vocabulary = Vocabulary(path)
+    return Encoder(vocabulary), Decoder(vocabulary)
+
+
 def round_trip(text: str | Column, path: str) -> Column:
     """:func:`encoded` ``ids`` of a text column and the SHA-256 of the text :func:`decoded` from them (``decoded_sha256``, of its
     UTF-8), by one worker with one set of tables. Decoded texts do not leave it."""
 
     @F.arrow_udf("ids binary, decoded_sha256 string")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = Vocabulary(path)
-        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        encoder, decoder = kept_by_worker(("bpe", path), lambda: _tables(path))
         for texts in batches:
             ids, digests = [], []
             for text in texts:

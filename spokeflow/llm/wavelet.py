@@ -12,8 +12,6 @@ Spark writes each shard as one Parquet file of one row, so a shard whose task is
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -173,12 +171,20 @@ def shard_row(part: int, seq: int, doc_ids: list, ids: list[np.ndarray]) -> dict
     }
 
 
-CODES = np.arange(256)
-WHITE = np.isin(CODES, [0x20, *range(0x09, 0x0E)])
-LETTER_DIGIT = np.isin(CODES, [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])
-SIGN = (CODES < 0x80) & ~WHITE & ~LETTER_DIGIT
-# First bytes of characters that are no white space: ASCII, and the letters of two bytes from U+00C0 on.
-PLAIN = ((CODES < 0x80) & ~WHITE) | ((CODES >= 0xC3) & (CODES < 0xE0))
+# What a byte is, a bit each: white space; an ASCII letter or digit; another ASCII sign; a line end; a byte that goes on a
+# character; the first byte of a letter of two bytes from U+00C0 on.
+WHITE, LETTER_DIGIT, SIGN, LINE_END, GOES_ON, TWO_BYTES = (1 << i for i in range(6))
+
+
+def _kind(code: int) -> int:
+    if code >= 0x80:
+        return GOES_ON if code < 0xC0 else TWO_BYTES if 0xC3 <= code < 0xE0 else 0
+    if code in (0x20, *range(0x09, 0x0E)):
+        return WHITE | (LINE_END if code == 0x0A else 0)
+    return LETTER_DIGIT if chr(code).isalnum() else SIGN
+
+
+KINDS = bytes(_kind(code) for code in range(256))
 
 
 def piece_starts(data: np.ndarray, text_at: np.ndarray) -> np.ndarray:
@@ -188,14 +194,16 @@ def piece_starts(data: np.ndarray, text_at: np.ndarray) -> np.ndarray:
     ASCII letter or digit. Runs of white space stay with what follows.
     """
     n = len(data)
-    white, plain = WHITE[data], PLAIN[data]
+    kinds = np.frombuffer(data.tobytes().translate(KINDS), np.uint8)
+    white, ascii_ = (kinds & WHITE) != 0, (kinds & (LETTER_DIGIT | SIGN)) != 0
+    two = (kinds & TWO_BYTES) != 0
     # Whether the character that ends here is known to be no white space.
-    solid = plain & (data < 0x80)
-    solid[1:] |= ((data[1:] & 0xC0) == 0x80) & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
+    solid = ascii_.copy()
+    solid[1:] |= ((kinds[1:] & GOES_ON) != 0) & two[:-1]
     starts = np.zeros(n, bool)
     starts[1:] = white[1:] & solid[:-1]
-    starts[2:] |= plain[2:] & (data[1:-1] == 0x0A) & solid[:-2]
-    starts[1:] |= SIGN[data[1:]] & LETTER_DIGIT[data[:-1]]
+    starts[2:] |= (ascii_ | two)[2:] & ((kinds[1:-1] & LINE_END) != 0) & solid[:-2]
+    starts[1:] |= ((kinds[1:] & SIGN) != 0) & ((kinds[:-1] & LETTER_DIGIT) != 0)
     starts[text_at[:-1][text_at[:-1] < n]] = True
     return np.flatnonzero(starts)
 
@@ -220,10 +228,7 @@ class LibraryEncoder:
     @classmethod
     def of_process(cls, path: str) -> LibraryEncoder:
         """The one of this worker process, which runs one task after the other: it keeps what it knows from task to task."""
-        kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
+        return bpe.kept_by_worker(("library", path), lambda: cls(path))
 
     def _many(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
@@ -248,11 +253,13 @@ class LibraryEncoder:
         for i, found in zip(new, self._many([pieces[i] for i in new]), strict=True):
             ids[i] = found
             self.known.put(pieces[i], found)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        lengths = np.fromiter(map(len, ids), width, len(ids)) // 4  # a byte has one id at most
+        flat, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths, dtype=width) - lengths
         own = lengths[kind]
-        ends = np.cumsum(own)
-        tokens = flat[np.repeat(begins[kind] - (ends - own), own) + np.arange(ends[-1])]
+        ends = np.cumsum(own, dtype=width)
+        places = np.repeat(begins[kind] - (ends - own), own)
+        places += np.arange(ends[-1], dtype=width)
+        tokens = flat[places]
         return tokens, np.concatenate(([0], ends))[np.searchsorted(starts, text_at)]
 
 
