@@ -34,14 +34,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, packed and by digest, and the digest of the text decoded from them."""
-    ids = docs.select("doc_id", "source", bpe.encoded("text", TOKENIZER).alias("ids"))
-    return ids.select(
+    made = docs.select("doc_id", "source", bpe.round_trip("text", TOKENIZER).alias("made"))
+    return made.select(
         "doc_id",
         "source",
-        bpe.token_count("ids").alias("n_tokens"),
-        "ids",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decoded("ids", TOKENIZER).cast("binary"), 256).alias("decoded_sha256"),
+        bpe.token_count("made.ids").alias("n_tokens"),
+        "made.ids",
+        F.sha2("made.ids", 256).alias("ids_sha256"),
+        "made.decoded_sha256",
     )
 
 
