@@ -42,22 +42,25 @@ TESTS = ("unique", "not_null")
 
 
 def _model_tests(df: DataFrame, model: str, columns: dict[str, Sequence[str]]) -> list[DataFrame]:
-    """A model's tests, one pass for each unique column; the first pass counts the NULLs of all columns as well."""
+    """A model's tests in one scan and one aggregation: every unique column is a grouping set of its own, so equal values are
+    counted before the shuffle and a hot one sends one row per task. The first set also counts the NULLs of all columns."""
     keys = [c for c, names in columns.items() if "unique" in names]
     filled = [c for c, names in columns.items() if "not_null" in names]
     if not keys:
         return [not_null(df, model, filled)] if filled else []
-    first, *others = keys
-    counts = df.groupBy(F.col(first).alias("_key")).agg(
-        F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(filled)]
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(filled)]
+    counts = df.groupingSets([[F.col(k)] for k in keys], *[F.col(k) for k in keys]).agg(
+        F.grouping_id().alias("_set"), F.count("*").alias("_n"), *nulls
     )
+    # A grouping id has a bit for each column that is not in the set, the first column's highest.
+    of = lambda i: F.col("_set") == (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i))
     totals = counts.agg(
-        F.count_if((F.col("_n") > 1) & F.col("_key").isNotNull()).alias("_twice"),
-        *[F.coalesce(F.sum(f"_null_{i}"), F.lit(0)).alias(f"_null_{i}") for i in range(len(filled))],
+        *[F.count_if(of(i) & (F.col("_n") > 1) & F.col(k).isNotNull()).alias(f"_twice_{i}") for i, k in enumerate(keys)],
+        *[F.coalesce(F.sum(F.when(of(0), F.col(f"_null_{i}"))), F.lit(0)).alias(f"_null_{i}") for i in range(len(filled))],
     )
-    rows = [F.struct(*_row(model, first, "unique", F.col("_twice").alias("failing_rows")))]
+    rows = [F.struct(*_row(model, k, "unique", F.col(f"_twice_{i}").alias("failing_rows"))) for i, k in enumerate(keys)]
     rows += [F.struct(*_row(model, c, "not_null", F.col(f"_null_{i}").alias("failing_rows"))) for i, c in enumerate(filled)]
-    return [totals.select(F.inline(F.array(*rows))), *[unique(df, model, c) for c in others]]
+    return [totals.select(F.inline(F.array(*rows)))]
 
 
 def run_tests(spark: SparkSession, models: dict[str, DataFrame], tests: dict[str, dict[str, Sequence[str]]]) -> DataFrame:

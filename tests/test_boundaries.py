@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import final_plan
 from spokeflow import session
 from spokeflow.functions import decode
 from spokeflow.operators import records
@@ -200,6 +201,25 @@ def test_layered_models(spark, path):
     assert spark.table("model_marts.names").count() == 3
 
 
+def test_all_tests_of_a_model_take_one_scan_and_one_shuffle(spark, path):
+    rows = [(i % 7, float(i % 3) * (-1) ** i, None if i % 5 == 0 else str(i), i) for i in range(60)] + [(None, None, None, 60)]
+    spark.createDataFrame(rows, "a int, b double, c string, d int").write.parquet(f"{path}/rows")
+    table = spark.read.parquet(f"{path}/rows")
+    both = ("unique", "not_null")
+    found = run_tests(spark, {"m": table}, {"m": {"a": both, "b": both, "c": ("unique",), "d": both}})
+    results = {(r.column, r.test): r.failing_rows for r in found.collect()}
+    # 0.0 and -0.0 are one value; NULLs are not counted as repeated.
+    assert results == {
+        ("a", "unique"): 7, ("b", "unique"): 5, ("c", "unique"): 0, ("d", "unique"): 0,
+        ("a", "not_null"): 1, ("b", "not_null"): 1, ("d", "not_null"): 0,
+    }
+    plan = final_plan(found)
+    assert plan.split("Initial Plan")[0].count("FileScan") == 1
+    assert plan.count("hashpartitioning") <= 2  # one exchange, in the final and in the initial plan
+    empty = run_tests(spark, {"m": table.where("d < 0")}, {"m": {"a": both, "b": ("not_null",)}}).collect()
+    assert {r.failing_rows for r in empty} == {0} and len(empty) == 3
+
+
 def test_primary_key(spark):
     rows = spark.createDataFrame([("a",), ("a",), (None,)], "key string")
     assert {r.test: r.failing_rows for r in primary_key(rows, "m", "key").collect()} == {"unique": 1, "not_null": 1}
