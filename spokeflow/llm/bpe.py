@@ -320,13 +320,17 @@ def _tables(path: str) -> tuple[Encoder, Decoder]:
     return Encoder(vocabulary), Decoder(vocabulary)
 
 
-def round_trip(text: str | Column, path: str) -> Column:
+def round_trip(text: str | Column, path: str, keep: bool = True) -> Column:
     """:func:`encoded` ``ids`` of a text column and the SHA-256 of the text :func:`decoded` from them (``decoded_sha256``, of its
-    UTF-8), by one worker with one set of tables. Decoded texts do not leave it."""
+    UTF-8), by one worker with one set of tables. Decoded texts do not leave it.
+
+    With ``keep`` a worker process keeps its tables for its next task. Without, a task makes its own and they go with it: for jobs
+    whose workers go on to other stages.
+    """
 
     @F.arrow_udf("ids binary, decoded_sha256 string")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder, decoder = kept_by_worker(("bpe", path), lambda: _tables(path))
+        encoder, decoder = kept_by_worker(("bpe", path), lambda: _tables(path)) if keep else _tables(path)
         for texts in batches:
             ids, digests = [], []
             for text in texts:
