@@ -34,7 +34,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, packed and by digest, and the digest of the text decoded from them."""
-    made = docs.select("doc_id", "source", bpe.round_trip("text", TOKENIZER).alias("made"))
+    made = docs.select("doc_id", "source", bpe.round_trip("text", TOKENIZER, keep=False).alias("made"))
     return made.select(
         "doc_id",
         "source",
