@@ -1,4 +1,4 @@
-"""Folders of finished writes, numbered by micro-batch, on any file system that Spark writes to."""
+"""Folders of writes, numbered by micro-batch (``batch=<id>``, also ``batch=<id>-<attempt>``), on any file system that Spark writes to."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ def _found(spark: SparkSession, path: str, end: str):
 
 
 def _number(path) -> int:
-    return int(path.getName().split("=")[1])
+    return int(path.getName().split("=")[1].split("-")[0])
 
 
 def finished(spark: SparkSession, path: str) -> list[int]:

@@ -1,20 +1,22 @@
 """A table of the last write per key, or of sums per key, fed by micro-batches.
 
-Each micro-batch is a folder of its own, written whole under its batch id, so a replay replaces it. A reader takes the last
-write per key over the newest base and the batches after it; compaction writes a new base and removes what stands before the
-one before it, so the number of folders stays the same however long the table lives. Cost per batch is that of its changes,
-not of the table.
+Each micro-batch writes a folder of its own and then commits a version that names the folders the table consists of. A reader
+opens one version and takes the last write per key over the base and the batches that it names. Compaction commits a version
+of a new base alone; what only versions before the last base but one name is removed, so the number of folders stays the same
+however long the table lives. Cost per batch is that of its changes, not of the table.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeflow.operators.upsert import changelog, latest
-from spokeflow.sinks.folders import finished, remove_below
+from spokeflow.sinks.folders import remove_below
+from spokeflow.sinks.versions import Versions
 
 BATCH = "_batch"
 
@@ -25,44 +27,64 @@ class UpsertTable:
     key: tuple[str, ...]
     compact_every: int = 50
 
+    @property
+    def versions(self) -> Versions:
+        return Versions(f"{self.path}/versions")
+
     def write_batch(self, rows: DataFrame, batch_id: int) -> None:
         """Apply one micro-batch holding at most one row per key. ``foreachBatch`` takes this method as it is.
 
+        Batches come in rising ids. One that is not above the newest was applied before and is left as it is; of two writers
+        that apply a batch at the same time one fails with ``VersionTaken``, and finds the batch applied when it comes again.
         Rebalancing keeps a small batch from leaving one small file per state partition.
         """
-        rows.withColumn(BATCH, F.lit(batch_id).cast("bigint")).hint("rebalance").write.mode("overwrite").parquet(
-            f"{self.path}/log/batch={batch_id}"
-        )
-        if self.compact_every and batch_id % self.compact_every == self.compact_every - 1:
-            self._write_base(rows.sparkSession, batch_id)
+        spark = rows.sparkSession
+        number, now = self.versions.newest(spark)
+        if now is None:
+            now = {"batch": -1, "folders": [], "base": [0, -1], "base_before": [0, -1]}
+        if now["batch"] >= batch_id:
+            return
+        attempt = f"batch={batch_id}-{uuid.uuid4().hex}"
+        numbered = rows.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+        numbered.hint("rebalance").write.parquet(f"{self.path}/log/{attempt}")
+        made = {**now, "batch": batch_id, "folders": [*now["folders"], f"log/{attempt}"]}
+        compact = self.compact_every and batch_id % self.compact_every == self.compact_every - 1
+        if compact:
+            base = self._rows(spark, made).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+            base.write.parquet(f"{self.path}/base/{attempt}")
+            made.update(folders=[f"base/{attempt}"], base=[number + 1, batch_id], base_before=now["base"])
+        self.versions.commit(spark, number + 1, made)
+        if compact:
+            # Readers of the base before still find it and its log; a reader has one compaction's time.
+            version, batch = now["base"]
+            remove_below(spark, f"{self.path}/base", batch)
+            remove_below(spark, f"{self.path}/log", batch + 1)
+            self.versions.remove(spark, max(1, now["base_before"][0]), version)
 
     def read(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
         """The table as of batch ``upto`` (the newest when None); batches before the last base but one are gone."""
-        bases = [b for b in finished(spark, f"{self.path}/base") if upto is None or b < upto]
-        base = max(bases, default=-1)
-        after = [b for b in finished(spark, f"{self.path}/log") if b > base and (upto is None or b <= upto)]
-        folders = [f"{self.path}/log/batch={b}" for b in after]
-        if bases:
-            folders.append(f"{self.path}/base/batch={base}")
-        if not folders:
-            raise FileNotFoundError(f"nothing has been written to {self.path}")
-        return self._merged(spark.read.parquet(*folders))
+        version = self._version(spark, upto)
+        if version is None:
+            raise FileNotFoundError(f"nothing has been written to {self.path}" + ("" if upto is None else f" as of batch {upto}"))
+        return self._rows(spark, version)
 
     def written(self, spark: SparkSession, upto: int) -> bool:
         """Whether there is a table as of batch ``upto``."""
-        return any(b <= upto for part in ("base", "log") for b in finished(spark, f"{self.path}/{part}"))
+        return self._version(spark, upto) is not None
+
+    def _version(self, spark: SparkSession, upto: int | None) -> dict | None:
+        number, content = self.versions.newest(spark)
+        while content is not None and upto is not None and content["batch"] > upto:
+            number -= 1
+            content = self.versions.read(spark, number)
+        return content
+
+    def _rows(self, spark: SparkSession, version: dict) -> DataFrame:
+        return self._merged(spark.read.parquet(*[f"{self.path}/{folder}" for folder in version["folders"]]))
 
     def _merged(self, rows: DataFrame) -> DataFrame:
         return latest(rows, self.key, [BATCH]).drop(BATCH)
 
-    def _write_base(self, spark: SparkSession, batch_id: int) -> None:
-        rows = self.read(spark, batch_id).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/base/batch={batch_id}")
-        # Readers of the base before still find it and its log; a reader has one compaction's time.
-        before = batch_id - self.compact_every
-        remove_below(spark, f"{self.path}/base", before)
-        remove_below(spark, f"{self.path}/log", before + 1)
-
 
 @dataclass(frozen=True)
 class SumTable(UpsertTable):

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import json
 from pathlib import Path
 
 import pytest
@@ -12,7 +13,9 @@ from spokeflow.operators.records import decode_information
 from spokeflow.operators.upsert import latest
 from spokeflow.plans.stations import current_table, start_current_table
 from spokeflow.schemas import CURRENT_STATUS, STATION_INFORMATION, STATUS_FIELDS
+from spokeflow.sinks import folders
 from spokeflow.sinks.upsert import UpsertTable
+from spokeflow.sinks.versions import Versions, VersionTaken
 from spokeflow.sources.topics import station_information
 from spokeflow.streaming.current import current_status
 from spokeflow.streaming.run import drain
@@ -208,3 +211,52 @@ def test_a_long_lived_table_keeps_few_folders(spark, path):
         most = max(most, len(list(Path(f"{path}/t/log").iterdir())) + len(list(Path(f"{path}/t/base").iterdir())) if batch > 5 else 0)
     assert most <= 14
     assert [tuple(r) for r in table.read(spark).collect()] == [(1, 109)]
+
+
+def test_readers_open_one_version_and_list_nothing(spark, path, monkeypatch):
+    """Also a reader that opened its version before a compaction, and after the last writer was lost before ``_newest``."""
+    table = UpsertTable(f"{path}/t", ("k",), compact_every=3)
+    rows = lambda batch: spark.createDataFrame([(batch % 2, batch)], "k int, v int")
+    for batch in range(5):
+        table.write_batch(rows(batch), batch)
+    before = table.read(spark)
+    table.write_batch(rows(5), 5)
+    assert {r.k: r.v for r in before.collect()} == {0: 4, 1: 3}
+    (Path(f"{path}/t/versions/_newest")).write_text(json.dumps({"number": 3}))
+    Path(f"{path}/t/versions/._newest.crc").unlink(missing_ok=True)
+
+    def listed(*_):
+        raise AssertionError("a reader listed folders")
+
+    monkeypatch.setattr(folders, "_found", listed)
+    assert {r.k: r.v for r in table.read(spark).collect()} == {0: 4, 1: 5}
+    assert {r.k: r.v for r in table.read(spark, 4).collect()} == {0: 4, 1: 3}
+    assert table.versions.newest(spark)[1]["folders"][0].startswith("base/batch=5-")
+
+
+def test_two_writers_cannot_commit_one_version(spark, path, monkeypatch):
+    """The second one had read the table before the first one committed; its folder stays out, and coming again it is done."""
+    table = UpsertTable(f"{path}/t", ("k",))
+    rows = lambda v: spark.createDataFrame([(1, v)], "k int, v int")
+    table.write_batch(rows(0), 0)
+    seen = table.versions.newest(spark)
+    table.write_batch(rows(1), 1)
+    with monkeypatch.context() as patched:
+        patched.setattr(Versions, "newest", lambda self, spark: seen)
+        with pytest.raises(VersionTaken):
+            table.write_batch(rows(99), 1)
+    assert [tuple(r) for r in table.read(spark).collect()] == [(1, 1)]
+    table.write_batch(rows(99), 1)
+    assert [tuple(r) for r in table.read(spark).collect()] == [(1, 1)]
+    assert sorted(p.name[0] for p in Path(f"{path}/t/versions").glob("*.json")) == ["1", "2"]
+
+
+def test_removed_versions_are_an_error(spark, path):
+    table = UpsertTable(f"{path}/t", ("k",), compact_every=2)
+    for batch in range(8):
+        table.write_batch(spark.createDataFrame([(1, batch)], "k int, v int"), batch)
+    assert [r.v for r in table.read(spark, 5).collect()] == [5]
+    with pytest.raises(FileNotFoundError, match="as of batch 2"):
+        table.read(spark, 2)
+    assert not table.written(spark, 2) and table.written(spark, 6)
+    assert len(list(Path(f"{path}/t/versions").glob("*.json"))) <= 5
