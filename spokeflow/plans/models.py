@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeflow.operators.quality import run_tests
-from spokeflow.sinks.tables import create_view, write_table
+from spokeflow.sinks.tables import create_view, replace_table
 
 # Fixed value: how many models are built at the same time.
 THREADS = 12
@@ -22,7 +22,10 @@ class Model:
     """``build(ref)`` returns the model's rows; ``ref(name)`` reads another model, wherever it stands among the models.
 
     A build that refers to a model which is not there yet ends at that reference and is called again later, so it should do
-    nothing but read and describe its rows.
+    nothing but read and describe its rows. ``ref.last()`` is the model's own table as it stands, None before there is one.
+
+    The data tests of a ``guarded`` table run before the table is replaced; if one fails the old table stays, and ``TestsFailed``
+    tells which.
     """
 
     name: str
@@ -31,6 +34,7 @@ class Model:
     layer: str | None = None
     descriptions: dict[str, str] = field(default_factory=dict)
     tests: dict[str, Sequence[str]] = field(default_factory=dict)
+    guarded: bool = False
 
     @property
     def full_name(self) -> str:
@@ -44,6 +48,23 @@ def described(df: DataFrame, descriptions: dict[str, str]) -> DataFrame:
     )
 
 
+class TestsFailed(ValueError):
+    """Data tests of a guarded table failed before it was replaced."""
+
+    __test__ = False
+
+
+def _guard(model: Model) -> Callable[[DataFrame], None]:
+    def check(rows: DataFrame) -> None:
+        results = run_tests(rows.sparkSession, {model.name: rows}, {model.name: model.tests})
+        failed = results.where("failing_rows > 0").collect()  # at most one row per test
+        if failed:
+            found = ", ".join(f"{r.column} {r.test}: {r.failing_rows}" for r in failed)
+            raise TestsFailed(f"{model.full_name} is left as it was; failing rows: {found}")
+
+    return check
+
+
 class NotYet(Exception):
     """A model was referred to before it was there."""
 
@@ -90,13 +111,14 @@ def materialize(spark: SparkSession, models: Sequence[Model], threads: int = THR
                 raise NotYet(name)
             return spark.table(built.tables[name])
 
+        ref.last = lambda: spark.table(model.full_name) if spark.catalog.tableExists(model.full_name) else None
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", model.name)
         try:
             rows = described(model.build(ref), model.descriptions)
             if model.materialized == "view":
                 create_view(rows, model.name)
                 return model.name
-            write_table(rows, model.full_name)
+            replace_table(rows, model.full_name, _guard(model) if model.guarded else None)
             return model.full_name
         finally:
             spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)

@@ -2,12 +2,13 @@
 
 import random
 import threading
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from spokeflow.plans.models import Model, materialize, run
-from spokeflow.sinks.tables import Layers
+from spokeflow.plans.models import Model, TestsFailed, materialize, run
+from spokeflow.sinks.tables import Layers, replace_table, write_table
 
 
 @pytest.fixture
@@ -107,3 +108,44 @@ def test_a_failure_stops_what_depends_on_it(spark, layer):
         materialize(spark, models)
     assert raised.value.__notes__ == ["in the model broken"] and not begun
     assert spark.table(f"{layer}.fine").count() == 3
+
+
+def test_a_failed_test_leaves_the_old_table(spark, layer):
+    """Guarded tables are tested before the swap; a reader that has begun keeps its rows through two more versions."""
+    def model(rows):
+        return Model("kept", lambda ref: spark.createDataFrame(rows, "id int"), layer=layer, tests={"id": ("unique", "not_null")}, guarded=True)
+
+    materialize(spark, [model([(1,), (2,)])])
+    begun = spark.table(f"{layer}.kept")
+    with pytest.raises(TestsFailed, match="id unique: 1, id not_null: 1"):
+        materialize(spark, [model([(3,), (3,), (None,)])])
+    assert sorted(r.id for r in spark.table(f"{layer}.kept").collect()) == [1, 2]
+    materialize(spark, [model([(4,)])])
+    assert sorted(r.id for r in begun.collect()) in ([1, 2], [4])
+    assert [r.id for r in spark.table(f"{layer}.kept").collect()] == [4]
+
+
+def test_a_model_reads_its_own_last_version(spark, layer):
+    def add(ref):
+        last = ref.last()
+        new = spark.createDataFrame([("a", 1)], "k string, n long")
+        rows = new if last is None else new.union(last)
+        return rows.groupBy("k").agg(F.sum("n").alias("n"))
+
+    for times in range(1, 5):
+        materialize(spark, [Model("sums", add, layer=layer, descriptions={"k": "what is counted"})])
+        assert [tuple(r) for r in spark.table(f"{layer}.sums").collect()] == [("a", times)]
+    assert spark.table(f"{layer}.sums").schema["k"].metadata["comment"] == "what is counted"
+
+
+def test_replaced_tables_may_change_their_columns_and_keep_two_versions(spark, layer, path):
+    for number in range(5):
+        replace_table(spark.range(number).toDF("id"), f"{layer}.t")
+        assert spark.table(f"{layer}.t").count() == number
+    assert sorted(p.name for p in Path(path, layer, "t.versions").iterdir()) == ["batch=3", "batch=4"]
+    replace_table(spark.createDataFrame([("x", 1)], "name string, n int"), f"{layer}.t")
+    assert [tuple(r) for r in spark.table(f"{layer}.t").collect()] == [("x", 1)]
+    # A table that was written in its usual place is replaced too.
+    write_table(spark.range(3).toDF("id"), f"{layer}.plain")
+    replace_table(spark.table(f"{layer}.plain").where("id > 0"), f"{layer}.plain")
+    assert sorted(r.id for r in spark.table(f"{layer}.plain").collect()) == [1, 2]
