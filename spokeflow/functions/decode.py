@@ -15,6 +15,13 @@ def text(value: Column, framed: bool = False) -> Column:
     return F.decode(raw.cast("binary"), "UTF-8")
 
 
+def schema_id(value: Column) -> Column:
+    """The schema id in the frame of a message value; NULL if the value is no frame."""
+    raw = value.cast("binary")
+    framed = (F.length(raw) >= FRAME_BYTES) & (F.hex(F.substring(raw, 1, 1)) == "00")
+    return F.when(framed, F.conv(F.hex(F.substring(raw, 2, FRAME_BYTES - 1)), 16, 10).cast("bigint"))
+
+
 def document(value: Column) -> Column:
     """Parsed JSON; malformed text becomes NULL."""
     return F.try_parse_json(value)

@@ -103,6 +103,42 @@ def decode_information(messages: DataFrame) -> DataFrame:
     )
 
 
+def decode_by_schema(messages: DataFrame, schemas: dict[int, dict[str, str]], fields: dict[str, str]) -> DataFrame:
+    """Framed messages (binary ``value``) of several schema versions as one set of columns.
+
+    ``schemas`` is the registry: for every id, the path under which a version keeps a field; one it does not name is NULL.
+    ``fields`` has the type of every field. Each row is parsed once and read by the version its frame names. ``reject_reason``
+    tells of a value without a frame, an id that is not registered and text that is not JSON; a message without a value is
+    a delete and no reject. The columns of the log other than ``value`` are kept.
+    """
+    unknown = {f for paths in schemas.values() for f in paths} - set(fields)
+    if unknown:
+        raise ValueError(f"no type for {', '.join(sorted(unknown))}")
+    types = ", ".join(f"{name} {type_}" for name, type_ in fields.items())
+    number, payload = F.col("_schema"), F.col("_payload")
+
+    def version(paths: dict[str, str]) -> Column:
+        read = [decode.field(payload, paths[f], t) if f in paths else F.lit(None).cast(t) for f, t in fields.items()]
+        return F.struct(*[c.alias(f) for c, f in zip(read, fields, strict=True)])
+
+    typed = F.lit(None).cast(f"struct<{types}>")
+    for schema, paths in schemas.items():
+        typed = F.when(number == schema, version(paths)).otherwise(typed)
+    reason = (
+        F.when(F.col("value").isNull(), F.lit(None))
+        .when(number.isNull(), "no frame")
+        .when(~number.isin(*schemas), F.concat(F.lit("unknown schema "), number))
+        .when(payload.isNull(), "not json")
+    )
+    rest = [c for c in messages.columns if c != "value"]
+    parsed = messages.withColumn("_schema", decode.schema_id(F.col("value"))).withColumn(
+        "_payload", F.when(number.isin(*schemas), decode.document(decode.text(F.col("value"), framed=True)))
+    )
+    return parsed.select(
+        *rest, number.alias("schema_id"), typed.alias("_typed"), reason.alias("reject_reason"), F.col("value").isNull().alias("deleted")
+    ).select(*rest, "schema_id", *[F.col(f"_typed.{f}").alias(f) for f in fields], "reject_reason", "deleted")
+
+
 def with_record_reason(records: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
     """Add ``reject_reason`` to exploded records, strictly: no station, or the fields that do not decode; else NULL."""
     # Checked inside a list of one: as plain predicates beside the decoded columns, constraint inference would rewrite the

@@ -222,6 +222,16 @@ ORACLE: dict[str, str] = {
     "staged_tables": """SELECT 'TRIP_DATA_SUPPLIER' AS asset, count(*) AS n FROM supplier
         UNION ALL SELECT 'TRIP_DATA_NATION', count(*) FROM nation
         UNION ALL SELECT 'TRIP_DATA_EVENTS', count(*) FROM events""",
+    "staged_increments": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders",
+    "schema_versions": """SELECT event_id AS position,
+        CAST(CASE event_id % 5 WHEN 0 THEN 258 WHEN 3 THEN NULL WHEN 4 THEN 999 ELSE 257 END AS BIGINT)
+            AS schema_id,
+        CASE WHEN event_id % 5 < 3 THEN CAST(user_id AS VARCHAR) END AS station_id,
+        CASE WHEN event_id % 5 < 3 THEN CAST(trunc(value) AS INTEGER) END AS bikes,
+        CASE WHEN event_id % 5 IN (1, 2) THEN event_type END AS kind, event_id % 5 = 0 AS timed,
+        CASE event_id % 5 WHEN 3 THEN 'no frame' WHEN 4 THEN 'unknown schema 999' END AS reject_reason FROM events""",
+    "mart_increment": f"""WITH {STATUS} SELECT station_id, CAST(count(*) AS BIGINT) AS n, max(pos) AS "last" FROM status
+        GROUP BY station_id""",
     "information_log_order": f"WITH {LOG_ORDER} SELECT * FROM log",
     "stream_log_order": f"""WITH {LOG_ORDER} SELECT CAST(c_custkey AS VARCHAR) AS station_id, name, capacity
         FROM customer LEFT JOIN log ON key = CAST(c_custkey AS VARCHAR)""",

@@ -6,6 +6,7 @@ the station metadata, which covers only part of the stations, and ``nation``/``r
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ from spokeflow.operators.enrich import enrich
 from spokeflow.operators.quality import primary_key, run_tests
 from spokeflow.operators.upsert import folded, latest
 from spokeflow.operators.windows import area_totals, change_since_previous, fill_forward, last_values, tumbling
-from spokeflow.plans.models import Model, materialize, union_all
+from spokeflow.plans.models import Model, TestsFailed, materialize, union_all
 from spokeflow.plans.models import run as run_models
 from spokeflow.plans.stations import start_current_table
 from spokeflow.schemas import STATUS_FIELDS
@@ -31,7 +32,7 @@ from spokeflow.sinks.messages import information_messages, status_messages
 from spokeflow.sinks.serving import answer
 from spokeflow.sinks.tables import Layers, asset_name, write_path
 from spokeflow.sinks.upsert import ChangelogTable, UpsertTable
-from spokeflow.sources.relational import load_tables, selected_tables
+from spokeflow.sources.relational import Increments, even_ranges, load_tables, selected_tables
 from spokeflow.sources.topics import station_information, status_events
 from spokeflow.streaming.changes import ChangeFilter, parquet_publisher
 from spokeflow.streaming.current import current_status
@@ -468,6 +469,34 @@ def model_graph(spark, sf_dir):
     return spark.table(materialize(spark, models).tables["summary"])
 
 
+@query
+def mart_increment(spark, sf_dir):
+    """A mart that adds the new events to its own last version, in two runs; a third, whose tests fail, leaves it as it was."""
+    folder = run_dir(spark, "increment")
+    number = folder.split("-")[-1].split("/")[0]
+    layers = Layers(f"staging_{number}", f"marts_{number}", folder)
+    layers.create(spark)
+    rows = status(spark, sf_dir).select("station_id", "pos")
+    first, last = rows.agg(F.min("pos"), F.max("pos")).first()
+    middle = (first + last) // 2 if first is not None else 0
+
+    def seen(new: DataFrame) -> Model:
+        def build(ref) -> DataFrame:
+            counted = new.groupBy("station_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+            before = ref.last()
+            rows = counted if before is None else counted.unionByName(before)
+            return rows.groupBy("station_id").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+
+        return Model("seen", build, layer=layers.marts, tests={"station_id": ("unique", "not_null")}, guarded=True)
+
+    unnamed = rows.withColumn("station_id", F.lit(None).cast("string"))
+    materialize(spark, [seen(rows.where(F.col("pos") <= middle))])
+    materialize(spark, [seen(rows.where(F.col("pos") > middle))])
+    with contextlib.suppress(TestsFailed):
+        materialize(spark, [seen(unnamed)])
+    return spark.table(f"{layers.marts}.seen")
+
+
 @query
 def upper_name(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
@@ -548,6 +577,51 @@ def staged_tables(spark, sf_dir):
     return union_all(*counts)
 
 
+@query
+def staged_increments(spark, sf_dir):
+    """A table that grows between three runs, read in even ranges; the last run finds nothing new."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    ranges = even_ranges(orders.select("o_orderkey"), "o_orderkey", 4)
+    source = union_all(*[orders.where(r) for r in ranges])
+    early = orders.agg(F.percentile_approx("o_orderkey", 0.6)).first()[0]
+    copies = Increments(f"{run_dir(spark, 'staged_increments')}/orders", "o_orderkey")
+    for grown in (source.where(F.col("o_orderkey") <= early), source, source):
+        copies.run(grown)
+    return copies.read(spark)
+
+
+def framed_events(events: DataFrame) -> DataFrame:
+    """The events as framed messages: two versions of a schema, some of a third that nobody registered, some without a frame."""
+    first = F.struct(F.col("user_id").alias("station"), F.col("value").alias("bikes"), F.col("event_type").alias("kind"))
+    second = F.struct(
+        F.struct(F.col("user_id").alias("id")).alias("station"), F.struct(F.col("value").alias("free")).alias("bikes"),
+        F.col("ts").cast("string").alias("at"),
+    )
+    number = F.pmod(F.col("event_id"), F.lit(5))
+    text = F.when(number == 0, encode.json_text(second)).otherwise(encode.json_text(first))
+    head = F.when(number == 0, F.unhex(F.lit("0000000102"))).when(number == 4, F.unhex(F.lit("00000003E7"))).otherwise(
+        F.unhex(F.lit("0000000101"))
+    )
+    body = encode.utf8(text)
+    return events.select(
+        F.col("event_id").alias("position"), F.when(number == 3, body).otherwise(F.concat(head, body)).alias("value")
+    )
+
+
+REGISTRY = {
+    257: {"station_id": "station", "bikes": "bikes", "kind": "kind"},
+    258: {"station_id": "station.id", "bikes": "bikes.free", "at": "at"},
+}
+
+
+@query
+def schema_versions(spark, sf_dir):
+    """A log of two schema versions decoded row by row; rows of others, and without a frame, have a reason."""
+    fields = {"station_id": "string", "bikes": "int", "kind": "string", "at": "string"}
+    rows = records.decode_by_schema(framed_events(table(spark, sf_dir, "events")), REGISTRY, fields)
+    return rows.select("position", "schema_id", "station_id", "bikes", "kind", F.col("at").isNotNull().alias("timed"), "reject_reason")
+
+
 @query
 def stream_current(spark, sf_dir):
     """The updating join as a standing query over both logs."""
