@@ -42,9 +42,18 @@ def usage_by_hour(
 def moved(pairs: DataFrame, station: str, value: str, ts: str, zone: str = "UTC") -> DataFrame:
     """Bikes moved per station and hour of day in rows that know the one before them (:func:`with_previous`)."""
     steps = pairs.where("previous is not null")
-    return steps.groupBy(station, hour_of(F.col(ts), zone).alias("hour")).agg(
-        F.sum(F.abs(F.col(value) - F.col(f"previous.{value}"))).alias("usage")
-    )
+    return steps.groupBy(station, hour_of(F.col(ts), zone).alias("hour")).agg(usage_of("previous", value))
+
+
+def moved_and_held(pairs: DataFrame, station: str, value: str, ts: str, zone: str = "UTC") -> DataFrame:
+    """:func:`moved` and :func:`held` in one pass, both per station and hour of day, in rows that also know the one before them
+    with a known value. An hour without a step has no ``usage``."""
+    by = [station, hour_of(F.col(ts), zone).alias("hour")]
+    return pairs.groupBy(*by).agg(usage_of("previous_known", value), *seconds_of(value, ts))
+
+
+def usage_of(previous: str, value: str) -> Column:
+    return F.sum(F.abs(F.col(value) - F.col(f"{previous}.{value}"))).alias("usage")
 
 
 def peak_hours(usage: DataFrame, group: str, top: int = 3) -> DataFrame:
@@ -78,10 +87,14 @@ def time_weighted(
 
 def held(pairs: DataFrame, station: str, value: str, ts: str) -> DataFrame:
     """How long each station held its values, in rows that know the one before them: ``value_seconds`` and ``seconds``."""
+    return pairs.groupBy(station).agg(*seconds_of(value, ts))
+
+
+def seconds_of(value: str, ts: str) -> list[Column]:
     seconds = F.timestamp_diff("SECOND", F.col(f"previous.{ts}"), F.col(ts))
     before = F.col(f"previous.{value}")
     known = F.when(before.isNotNull(), seconds)
-    return pairs.groupBy(station).agg(F.sum(before * seconds).alias("value_seconds"), F.sum(known).alias("seconds"))
+    return [F.sum(before * seconds).alias("value_seconds"), F.sum(known).alias("seconds")]
 
 
 def mean_over_time(sums: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from spokeflow.functions import decode, encode
 from spokeflow.operators import records
@@ -28,6 +29,7 @@ from spokeflow.plans.models import run as run_models
 from spokeflow.plans.stations import start_current_table
 from spokeflow.schemas import STATUS_FIELDS
 from spokeflow.session import configure, run_dir
+from spokeflow.sinks import folders
 from spokeflow.sinks.messages import information_messages, status_messages
 from spokeflow.sinks.serving import answer
 from spokeflow.sinks.tables import Layers, asset_name, write_path
@@ -635,9 +637,22 @@ def stream_current(spark, sf_dir):
     return result.read(spark)
 
 
-def landing(spark, sf_dir, path: str, parts: int = 3, of: Callable[[int, int], Column] | None = None) -> DataFrame:
-    """The events as a stream of several micro-batches: landed in as many files, cut at even times, one file a batch.
+# A query that goes on until it is stopped, and takes what lands at once.
+STANDING = "0 seconds"
 
+
+def landing(
+    spark,
+    sf_dir,
+    path: str,
+    begin: Callable[[DataFrame], StreamingQuery],
+    parts: int = 3,
+    of: Callable[[int, int], Column] | None = None,
+) -> None:
+    """Let the events land in parts, cut at even times, while the query that ``begin`` starts over them runs; it has answered
+    one part before the next one lands, so each part that has rows is a micro-batch.
+
+    The parts are staged in one pass over the events, each in as many files as tasks can run, and moved in as whole folders.
     ``of`` gives the part of each event instead, from the first and last time (microseconds).
     """
     events = table(spark, sf_dir, "events")
@@ -645,10 +660,22 @@ def landing(spark, sf_dir, path: str, parts: int = 3, of: Callable[[int, int], C
     first, last = events.agg(F.min(at), F.max(at)).first()
     width = (last - first) // parts + 1 if first is not None else 1
     part_of = F.floor((at - F.lit(first)) / width) if of is None else of(first, last)
-    for part in range(parts):
-        rows = events.where(F.coalesce(part_of, F.lit(0)) == part)
-        rows.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    numbered = events.withColumn("batch", F.coalesce(part_of, F.lit(0)))
+    numbered.repartition(spark.sparkContext.defaultParallelism).write.partitionBy("batch").parquet(f"{path}/staged")
+    staged = folders.numbered(spark, f"{path}/staged")
+    if not staged:
+        events.limit(0).write.parquet(f"{path}/staged/batch=0")
+    query = None
+    try:
+        for part in staged or [0]:
+            folders.move(spark, f"{path}/staged/batch={part}", f"{path}/landing/batch={part}")
+            if query is None:
+                reader = spark.readStream.schema(events.schema).option("recursiveFileLookup", True)
+                query = begin(reader.parquet(f"{path}/landing"))
+            query.processAllAvailable()
+    finally:
+        if query is not None:
+            query.stop()
 
 
 @query
@@ -659,9 +686,9 @@ def served_low_stations(spark, sf_dir):
         {"_ingested_at": F.timestamp_seconds(F.lit(0)), "deleted": F.lit(False)}
     )
     low = {"low": lambda now: low_availability(now, min_bikes=10, min_ratio=0.01)}
-    rows = as_status(landing(spark, sf_dir, f"{path}/landing"))
-    live, _ = start_current_table(rows, info, f"{path}/live", every=None, questions=low)
-    drain(live)
+    landing(
+        spark, sf_dir, path, lambda events: start_current_table(as_status(events), info, f"{path}/live", STANDING, low)[0]
+    )
     served = answer(spark, f"{path}/live/serving", "low")
     return served.select("station_id", "name", "num_bikes_available", "capacity", "is_renting")
 
@@ -670,7 +697,11 @@ def live_usage(spark, sf_dir, name: str) -> LiveUsage:
     """Usage kept by a stream of three micro-batches."""
     path = run_dir(spark, name)
     live = LiveUsage(f"{path}/live")
-    drain(start(as_status(landing(spark, sf_dir, f"{path}/landing")), live.process, f"{path}/checkpoint", every=None))
+    # A micro-batch is computed with all its columns, so what usage does not ask for is left undecoded here.
+    used = (live.station, *live.order, live.value)
+    landing(
+        spark, sf_dir, path, lambda events: start(as_status(events).select(*used), live.process, f"{path}/checkpoint", every=STANDING)
+    )
     return live
 
 
@@ -700,10 +731,14 @@ def stream_time_weighted(spark, sf_dir):
 def stream_area_carry_forward_5m(spark, sf_dir):
     """Totals of all stations per five minutes, windows without a row included, from a stream of three micro-batches."""
     path = run_dir(spark, "stream_area_carry_forward_5m")
-    rows = as_status(landing(spark, sf_dir, f"{path}/landing")).withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
-    moved = moved_stream(rows, "station_id", "ingested_at", "num_bikes_available", "pos")
     result = AreaTotals(f"{path}/totals")
-    drain(start(moved, result.write_batch, f"{path}/checkpoint", "update", every=None))
+
+    def begin(events: DataFrame) -> StreamingQuery:
+        rows = as_status(events).withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
+        moved = moved_stream(rows, "station_id", "ingested_at", "num_bikes_available", "pos")
+        return start(moved, result.write_batch, f"{path}/checkpoint", "update", every=STANDING)
+
+    landing(spark, sf_dir, path, begin)
     return result.read(spark).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -714,9 +749,12 @@ def stream_current_changes(spark, sf_dir):
     info = as_information(stream(spark, sf_dir, "supplier")).withColumns(
         {"_ingested_at": F.timestamp_seconds(F.lit(0)), "deleted": F.lit(False)}
     )
-    rows = as_status(landing(spark, sf_dir, f"{path}/landing"))
     result = ChangelogTable(UpsertTable(f"{path}/table", ("station_id",)))
-    drain(start(current_status(rows, info), result.write_batch, f"{path}/checkpoint", "update", every=None))
+
+    def begin(events: DataFrame) -> StreamingQuery:
+        return start(current_status(as_status(events), info), result.write_batch, f"{path}/checkpoint", "update", every=STANDING)
+
+    landing(spark, sf_dir, path, begin)
     return folded(result.changes(spark))
 
 
@@ -755,9 +793,10 @@ def stream_poll_changes(spark, sf_dir):
 def stream_poll_changes_batches(spark, sf_dir):
     """The change filter over several micro-batches, whose borders cut through polls."""
     path = run_dir(spark, "stream_poll_changes_batches")
-    rows = daily_polls(as_status(landing(spark, sf_dir, f"{path}/landing")))
     process = ChangeFilter(f"{path}/states", parquet_publisher(f"{path}/changes"), ("event_type",)).process
-    drain(start(rows, process, f"{path}/checkpoint", every=None))
+    landing(
+        spark, sf_dir, path, lambda events: start(daily_polls(as_status(events)), process, f"{path}/checkpoint", every=STANDING)
+    )
     changes = spark.read.parquet(f"{path}/changes")
     return changes.select("station_id", F.col("ingested_at").cast("timestamp_ntz").alias("poll"), "pos", "event_type")
 
@@ -777,8 +816,11 @@ def stream_poll_changes_late(spark, sf_dir):
 
     first_day, last_day = table(spark, sf_dir, "events").agg(F.min(day), F.max(day)).first()
     parts = 3 * ((last_day - first_day) // LATE_DAYS + 1) if first_day is not None else 1
-    rows = daily_polls(as_status(landing(spark, sf_dir, f"{path}/landing", parts, part)))
     step = CorrectingFilter(f"{path}/history", parquet_publisher(f"{path}/changes"), f"{LATE_DAYS} days", ("event_type",))
-    drain(start(rows, step.process, f"{path}/checkpoint", every=None))
+
+    def begin(events: DataFrame) -> StreamingQuery:
+        return start(daily_polls(as_status(events)), step.process, f"{path}/checkpoint", every=STANDING)
+
+    landing(spark, sf_dir, path, begin, parts, part)
     changes = folded(spark.read.parquet(f"{path}/changes"))
     return changes.select("station_id", F.col("ingested_at").cast("timestamp_ntz").alias("poll"), "pos", "event_type")

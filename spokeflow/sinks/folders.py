@@ -20,6 +20,20 @@ def finished(spark: SparkSession, path: str) -> list[int]:
     return sorted(_number(f.getParent()) for f in _found(spark, path, "/_SUCCESS")[1])
 
 
+def numbered(spark: SparkSession, path: str) -> list[int]:
+    """Ids of the folders ``batch=<id>``, as a write that is partitioned by ``batch`` leaves them."""
+    return sorted(map(_number, _found(spark, path, "")[1]))
+
+
+def move(spark: SparkSession, path: str, target: str) -> None:
+    """Move a folder as a whole; ``target`` must not be there."""
+    source, goal = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, target))
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(goal.getParent())
+    if files.exists(goal) or not files.rename(source, goal):
+        raise OSError(f"{path} could not be moved to {target}")
+
+
 def remove_below(spark: SparkSession, path: str, batch_id: int) -> None:
     """Remove the folders with smaller ids."""
     files, found = _found(spark, path, "")

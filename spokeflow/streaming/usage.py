@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spokeflow.operators.analytics import held, moved, peak_hours
+from spokeflow.operators.analytics import moved_and_held, peak_hours
 from spokeflow.operators.neighbours import with_previous
 from spokeflow.sinks.upsert import SumTable, UpsertTable
 
@@ -27,7 +27,7 @@ class LiveUsage:
     """``process`` is for ``foreachBatch``; ``hours`` (usage per station and hour), ``times`` (seconds held per station) and
     ``peaks`` (busiest hours per station) are the tables it keeps under ``path``.
 
-    ``path`` also holds two slots of last rows used in turn: batch n reads the slot that batch n-1 wrote and replaces the other,
+    ``path`` also holds two slots of last rows, and of what a batch adds, used in turn: batch n reads the slot that batch n-1 wrote and replaces the other,
     so a replayed batch gives the same answers. ``late`` takes the rows that are set aside.
     """
 
@@ -74,13 +74,16 @@ class LiveUsage:
         else:
             both = fresh.withColumn("_carried", F.lit(False))
         ts = self.order[0]
-        known = both.where(F.col(self.value).isNotNull())
-        steps = with_previous(known, self.station, self.order, [self.value]).where("not _carried")
-        self.hours.write_batch(moved(steps, self.station, self.value, ts, self.zone), batch_id)
-        pairs = with_previous(both, self.station, self.order, [ts, self.value]).where("not _carried")
-        self.times.write_batch(held(pairs, self.station, self.value, ts), batch_id)
+        pairs = with_previous(both, self.station, self.order, [ts, self.value], known=self.value).where("not _carried")
+        # The windows over the rows are computed once; both tables are fed from what they add.
+        added = f"{self.path}/added/slot={batch_id % 2}"
+        moved_and_held(pairs, self.station, self.value, ts, self.zone).write.mode("overwrite").parquet(added)
+        added = spark.read.parquet(added)
+        self.hours.write_batch(added.where("usage is not null").select(self.station, "hour", "usage"), batch_id)
+        sums = [F.sum(m).alias(m) for m in self.times.measures]
+        self.times.write_batch(added.groupBy(self.station).agg(*sums), batch_id)
         # Hours are only added, so a station never has fewer ranks than before.
-        stations = fresh.select(self.station).distinct()
+        stations = added.select(self.station).distinct()
         hours = self.hours.read(spark, batch_id).join(stations, self.station, "left_semi")
         self.peaks.write_batch(peak_hours(hours, self.station, self.top), batch_id)
         self._keep(fresh, carried, batch_id)

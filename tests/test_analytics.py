@@ -182,3 +182,20 @@ def test_window_plan_combines_before_the_shuffle(spark):
     with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
         plan = rows.select("*")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "partial_count" in plan
+
+
+@pytest.mark.parametrize("cut", CUTS)
+def test_previous_known_row_does_not_depend_on_the_cut(spark, cut):
+    rows = [(s, ts, pos, None if pos % 3 or pos % 5 == 0 else v) for s, ts, pos, v in skewed_rows(2)]
+    df = spark.createDataFrame(rows, LOG)
+    found = with_previous(df, "station_id", ORDER, ["pos", "num_bikes_available"], known="num_bikes_available", **cut).collect()
+    known = previous_by_hand([r for r in rows if r[3] is not None])
+    assert {r.pos: tuple(r.previous_known) if r.previous_known else None for r in found if r.num_bikes_available is not None} == known
+    assert {r.pos: tuple(r.previous) if r.previous else None for r in found} == previous_by_hand(rows)
+    assert all(r.previous_known is None for r in found if r.num_bikes_available is None)
+
+
+def test_each_window_over_the_rows_is_computed_once(spark):
+    df = spark.createDataFrame(skewed_rows(), LOG)
+    plan = with_previous(df, "station_id", ORDER, ["pos"], known="pos")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Union" not in plan

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from spokeflow.operators.analytics import mean_over_time, peak_hours, time_weighted, usage_by_hour
 from spokeflow.operators.changes import changed
+from spokeflow.operators.neighbours import with_previous
 from spokeflow.operators.upsert import changelog, folded, latest
 from spokeflow.operators.windows import area_totals, last_values
+from spokeflow.plans import slate
 from spokeflow.sinks.upsert import ChangelogTable, SumTable, UpsertTable
+from spokeflow.streaming import usage
 from spokeflow.streaming.changes import parquet_publisher
 from spokeflow.streaming.history import CorrectingFilter
 from spokeflow.streaming.run import drain, start
@@ -220,3 +223,40 @@ def test_changelog_adds_up_to_the_table_at_every_batch(spark, path):
     state = {k: (v, w, gone) for b in batches[:5] for k, v, w, gone in b}
     assert early == sorted([(k, v, w) for k, (v, w, gone) in state.items() if not gone], key=repr)
     assert latest(spark.createDataFrame(batches[0], TABLE), "k", ["v"]).count() == len(batches[0])
+
+
+def test_events_land_in_parts_of_several_files(spark, path):
+    """Each part is one micro-batch in time order, read and written by several tasks; a part without rows is none."""
+    events = spark.range(400).select(
+        F.col("id").alias("event_id"),
+        F.timestamp_seconds(1_700_000_000 + F.col("id") + F.when(F.col("id") >= 200, 1_000).otherwise(0)).alias("ts"),
+    )
+    events.unionByName(events.limit(1).withColumns({"event_id": F.lit(-1), "ts": F.lit(None).cast("timestamp")})).write.parquet(f"{path}/events.parquet")
+    batches = []
+
+    def look(rows, batch_id):
+        files = rows.select(F.input_file_name()).distinct().count()
+        batches.append((files > 1, sorted(r.event_id for r in rows.collect())))
+
+    def begin(stream):
+        return start(stream, look, f"{path}/checkpoint", every=slate.STANDING)
+
+    slate.landing(spark, path, f"{path}/run", begin)
+    assert batches == [(True, [-1, *range(200)]), (True, list(range(200, 400)))]
+
+
+def test_nothing_lands_of_an_empty_table(spark, path):
+    spark.createDataFrame([], "event_id long, ts timestamp").write.parquet(f"{path}/events.parquet")
+    counts = []
+    slate.landing(
+        spark, path, f"{path}/run", lambda s: start(s, lambda rows, n: counts.append(rows.count()), f"{path}/checkpoint", every=slate.STANDING)
+    )
+    assert counts in ([], [0])
+    assert spark.read.parquet(f"{path}/run/landing").columns[:2] == ["event_id", "ts"]
+
+
+def test_a_batch_computes_its_windows_once(spark, path, monkeypatch):
+    calls = []
+    monkeypatch.setattr(usage, "with_previous", lambda *a, **k: calls.append(k) or with_previous(*a, **k))
+    LiveUsage(path).process(spark.createDataFrame(status_rows(3, 30), STATUS), 0)
+    assert calls == [{"known": "num_bikes_available"}]
