@@ -46,16 +46,17 @@ class ChangeFilter:
         # The polls seen last take part as those before the first one of this batch.
         rows = records.withColumn("_kept", F.lit(False))
         if seen is not None:
-            newest = seen.groupBy("feed").agg(F.max("ingested_at").alias("_newest"))
+            # From the list of polls, which is small: the records are not shuffled by their feed.
+            polls = records.sparkSession.read.parquet(self._polls(batch_id - 1))
+            newest = polls.groupBy("feed").agg(F.max("ingested_at").alias("_newest"))
             placed = rows.join(newest, "feed", "left")
             if self.late:
                 self.late(placed.where("ingested_at < _newest").drop("_kept", "_newest"), batch_id)
             rows = placed.where("_newest is null or ingested_at >= _newest").drop("_newest")
             rows = rows.unionByName(seen.withColumn("_kept", F.lit(True)), allowMissingColumns=True)
         # Written into a slot too, not checkpointed: a standing query must not leave a file behind per batch.
-        polls = f"{self.path}/polls/slot={batch_id % 2}"
-        number_polls(rows).write.mode("overwrite").parquet(polls)
-        flagged = flag_changes(rows, self.fields, polls=records.sparkSession.read.parquet(polls))
+        number_polls(rows).write.mode("overwrite").parquet(self._polls(batch_id))
+        flagged = flag_changes(rows, self.fields, polls=records.sparkSession.read.parquet(self._polls(batch_id)))
         flagged = flagged.where("not _kept").drop("_kept", "poll_no")
         self.publish(flagged.where("changed").drop("changed"), batch_id)
         if self.report:
@@ -65,6 +66,9 @@ class ChangeFilter:
     def _slot(self, batch_id: int) -> str:
         return f"{self.path}/stations/slot={batch_id % 2}"
 
+    def _polls(self, batch_id: int) -> str:
+        return f"{self.path}/polls/slot={batch_id % 2}"
+
     def _previous(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
         return spark.read.parquet(self._slot(batch_id - 1)) if batch_id else None
 

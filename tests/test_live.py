@@ -260,3 +260,13 @@ def test_a_batch_computes_its_windows_once(spark, path, monkeypatch):
     monkeypatch.setattr(usage, "with_previous", lambda *a, **k: calls.append(k) or with_previous(*a, **k))
     LiveUsage(path).process(spark.createDataFrame(status_rows(3, 30), STATUS), 0)
     assert calls == [{"known": "num_bikes_available"}]
+
+
+def test_records_are_not_shuffled_by_their_feed(spark, path):
+    """Where the bound begins is found from the list of polls alone, so that no join needs the records by feed."""
+    step = CorrectingFilter(path, parquet_publisher(f"{path}/out"), "20 minutes", ("v",))
+    step.process(spark.createDataFrame([r for p in polls(4, 12) for r in p], POLLS), 0)
+    kept, begins = step._history(spark, 0)
+    assert not [f for f in begins.inputFiles() if "/records/" in f]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 1
