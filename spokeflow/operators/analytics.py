@@ -45,11 +45,11 @@ def moved(pairs: DataFrame, station: str, value: str, ts: str, zone: str = "UTC"
     return steps.groupBy(station, hour_of(F.col(ts), zone).alias("hour")).agg(usage_of("previous", value))
 
 
-def moved_and_held(pairs: DataFrame, station: str, value: str, ts: str, zone: str = "UTC") -> DataFrame:
+def moved_and_held(pairs: DataFrame, station: str, value: str, ts: str, zone: str = "UTC", *others: Column) -> DataFrame:
     """:func:`moved` and :func:`held` in one pass, both per station and hour of day, in rows that also know the one before them
-    with a known value. An hour without a step has no ``usage``."""
+    with a known value. An hour without a step has no ``usage``. ``others`` are aggregated with them."""
     by = [station, hour_of(F.col(ts), zone).alias("hour")]
-    return pairs.groupBy(*by).agg(usage_of("previous_known", value), *seconds_of(value, ts))
+    return pairs.groupBy(*by).agg(usage_of("previous_known", value), *seconds_of(value, ts), *others)
 
 
 def usage_of(previous: str, value: str) -> Column:

@@ -1,10 +1,11 @@
-"""A row and the row before it, per key, in one form for every size: no counting first, and no window over a whole key."""
+"""A row and the row before it, per key, in one form for every size: no counting first, and no window over a whole key (unless
+its caller knows that the keys are small)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
@@ -25,26 +26,39 @@ def with_previous(
     key: str,
     order: Sequence[str],
     carry: Sequence[str],
-    cell: int = HOUR_MICROS,
+    cell: int | None = HOUR_MICROS,
     run: int = RUN,
     known: str | None = None,
 ) -> DataFrame:
     """Add ``previous``: the ``carry`` columns of the key's row just before, by ``order`` (time first); NULL for the first.
 
     With ``known``, also add ``previous_known``: the same columns of the last row before in which the column ``known`` is not
-    NULL, for rows in which it is not NULL itself.
+    NULL, for rows in which it is not NULL itself; and ``is_last`` and ``last_known``: whether no row of the key comes after
+    this one, and for such a row the same columns of the key's last known row, which may be itself.
 
     Rows without a time come first. Equal rows by ``order`` go by the other columns. The answer does not depend on ``cell``
     and ``run``; they only say how a key is cut: into cells of time (microseconds), and a cell into its instants, of which a
     hot one is cut by the second order column. A window inside each piece finds most rows; the rows that a piece leaves open
     find theirs among those at the ends of the cell's pieces, and what a cell leaves open among the ends of the key's cells.
     Rows that are done pass by in small groups, so that each window is computed once, over all rows.
+
+    ``cell=None`` does not cut: one window over each key, by which the rows are shuffled and sorted once, for keys that a task can
+    sort.
     """
     ts, *rest = order
     others = [f.name for f in df.schema if f.name not in (key, *order) and not isinstance(f.dataType, UNORDERED)]
     full = [*order, *others]
     row = F.struct(*carry)
     own = F.when(F.col(known).isNotNull(), row) if known else None
+    columns = [*df.columns, "previous", *(["previous_known", "is_last", "last_known"] if known else [])]
+    if cell is None:
+        whole = W.partitionBy(key).orderBy(*full)
+        rows = df.withColumn("previous", F.lag(row).over(whole))
+        if known:
+            rows = rows.withColumns(
+                {"is_last": F.lead(F.lit(True)).over(whole).isNull(), "_before": F.last(own, ignorenulls=True).over(_until(whole))}
+            ).withColumns(_known_columns(own, F.col("_before"), F.coalesce(own, "_before")))
+        return rows.select(*columns)
     piece = W.partitionBy(key, "_cell", ts, "_run").orderBy(*full)
     rows = df.withColumns(
         {
@@ -95,7 +109,15 @@ def with_previous(
                 "_lacks": F.col("_lacks") & F.col("_before").isNull(),
             }
         rows = rows.withColumns(filled)
-    return rows.select(*df.columns, "previous", *(["previous_known"] if known else []))
+    if known:
+        rows = rows.withColumn("is_last", F.col("_closes")).withColumns(
+            _known_columns(own, F.col("previous_known"), F.col("_known"))
+        )
+    return rows.select(*columns)
+
+
+def _known_columns(own: Column, before: Column, upto: Column) -> dict[str, Column]:
+    return {"previous_known": F.when(own.isNotNull(), before), "last_known": F.when(F.col("is_last"), upto)}
 
 
 def _until(window: WindowSpec) -> WindowSpec:

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from conftest import settings
 from spokeflow.operators.analytics import mean_over_time, peak_hours, time_weighted, usage_by_hour
 from spokeflow.operators.changes import changed
 from spokeflow.operators.neighbours import with_previous
@@ -270,3 +271,36 @@ def test_records_are_not_shuffled_by_their_feed(spark, path):
     assert not [f for f in begins.inputFiles() if "/records/" in f]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 1
+
+
+def test_rows_of_a_batch_are_shuffled_once_for_their_windows(spark, path):
+    live = LiveUsage(path)
+    for number, part in enumerate(cut(status_rows(7, 60), 1, 2)):
+        live.process(spark.createDataFrame(part, STATUS), number)
+    both = spark.createDataFrame(status_rows(8, 60), STATUS).withColumn("_carried", F.lit(False))
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        plan = live._added(live._pairs(both, []))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "SortAggregate" not in plan
+
+
+def test_hot_stations_give_the_same_answers(spark, path):
+    """Stations with more rows in a batch than a task should sort are cut; late rows of them are set aside as well."""
+    rows = status_rows(11, 150)
+    parts = cut(rows, 4, 4)
+    parts[2] = [*parts[2], ("A", parts[0][0][1], -1, 7), ("B", None, -2, 8)]
+    answers = []
+    for name, whole in (("cut", 8), ("whole", 1_000)):
+        late = []
+        live = LiveUsage(f"{path}/{name}", late=lambda df, n, late=late: late.extend((n, *r) for r in df.collect()), whole=whole)
+        hot = []
+        for number, part in enumerate(parts):
+            frame = spark.createDataFrame(part, STATUS)
+            hot += live._hot(frame)
+            live.process(frame, number)
+        assert bool(hot) == (name == "cut")
+        tables = [sorted_rows(t.read(spark)) for t in (live.hours, live.times, live.peaks)]
+        answers.append((sorted(late, key=repr), tables, sorted_rows(spark.read.parquet(live._slot(len(parts) - 1)))))
+    assert answers[0] == answers[1] and {r[3] for r in answers[0][0]} == {-1, -2}
+    whole = spark.createDataFrame(rows, STATUS)
+    assert answers[0][1][0] == sorted_rows(usage_by_hour(whole))
+    assert sorted_rows(mean_over_time(live.times.read(spark))) == sorted_rows(time_weighted(whole))
