@@ -661,7 +661,8 @@ def landing(
     width = (last - first) // parts + 1 if first is not None else 1
     part_of = F.floor((at - F.lit(first)) / width) if of is None else of(first, last)
     numbered = events.withColumn("batch", F.coalesce(part_of, F.lit(0)))
-    numbered.repartition(spark.sparkContext.defaultParallelism).write.partitionBy("batch").parquet(f"{path}/staged")
+    # By id and time, which needs no sort of the rows, as dealing them out in turn does.
+    numbered.repartition(spark.sparkContext.defaultParallelism, "event_id", "ts").write.partitionBy("batch").parquet(f"{path}/staged")
     staged = folders.numbered(spark, f"{path}/staged")
     if not staged:
         events.limit(0).write.parquet(f"{path}/staged/batch=0")

@@ -89,11 +89,18 @@ class UpsertTable:
 @dataclass(frozen=True)
 class SumTable(UpsertTable):
     """A table of sums per key: a micro-batch writes what it adds to them, and readers add up. The cost of a batch is that of
-    the keys it touches; nothing that is there is read."""
+    the keys it touches; nothing that is there is read.
+
+    ``by`` names columns of the key by which readers go on to join, group or rank: the rows come shuffled by them, which serves
+    the sums as well.
+    """
 
     measures: tuple[str, ...] = ()
+    by: tuple[str, ...] = ()
 
     def _merged(self, rows: DataFrame) -> DataFrame:
+        if self.by:
+            rows = rows.repartition(*self.by)
         return rows.groupBy(*self.key).agg(*[F.sum(m).alias(m) for m in self.measures])
 
 

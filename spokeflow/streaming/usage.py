@@ -44,7 +44,7 @@ class LiveUsage:
 
     @property
     def hours(self) -> SumTable:
-        return SumTable(f"{self.path}/hours", (self.station, "hour"), measures=("usage",))
+        return SumTable(f"{self.path}/hours", (self.station, "hour"), measures=("usage",), by=(self.station,))
 
     @property
     def times(self) -> SumTable:

@@ -5,8 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import settings
-from spokeflow.operators.analytics import mean_over_time, peak_hours, time_weighted, usage_by_hour
+from conftest import NO_BROADCAST, settings
+from spokeflow.operators.analytics import mean_over_time, peak_hours, time_weighted, usage_by_hour, with_region
 from spokeflow.operators.changes import changed
 from spokeflow.operators.neighbours import with_previous
 from spokeflow.operators.upsert import changelog, folded, latest
@@ -304,3 +304,15 @@ def test_hot_stations_give_the_same_answers(spark, path):
     whole = spark.createDataFrame(rows, STATUS)
     assert answers[0][1][0] == sorted_rows(usage_by_hour(whole))
     assert sorted_rows(mean_over_time(live.times.read(spark))) == sorted_rows(time_weighted(whole))
+
+
+def test_sums_come_shuffled_by_station(spark, path):
+    """Ranking the hours of a station, or joining its region, needs no second shuffle of the sums."""
+    live = LiveUsage(path)
+    for number, part in enumerate(cut(status_rows(9, 60), 3, 2)):
+        live.process(spark.createDataFrame(part, STATUS), number)
+    regions = spark.createDataFrame([("A", "x"), ("B", "y")], "key string, region_id string")
+    with settings(spark, {**NO_BROADCAST, "spark.sql.adaptive.enabled": "false"}):
+        ranked = peak_hours(live.hours.read(spark), "station_id")._jdf.queryExecution().executedPlan().toString()
+        joined = with_region(live.hours.read(spark), regions)._jdf.queryExecution().executedPlan().toString()
+    assert ranked.count("Exchange") == 1 and joined.count("Exchange") == 2
